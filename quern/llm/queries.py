@@ -11,12 +11,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import quality, simhash
+from quern.llm import mixing, quality, sharding, simhash
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_consistent_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), 8).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken"
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -36,7 +48,7 @@ _QUALITY_SQL = r"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents),
 windows AS (
   SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
@@ -50,7 +62,7 @@ f AS (
          length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
          len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
          coalesce(n, 0)::BIGINT AS n_repeat_words,
-         len(list_filter(w, x -> x IN (STOPS)))::BIGINT AS n_stop_words
+         len(list_filter(w, lambda x: x IN (STOPS)))::BIGINT AS n_stop_words
   FROM base LEFT JOIN covered USING (doc_id)),
 g AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
@@ -70,6 +82,8 @@ def _quality_sql() -> str:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_consistent_hash_sharding": op1_consistent_hash_sharding,
+        "op4_pivotal_mixing": op4_pivotal_mixing,
         "op8_quality_rules": op8_quality_rules,
         "op9_simhash_neardup": op9_simhash_neardup,
     }
