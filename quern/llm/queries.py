@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, quality, sharding, simhash
+from quern.llm import decontaminate, mixing, quality, sharding, simhash
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,15 @@ def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document that leaks a benchmark item, with the item."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("item").alias("item_id"),
+        F.round("cosine", 4).alias("cosine"), F.round("lcs_ratio", 4).alias("lcs_ratio"), "answer",
+    )
+
+
 _QUALITY_SQL = r"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -86,6 +95,7 @@ def queries() -> dict[str, Query]:
         "op4_pivotal_mixing": op4_pivotal_mixing,
         "op8_quality_rules": op8_quality_rules,
         "op9_simhash_neardup": op9_simhash_neardup,
+        "op10_latent_decontamination": op10_latent_decontamination,
     }
 
 

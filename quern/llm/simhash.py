@@ -186,3 +186,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     answer = named.join(least, "root").select("fp", "component")
     return rows.join(answer, "fp").select("id", "fp", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, tau: int = TAU) -> DataFrame:
+    """One row, with its own columns, of each group: that of the least id, and of rows equal to it one."""
+    columns = docs.columns
+    keyed = docs.withColumn("__k", F.xxhash64(*columns))
+    found = near_duplicates(keyed.withColumn("__id", F.struct(id_col, "__k")), "__id", text_col, shingle, tau)
+    kept = found.where(F.col("id") == F.col("component")).select(F.col("id.__k").alias("__k")).distinct()
+    return keyed.join(kept, "__k", "left_semi").dropDuplicates(["__k"]).select(*columns)
