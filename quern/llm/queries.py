@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, mixing, quality, sharding, simhash
+from quern.llm import decontaminate, mixing, quality, sharding, simhash, substring
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,13 @@ def op1_consistent_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_anchor_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.find_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", "taken"
@@ -92,6 +99,7 @@ def _quality_sql() -> str:
 def queries() -> dict[str, Query]:
     return {
         "op1_consistent_hash_sharding": op1_consistent_hash_sharding,
+        "op2_anchor_substring_dedup": op2_anchor_substring_dedup,
         "op4_pivotal_mixing": op4_pivotal_mixing,
         "op8_quality_rules": op8_quality_rules,
         "op9_simhash_neardup": op9_simhash_neardup,
