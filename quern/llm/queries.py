@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, mixing, quality, sharding, simhash, substring
+from quern.llm import decontaminate, mixing, quality, sharding, simhash, substring, suffix
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,14 @@ def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_run_length_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.find_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -101,6 +109,7 @@ def queries() -> dict[str, Query]:
         "op1_consistent_hash_sharding": op1_consistent_hash_sharding,
         "op2_anchor_substring_dedup": op2_anchor_substring_dedup,
         "op4_pivotal_mixing": op4_pivotal_mixing,
+        "op5_run_length_suffix_dedup": op5_run_length_suffix_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op9_simhash_neardup": op9_simhash_neardup,
         "op10_latent_decontamination": op10_latent_decontamination,
