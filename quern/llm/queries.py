@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, mixing, quality, sharding, simhash, substring, suffix
+from quern.llm import decontaminate, mixing, pii, quality, sharding, simhash, substring, suffix, tokens
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,29 @@ def op5_run_length_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(list(pii.BASE)))
+    return found.select(
+        F.col("id").alias("doc_id"), *map(count, pii.BASE),
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op7_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -110,6 +133,8 @@ def queries() -> dict[str, Query]:
         "op2_anchor_substring_dedup": op2_anchor_substring_dedup,
         "op4_pivotal_mixing": op4_pivotal_mixing,
         "op5_run_length_suffix_dedup": op5_run_length_suffix_dedup,
+        "op6_anchor_pii": op6_anchor_pii,
+        "op7_pretoken_counts": op7_pretoken_counts,
         "op8_quality_rules": op8_quality_rules,
         "op9_simhash_neardup": op9_simhash_neardup,
         "op10_latent_decontamination": op10_latent_decontamination,
