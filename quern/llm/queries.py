@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, mixing, pii, quality, sharding, simhash, substring, suffix, tokens
+from quern.llm import decontaminate, mixing, pii, pseudo, quality, sharding, simhash, substring, suffix, tokens
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,15 @@ def op2_anchor_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's summed conditional log-probability, and its mean per token."""
+    found = pseudo.pseudo_likelihood(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_tokens", F.round("log_likelihood", 4).alias("log_likelihood"),
+        F.round(F.col("log_likelihood") / F.greatest("n_tokens", F.lit(1)), 6).alias("mean_log_probability"),
+    )
+
+
 def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", "taken"
@@ -131,6 +140,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_consistent_hash_sharding": op1_consistent_hash_sharding,
         "op2_anchor_substring_dedup": op2_anchor_substring_dedup,
+        "op3_masked_pseudo_likelihood": op3_masked_pseudo_likelihood,
         "op4_pivotal_mixing": op4_pivotal_mixing,
         "op5_run_length_suffix_dedup": op5_run_length_suffix_dedup,
         "op6_anchor_pii": op6_anchor_pii,
