@@ -130,5 +130,10 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text"
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text") -> DataFrame:
-    """The rows, with their own columns, that every rule keeps."""
-    return judge(docs.withColumn("__own", F.struct(*docs.columns)), rules, text_col).where("kept").select("__own.*")
+    """The rows, with their own columns, that every rule keeps.
+
+    Rows leave through a generator: a filter would be pushed below the features
+    and evaluate each of them again for every rule that reads it.
+    """
+    judged = judge(docs.withColumn("__own", F.struct(*docs.columns)), rules, text_col)
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("__own"))).alias("__own")).select("__own.*")
