@@ -32,6 +32,8 @@ from quern.llm.common import checkpoint, text_bytes
 DIMS = 1 << 18
 #: Items of one latent space; a larger benchmark is searched block by block.
 ITEM_BLOCK = 5_000
+#: Terms of a sketch that are added up together.
+SLICE = 1024
 
 # Terms are runs of ASCII letters and digits and of non-ASCII bytes, lower-cased.
 _FOLD = np.full(256, 0x20, dtype=np.uint8)
@@ -137,7 +139,7 @@ def randomised_svd(spark, rows: list[tuple[np.ndarray, np.ndarray]], width: int,
 
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = shared.value
-            out = np.zeros_like(m)
+            out, met = np.zeros_like(m), np.zeros(len(m), dtype=bool)
             for batch in batches:
                 for r in batch.to_pylist():
                     cols, vals = np.frombuffer(r["cols"], np.int32), np.frombuffer(r["vals"], np.float32)
@@ -146,15 +148,23 @@ def randomised_svd(spark, rows: list[tuple[np.ndarray, np.ndarray]], width: int,
                         c, v = cols[at : at + n], vals[at : at + n]
                         at += n
                         out[c] += v[:, None] * (v @ m[c])
-            yield pa.RecordBatch.from_pydict({"part": pa.array([0], pa.int32()), "s": pa.array([out.tobytes()], pa.binary())})
+                        met[c] = True
+            for part in np.unique(np.flatnonzero(met) // SLICE).tolist():  # nothing from an empty task
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "s": pa.array([out[part * SLICE : (part + 1) * SLICE].tobytes()], pa.binary())})
 
         def add(group: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(b, np.float32) for b in group.column("s").to_pylist())
-            return pa.table({"part": pa.array([0], pa.int32()), "s": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-        got = data.mapInArrow(multiply, "part int, s binary").groupBy("part").applyInArrow(add, "part int, s binary").collect()
+            blobs = group.column("s").to_pylist()
+            total = np.zeros(len(blobs[0]) // 4, dtype=np.float32)
+            for blob in blobs:
+                total += np.frombuffer(blob, np.float32)
+            return pa.table({"part": group.column("part").slice(0, 1).combine_chunks(), "s": pa.array([total.tobytes()], pa.binary())})
+
+        out = np.zeros_like(x)
+        for got in data.mapInArrow(multiply, "part int, s binary").groupBy("part").applyInArrow(add, "part int, s binary").collect():
+            rows = np.frombuffer(bytes(got["s"]), np.float32).reshape(-1, x.shape[1])
+            out[got["part"] * SLICE : got["part"] * SLICE + len(rows)] = rows
         shared.unpersist()
-        return np.frombuffer(bytes(got[0]["s"]), np.float32).reshape(x.shape)
+        return out
 
     x = np.random.default_rng(seed).standard_normal((width, min(rank + 10, width)), dtype=np.float32)
     for _ in range(power):
