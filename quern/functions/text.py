@@ -66,7 +66,7 @@ def Ord(x: Any) -> Expression: return Call("ord", S.ascii, x)
 def Chr(x: Any) -> Expression:
     """The character of a code point, also beyond one byte."""
     def build(c: Column) -> Column:
-        return S.decode(S.unhex(S.lpad(S.hex(c.cast("long")), 8, "0")), "UTF-32BE")
+        return S.decode(S.unhex(S.lpad(S.hex(c.cast("long")), 8, "0")), "UTF-32")
     return Call("chr", build, x)
 
 

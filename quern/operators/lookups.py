@@ -54,7 +54,7 @@ def in_list(c: Column, values: Any) -> Column:
 def not_in_list(c: Column, values: Any) -> Column:
     known = [v for v in values if v is not None]
     cond = ~c.isin(known) if known else S.lit(True)
-    return true_only(cond) if len(known) < len(list(values)) else cond | c.isNull()
+    return c.isNotNull() & cond if len(known) < len(list(values)) else cond | c.isNull()
 
 
 def between(c: Column, bounds: Any) -> Column:
