@@ -29,6 +29,16 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until no column has them."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def row_key(*columns: str) -> Column:
     """A 64-bit hash that spreads rows even where an id is null or repeated."""
     return F.xxhash64(*[F.col(c) for c in columns])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import rolling
-from quern.llm.common import checkpoint, text_bytes
+from quern.llm.common import text_bytes, unused
 
 DIMS = 1 << 18
 #: Items of one latent space; a larger benchmark is searched block by block.
@@ -338,6 +338,7 @@ def contaminated(
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", params: Params = Params()) -> DataFrame:
     """The documents, with all their columns, that leak no item."""
     columns = docs.columns
+    (text_,) = unused(columns, "__text")
     for shared in indexes(docs, benchmark, item_col, item_text, text_col, params):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -350,5 +351,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                         keep[first + hit[0]] = False
                 yield batch.select(list(range(len(columns)))).filter(pa.array(keep))
 
-        docs = docs.withColumn("__text", text_bytes(text_col)).mapInArrow(run, docs.schema)
+        docs = docs.withColumn(text_, text_bytes(text_col)).mapInArrow(run, docs.schema)
     return docs

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACES, SPACES_RE, checkpoint
+from quern.llm.common import SPACES, SPACES_RE, checkpoint, unused
 
 #: Sources up to which their table of targets is broadcast; beyond it joins by shuffle.
 BROADCAST_SOURCES = 10_000
@@ -147,6 +147,7 @@ def mix(
 def repeated(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """The documents, each as often as ``mix`` chose.  Rows equal in every column are summed."""
     columns = docs.columns
-    times = chosen.groupBy("key").agg(F.sum("copies").alias("__n")).where("__n > 0").withColumnRenamed("key", "__k")
-    keyed = docs.withColumn("__k", F.xxhash64(*columns)).dropDuplicates(["__k"])
-    return keyed.join(times, "__k").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*columns)
+    k_, n_ = unused(columns, "__k", "__n")
+    times = chosen.groupBy("key").agg(F.sum("copies").alias(n_)).where(F.col(n_) > 0).withColumnRenamed("key", k_)
+    keyed = docs.withColumn(k_, F.xxhash64(*columns)).dropDuplicates([k_])
+    return keyed.join(times, k_).withColumn(n_, F.explode(F.sequence(F.lit(1), F.col(n_).cast("int")))).select(*columns)

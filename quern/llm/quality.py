@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACES, SPACES_RE
+from quern.llm.common import SPACES, SPACES_RE, unused
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -89,33 +89,34 @@ def features(docs: DataFrame, text_col: str = "text", stop_words: Sequence[str]
     ``n_repeat_words`` compares windows by a 64-bit hash of the three words.
     """
     passed = [c for c in docs.columns if c.lower() not in FEATURES]
+    w_, l_, h_ = unused(docs.columns, "__w", "__l", "__h")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     trimmed = F.btrim(text, F.lit(SPACES))
     stops = sorted({w for s in stop_words for w in (s, s.capitalize())})
     nonblank = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
     split = docs.select(
         *passed,
-        F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES_RE)).alias("__w"),
-        nonblank.alias("__l"),
+        F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES_RE)).alias(w_),
+        nonblank.alias(l_),
         F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
     )
-    words = F.col("__w")
+    words = F.col(w_)
     n = F.size(words)
     hashed = split.select(
         *passed, "n_symbols",
         n.cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-        F.size("__l").cast("long").alias("n_lines"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
+        F.size(l_).cast("long").alias("n_lines"),
+        (F.size(l_) - F.size(F.array_distinct(l_))).cast("long").alias("n_dup_lines"),
         F.size(F.filter(words, lambda w: w.isin(stops))).cast("long").alias("n_stop_words"),
         F.when(n >= 3, F.transform(
             F.arrays_zip(F.slice(words, F.lit(1), F.greatest(n - 2, F.lit(0))).alias("a"), F.slice(words, F.lit(2), F.greatest(n - 2, F.lit(0))).alias("b"), F.slice(words, F.lit(3), F.greatest(n - 2, F.lit(0))).alias("c")),
             lambda z: F.xxhash64(z["a"], z["b"], z["c"]),
-        )).otherwise(F.array().cast("array<bigint>")).alias("__h"),
+        )).otherwise(F.array().cast("array<bigint>")).alias(h_),
     )
     return hashed.select(
         *passed, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
-        F.when(F.size(F.array_distinct("__h")) == F.size("__h"), F.lit(0)).otherwise(_repeat_words("__h")).cast("long").alias("n_repeat_words"),
+        F.when(F.size(F.array_distinct(h_)) == F.size(h_), F.lit(0)).otherwise(_repeat_words(h_)).cast("long").alias("n_repeat_words"),
         "n_stop_words",
     )
 
@@ -135,5 +136,6 @@ def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "t
     Rows leave through a generator: a filter would be pushed below the features
     and evaluate each of them again for every rule that reads it.
     """
-    judged = judge(docs.withColumn("__own", F.struct(*docs.columns)), rules, text_col)
-    return judged.select(F.explode(F.when(F.col("kept"), F.array("__own"))).alias("__own")).select("__own.*")
+    (own,) = unused(docs.columns, "__own")
+    judged = judge(docs.withColumn(own, F.struct(*docs.columns)), rules, text_col)
+    return judged.select(F.explode(F.when(F.col("kept"), F.array(own))).alias(own)).select(f"{own}.*")

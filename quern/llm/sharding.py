@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.llm.common import unused
+
 #: Slots on the ring: the broadcast table has at most so many rows.
 CELLS = 1 << 14
 
@@ -66,24 +68,25 @@ def shard(
     """
     made = ("size", "text_crc32", "shard", "slot")
     kept = [c for c in docs.columns if c.lower() not in made]
+    h_, cell_, base_, n_ = unused(docs.columns, "__h", "__cell", "__base", "__n")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     sized = docs.select(
         *kept,
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-    ).withColumn("__h", F.xxhash64(F.coalesce(F.xxhash64(id_col), F.lit(0)), F.when(F.col(id_col).isNull(), F.col("text_crc32")))).withColumn(
-        "__cell", F.shiftrightunsigned("__h", 64 - (CELLS.bit_length() - 1)).cast("int")
+    ).withColumn(h_, F.xxhash64(F.coalesce(F.xxhash64(id_col), F.lit(0)), F.when(F.col(id_col).isNull(), F.col("text_crc32")))).withColumn(
+        cell_, F.shiftrightunsigned(h_, 64 - (CELLS.bit_length() - 1)).cast("int")
     )
-    cells = {r[0]: (r[1], r[2]) for r in sized.groupBy("__cell").agg(F.sum("size"), F.count("*")).collect()}
+    cells = {r[0]: (r[1], r[2]) for r in sized.groupBy(cell_).agg(F.sum("size"), F.count("*")).collect()}
     home = place({c: s for c, (s, _) in cells.items()}, shards, vnodes, slack)
     base, filled = [], [0] * shards
     for cell in sorted(cells):
         base.append((cell, home[cell], filled[home[cell]]))
         filled[home[cell]] += cells[cell][1]
-    plan = docs.sparkSession.createDataFrame(base, "__cell int, shard int, __base long")
-    within = Window.partitionBy("__cell").orderBy("__h", F.col(id_col), "text_crc32", "size")
+    plan = docs.sparkSession.createDataFrame(base, f"{cell_} int, shard int, {base_} long")
+    within = Window.partitionBy(cell_).orderBy(h_, F.col(id_col), "text_crc32", "size")
     return (
-        sized.withColumn("__n", F.row_number().over(within))
-        .join(F.broadcast(plan), "__cell")  # at most CELLS rows
-        .select(*kept, "size", "text_crc32", "shard", (F.col("__base") + F.col("__n") - 1).cast("long").alias("slot"))
+        sized.withColumn(n_, F.row_number().over(within))
+        .join(F.broadcast(plan), cell_)  # at most CELLS rows
+        .select(*kept, "size", "text_crc32", "shard", (F.col(base_) + F.col(n_) - 1).cast("long").alias("slot"))
     )

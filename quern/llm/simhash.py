@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import checkpoint, shuffle_partitions, text_bytes
+from quern.llm.common import checkpoint, shuffle_partitions, text_bytes, unused
 from quern.llm.components import connected
 
 SEED = 42
@@ -191,7 +191,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, tau: int = TAU) -> DataFrame:
     """One row, with its own columns, of each group: that of the least id, and of rows equal to it one."""
     columns = docs.columns
-    keyed = docs.withColumn("__k", F.xxhash64(*columns))
-    found = near_duplicates(keyed.withColumn("__id", F.struct(id_col, "__k")), "__id", text_col, shingle, tau)
-    kept = found.where(F.col("id") == F.col("component")).select(F.col("id.__k").alias("__k")).distinct()
-    return keyed.join(kept, "__k", "left_semi").dropDuplicates(["__k"]).select(*columns)
+    k_, id_ = unused(columns, "__k", "__id")
+    keyed = docs.withColumn(k_, F.xxhash64(*columns))
+    found = near_duplicates(keyed.withColumn(id_, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(k_).alias("key"))), id_, text_col, shingle, tau)
+    kept = found.where(F.col("id") == F.col("component")).select(F.col("id.key").alias(k_)).distinct()
+    return keyed.join(kept, k_, "left_semi").dropDuplicates([k_]).select(*columns)
