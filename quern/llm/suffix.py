@@ -30,7 +30,7 @@ WINDOW, KMER = 200, 32
 #: Occurrences from which an anchor is hot.
 HOT = 1 << 14
 #: Bytes of pieces that are indexed together; one anchor's pieces are never parted.
-INDEX_BYTES = 1 << 21
+INDEX_BYTES = 1 << 18
 #: Bytes of texts whose arrays are made at once; they then fit a core's cache.
 CHUNK = 1 << 18
 
@@ -193,10 +193,12 @@ class _Pieces:
     def anchors(self, buckets: int) -> np.ndarray:
         return ex.keyed(self._hash(self.at, KMER, 0), buckets) if len(self.at) else np.zeros(0, dtype=U64)
 
-    def piece_hashes(self) -> np.ndarray:
-        if not len(self.at):
+    def piece_hashes(self, which: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """A hash of the bytes of each piece, by which a group knows it again."""
+        s, e = self.s[which], self.e[which]
+        if not len(s):
             return np.zeros(0, dtype=U64)
-        return rolling.mix(self._hash(self.s, self.e - self.s, 0) + (self.e - self.s).astype(U64))
+        return rolling.mix(self._hash(s, e - s, 0) + (e - s).astype(U64))
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -261,14 +263,17 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         texts, g = group.column("t").to_pylist(), group.column("g")[0].as_py()
         warm, burning = _hot_table(hits)
         found: dict[tuple[int, bytes], int] = {}
+        names: dict[tuple[int, bytes], int] = {}
         keys, checks = [], []
         for a, b in rolling.chunks(texts, CHUNK):
             p = _Pieces(texts[a:b], window)
             anchor = p.anchors(buckets)
-            data = memoryview(p.data)
-            for k in np.flatnonzero(ex.member(anchor, warm)).tolist():
-                piece = (int(anchor[k]), bytes(data[p.s[k] : p.e[k]]))
+            at = np.flatnonzero(ex.member(anchor, warm))
+            data = p.data.tobytes()
+            for a_, s_, e_, h_ in zip(anchor[at].tolist(), p.s[at].tolist(), p.e[at].tolist(), p.piece_hashes(at).tolist(), strict=True):
+                piece = (a_, data[s_:e_])
                 found[piece] = found.get(piece, 0) + 1
+                names[piece] = h_
             for at in _windows_of(p, ex.member(anchor, burning), window):
                 keys.append(ex.keyed(p._hash(at, window, 0), buckets))
                 checks.append(p._hash(at, window, 1))
@@ -280,7 +285,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for bucket, s, e in ex.by_bucket(of):
             part = pieces[s:e]
             blob = (
-                np.int64(e - s).tobytes() + (of[s:e] & ex.LOW).tobytes()
+                np.int64(e - s).tobytes() + (of[s:e] & ex.LOW).tobytes() + np.fromiter((names[x] for x in part), U64, e - s).tobytes()
                 + np.fromiter((len(t) for _, t in part), "<u4", e - s).tobytes()
                 + bytes(found[x] > 1 for x in part) + b"".join(t for _, t in part)
             )
@@ -292,6 +297,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         sent = list(zip(group.column("g").to_pylist(), group.column("kind").to_pylist(), group.column("blob").to_pylist(), strict=True))
         out = ex.repeated_windows(bucket, [(g, x) for g, kind, x in sent if kind == 1], 1)
         home: dict[tuple[int, bytes], list[int]] = {}
+        names: dict[tuple[int, bytes], int] = {}
         twice: set[tuple[int, bytes]] = set()
         for g, kind, x in sent:
             if kind:
@@ -299,34 +305,41 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             x = zlib.decompress(x)
             n = int(np.frombuffer(x, np.int64, 1)[0])
             anchor = np.frombuffer(x, U64, n, 8).tolist()
-            length = np.frombuffer(x, "<u4", n, 8 + 8 * n)
-            multi, at = x[8 + 12 * n : 8 + 13 * n], 8 + 13 * n
-            for a, m, size in zip(anchor, multi, length.tolist(), strict=True):
+            name = np.frombuffer(x, U64, n, 8 + 8 * n).tolist()
+            length = np.frombuffer(x, "<u4", n, 8 + 16 * n).tolist()
+            multi, at = x[8 + 20 * n : 8 + 21 * n], 8 + 21 * n
+            for a, m, size, h in zip(anchor, multi, length, name, strict=True):
                 piece = (a, x[at : at + size])
                 at += size
-                home.setdefault(piece, []).append(g)
-                if m:
+                names[piece] = h
+                if piece in home:
+                    home[piece].append(g)
                     twice.add(piece)
-        for piece, gs in home.items():
-            if len(gs) > 1:
-                twice.add(piece)
-        verdict: dict[int, list[tuple[bytes, np.ndarray]]] = {}
-
-        def tell(piece: tuple[int, bytes], begin: np.ndarray) -> None:
-            for g in home[piece] if begin.any() else ():
-                verdict.setdefault(g, []).append((piece[1], begin))
+                else:
+                    home[piece] = [g]
+                    if m:
+                        twice.add(piece)
+        whole: dict[int, list[int]] = {}  # group -> pieces all of whose windows repeat
+        partly: dict[int, list[tuple[int, np.ndarray]]] = {}
 
         distinct = Counter(a for a, _ in home)
         alone = [x for x in home if distinct[x[0]] == 1]  # all of its anchor's pieces are equal
         for piece in alone:
             if piece in twice:
-                tell(piece, np.ones(len(piece[1]) - window + 1, dtype=bool))
+                for g in home[piece]:
+                    whole.setdefault(g, []).append(names[piece])
         for part in _batches(sorted(x for x in home if distinct[x[0]] > 1)):
             for piece, begin in zip(part, repeated_starts([t for _, t in part], [x in twice for x in part], window), strict=True):
-                tell(piece, begin)
-        for g, told in verdict.items():
+                n = int(begin.sum())
+                for g in home[piece] if n else ():
+                    if n == len(begin):
+                        whole.setdefault(g, []).append(names[piece])
+                    else:
+                        partly.setdefault(g, []).append((names[piece], begin))
+        out += [(bucket, g, 2, np.array(told, dtype=U64).tobytes()) for g, told in whole.items()]
+        for g, told in partly.items():
             bits = b"".join(np.packbits(b).tobytes() for _, b in told)
-            out.append((bucket, g, 0, np.int64(len(told)).tobytes() + np.array([_piece_hash(t) for t, _ in told], dtype=U64).tobytes() + np.array([len(b) for _, b in told], dtype="<u4").tobytes() + bits))
+            out.append((bucket, g, 0, np.int64(len(told)).tobytes() + np.array([h for h, _ in told], dtype=U64).tobytes() + np.array([len(b) for _, b in told], dtype="<u4").tobytes() + bits))
         return ex.blobs(out)
 
     id_type = rows.schema["id"].dataType
@@ -339,6 +352,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         texts = group.column("t").to_pylist()
         burnt = ex.key_of_blobs(hits, 1) if hits.num_rows else np.zeros(0, dtype=U64)
         told: dict[int, np.ndarray] = {}
+        parts = [np.frombuffer(x, U64) for kind, x in zip(hits.column("kind").to_pylist(), hits.column("blob").to_pylist(), strict=True) if kind == 2]
+        whole = np.sort(np.concatenate(parts)) if parts else np.zeros(0, dtype=U64)
         for kind, x in zip(hits.column("kind").to_pylist(), hits.column("blob").to_pylist(), strict=True) if hits.num_rows else ():
             if kind == 0:
                 n = int(np.frombuffer(x, np.int64, 1)[0])
@@ -352,8 +367,14 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for a, b in rolling.chunks(texts, CHUNK):
             p = _Pieces(texts[a:b], window)
             begins = np.zeros(len(p.data), dtype=bool)
+            hashes = p.piece_hashes() if len(known) or len(whole) else None
+            if len(whole):
+                hit = ex.member(hashes, whole)
+                edge = np.zeros(len(p.data) + 1, dtype=np.int32)
+                edge[p.s[hit]] += 1  # pieces neither share starts nor overlap in starts
+                edge[p.e[hit] - window + 1] -= 1
+                begins = np.cumsum(edge[:-1]) > 0
             if len(known):
-                hashes = p.piece_hashes()
                 for k in np.flatnonzero(ex.member(hashes, known)).tolist():
                     begin = told[int(hashes[k])]
                     begins[p.s[k] : p.s[k] + len(begin)] = begin
@@ -407,9 +428,3 @@ def _batches(pieces: list[tuple[int, bytes]]):
     if run:
         yield run
 
-
-def _piece_hash(text: bytes) -> int:
-    """What ``piece_hashes`` gives for a piece of these bytes."""
-    value = np.frombuffer(text, np.uint8).astype(U64) + U64(1)
-    total = rolling.prefix(value, rolling.BASES[0])[-1:]
-    return int(rolling.mix(rolling.mix(total) + U64(len(text)))[0])
