@@ -59,3 +59,38 @@ def NumPoints(x: Any) -> Expression: return Call("num_points", lambda c: S.size(
 def Envelope(x: Any) -> Expression: return Call("envelope", envelope, x)
 def GeoContains(x: Any, y: Any) -> Expression: return Call("geo_contains", contains, x, y)
 def GeometryTypeName(x: Any) -> Expression: return Call("geometry_type", lambda c: S.upper(S.regexp_extract(c, r"^\s*(\w+)", 1)), x)
+
+
+def centroid(c: Column) -> Column:
+    """The mean of the distinct corners, as WKT."""
+    p = S.array_distinct(points(c))
+    n = S.size(p)
+    x = S.aggregate(p, S.lit(0.0), lambda a, q: a + q["x"]) / n
+    y = S.aggregate(p, S.lit(0.0), lambda a, q: a + q["y"]) / n
+    return S.concat(S.lit("POINT("), x.cast("string"), S.lit(" "), y.cast("string"), S.lit(")"))
+
+
+def boxes_meet(a: Column, b: Column) -> Column:
+    p, q = envelope(a), envelope(b)
+    return (p["x0"] <= q["x1"]) & (q["x0"] <= p["x1"]) & (p["y0"] <= q["y1"]) & (q["y0"] <= p["y1"])
+
+
+def geojson(c: Column) -> Column:
+    """Points and lines as GeoJSON."""
+    p = S.transform(points(c), lambda q: S.array(q["x"], q["y"]))
+    point = S.upper(S.regexp_extract(c, r"^\s*(\w+)", 1)) == "POINT"
+    one, many = S.to_json(S.struct(S.lit("Point").alias("type"), p[0].alias("coordinates"))), S.to_json(S.struct(S.lit("LineString").alias("type"), p.alias("coordinates")))
+    return S.when(point, one).otherwise(many)
+
+
+def Centroid(x: Any) -> Expression: return Call("centroid", centroid, x)
+def BoxesMeet(x: Any, y: Any) -> Expression: return Call("boxes_meet", boxes_meet, x, y)
+def AsGeoJSON(x: Any) -> Expression: return Call("as_geojson", geojson, x)
+def Within(x: Any, y: Any) -> Expression: return Call("within", lambda a, b: contains(b, a), x, y)
+def IsValid(x: Any) -> Expression: return Call("is_valid", lambda c: S.coalesce(S.forall(points(c), lambda p: p["x"].isNotNull() & p["y"].isNotNull()), S.lit(False)), x)
+
+
+def extent(df: Any, keys: list[str], column: str) -> Any:
+    """The bounding box of each group's geometries, folded before it is shuffled."""
+    e = df.withColumn("__e", envelope(S.col(column)))
+    return e.groupBy(*keys).agg(S.min("__e.x0").alias("x0"), S.min("__e.y0").alias("y0"), S.max("__e.x1").alias("x1"), S.max("__e.y1").alias("y1"))

@@ -128,6 +128,39 @@ def _nearby(c: Column, vector: Any, distance: float) -> Column:
     return l2(c, S.array(*[S.lit(float(x)) for x in vector])) < distance
 
 
+def json_filter(c: Column, wanted: dict[str, Any]) -> Column:
+    """Conditions on paths of a JSON text: ``{"a__b__gte": 3}``.  A comparison holds only
+    for a value of the literal's own kind; null asks for JSON null or a missing path."""
+    kinds = {bool: "boolean", int: "bigint", float: "double", str: "string"}
+    out = S.lit(True)
+    doc = S.try_parse_json(c)
+    for path, value in wanted.items():
+        parts = path.split("__")
+        name = parts.pop() if parts[-1] in LOOKUPS and len(parts) > 1 else "exact"
+        at = "$" + "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in parts)
+        if name == "isnull" or value is None:
+            found = S.try_variant_get(doc, at, "variant")
+            missing = found.isNull() | S.is_variant_null(found)
+            out = out & (missing if value is None or value else ~missing)
+            continue
+        sample = value[0] if isinstance(value, (list, tuple)) else value
+        whole = S.schema_of_variant(S.try_variant_get(doc, at, "variant"))
+        kind = kinds[type(sample)]
+        fits = {"boolean": whole == "BOOLEAN", "string": whole == "STRING"}.get(kind, whole.rlike("^(BIGINT|DOUBLE|DECIMAL)"))
+        typed = S.try_variant_get(doc, at, "double" if kind == "bigint" else kind)
+        out = out & true_only(fits & LOOKUPS[name](typed, value))
+    return out
+
+
+def of_kind(c: Column, wanted: tuple[str, str, Any]) -> Column:
+    """A variant column whose stored kind and value fit: ``(type, lookup, value)``."""
+    kind, name, value = wanted
+    return true_only((S.schema_of_variant(c) == kind.upper()) & LOOKUPS[name](S.try_variant_get(c, "$", kind), value))
+
+
+LOOKUPS["filter"] = json_filter
+LOOKUPS["of_kind"] = of_kind
+
 #: Steps between a column and its lookup.
 TRANSFORMS: dict[str, Callable[[Column], Column]] = {
     **PARTS,

@@ -828,6 +828,146 @@ def change_rows(db: Database) -> Any:
     return changes(before, after, ["o_orderkey"]).select("o_orderkey", "op")
 
 
+@query("""SELECT p_partkey, trim('  ' || p_name || ' ') AS t, ltrim('  ' || p_name || ' ') AS l, rtrim('  ' || p_name || ' ') AS r, sha1(p_name) AS s1, chr(p_size + 300) AS ch, unicode('x') AS o,
+split_part(p_name, ' ', 1) AS w FROM part""")
+def more_text(db: Database) -> Any:
+    padded = T.Concat(Value("  "), "p_name", Value(" "))
+    return db("Part").values("p_partkey", t=T.Trim(padded), l=T.LTrim(padded), r=T.RTrim(padded), s1=T.SHA1("p_name"), ch=T.Chr(F("p_size") + 300), o=T.Ord(Value("x")), w=K.ArrayItem(K.Split("p_name", " "), 0))
+
+
+@query("""SELECT p_partkey, round(tan(p_size), 6) AS t, round(cot(p_size), 6) AS ct, round(asin(1.0 / p_size), 9) AS a, round(acos(1.0 / p_size), 9) AS ac, round(atan2(p_size, 2), 9) AS a2, round(degrees(p_size), 6) AS d,
+sign(p_size - 20)::DOUBLE AS s, round(pi() * p_size, 6) AS p, round(p_retailprice, 1) AS r FROM part""")
+def more_math(db: Database) -> Any:
+    x = "p_size"
+    one = Value(1.0) / F(x)
+    return db("Part").values(
+        "p_partkey", t=M.Round(M.Tan(x), 6), ct=M.Round(M.Cot(x), 6), a=M.Round(M.ASin(one), 9), ac=M.Round(M.ACos(one), 9), a2=M.Round(M.ATan2(x, Value(2)), 9), d=M.Round(M.Degrees(x), 6),
+        s=M.Sign(F(x) - 20), p=M.Round(M.Pi() * F(x), 6), r=M.Round("p_retailprice", 1),
+    )
+
+
+@query("SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'machinery' ORDER BY c_custkey")
+def collation(db: Database) -> Any:
+    return db("Customer").annotate(seg=C.Collate("c_mktsegment", "UTF8_LCASE")).filter(seg="machinery").values("c_custkey")
+
+
+@query("SELECT p_partkey, map_keys(map {p_brand: p_size}) AS k, map_values(map {p_brand: p_size}) AS v, p_brand = 'Brand#2' AS has, p_size AS e, list_has_all(['red', 'blue', 'bolt'], string_split(p_name, ' ')) AS sub, list_has_any(string_split(p_name, ' '), ['red']) AS ov FROM part")
+def more_containers(db: Database) -> Any:
+    m, words = K.Map("p_brand", "p_size"), K.Split("p_name", " ")
+    return db("Part").values(
+        "p_partkey", k=K.MapKeys(m), v=K.MapValues(m), has=K.MapContainsKey(m, "Brand#2"), e=K.TupleElement(K.Tuple(a="p_size"), "a"),
+        sub=K.ArrayContainedBy(words, K.Array(Value("red"), Value("blue"), Value("bolt"))), ov=K.ArrayOverlap(words, K.Array(Value("red"))),
+    )
+
+
+@query("SELECT l_returnflag, [round(x, 4) for x in quantile_cont(l_extendedprice, [0.1, 0.5, 0.9])] AS q, quantile_disc(l_linenumber, 0.5) AS e, count(DISTINCT l_partkey) AS u, list_sort(list(DISTINCT l_linenumber)) AS g FROM lineitem GROUP BY 1")
+def more_aggregates(db: Database) -> Any:
+    rows = db("Lineitem").values("l_returnflag").annotate(q=A.Quantiles("l_extendedprice", 0.1, 0.5, 0.9), e=A.Quantile("l_linenumber", 0.5, exact=True), u=A.UniqExact("l_partkey"), g=A.GroupUniqArray("l_linenumber"))
+    return rows.df.withColumn("q", S.transform("q", lambda x: S.round(x, 4)))
+
+
+@query("SELECT l_returnflag, round(regr_sxx(l_tax, l_quantity), 4) AS xx, round(regr_syy(l_tax, l_quantity), 6) AS yy, round(regr_sxy(l_tax, l_quantity), 4) AS xy, round(regr_avgy(l_tax, l_quantity), 8) AS ay, round(covar_samp(l_tax, l_quantity), 8) AS cs, round(var_samp(l_tax), 10) AS vs, round(avg(DISTINCT l_linenumber), 6) AS ad FROM lineitem GROUP BY 1")
+def more_statistics(db: Database) -> Any:
+    yx = ("l_tax", "l_quantity")
+    return db("Lineitem").values("l_returnflag").annotate(
+        xx=M.Round(A.RegrSXX(*yx), 4), yy=M.Round(A.RegrSYY(*yx), 6), xy=M.Round(A.RegrSXY(*yx), 4), ay=M.Round(A.RegrAvgY(*yx), 8), cs=M.Round(A.CovarSamp(*yx), 8), vs=M.Round(A.Variance("l_tax", sample=True), 10), ad=M.Round(A.Avg("l_linenumber", distinct=True), 6),
+    )
+
+
+@query("SELECT n_regionkey, '[' || string_agg('\"' || n_name || '\"', ',' ORDER BY n_name) || ']' AS names FROM nation GROUP BY 1")
+def json_agg(db: Database) -> Any:
+    return db("Nation").values("n_regionkey").annotate(names=A.JSONAgg("n_name"))
+
+
+@query(None)
+def top_k(db: Database) -> Any:
+    return db("Event").aggregate(top=A.TopK("event_type", 3))
+
+
+@query("SELECT event_id FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) BETWEEN 10 AND 20")
+def json_filter(db: Database) -> Any:
+    return db("Event").filter(props__filter={"k__gte": 10, "k__lte": 20}).values("event_id")
+
+
+@query("SELECT event_id FROM events ORDER BY CAST(json_extract_string(props, '$.k') AS DOUBLE), event_id LIMIT 20")
+def json_order(db: Database) -> Any:
+    return db("Event").order_by(J.JsonSortKey("props", "$.k"), "event_id").values("event_id")[:20]
+
+
+@query("SELECT p_partkey, sqrt((p_size - 3.0) ^ 2 + 16) AS d, sqrt((p_size - 3.0) ^ 2 + 16) <= 10 AS near, p_size <= 20 AS meet, 'POINT' AS kind, 1::BIGINT AS n FROM part")
+def more_geometry(db: Database) -> Any:
+    point = T.Concat(Value("POINT("), "p_size", Value(" 4)"))
+    return db("Part").annotate(g=point).values(
+        "p_partkey", d=G.Distance("g", Value("POINT(3 0)")), near=G.DWithin("g", Value("POINT(3 0)"), 10), meet=G.BoxesMeet("g", Value("LINESTRING(0 0, 20 9)")), kind=G.GeometryTypeName("g"), n=G.NumPoints("g"))
+
+
+@query("SELECT p_brand, min(p_size)::DOUBLE AS x0, min(p_partkey)::DOUBLE AS y0, max(p_size)::DOUBLE AS x1, max(p_partkey)::DOUBLE AS y1 FROM part GROUP BY 1")
+def geometry_extent(db: Database) -> Any:
+    return G.extent(db("Part").annotate(g=T.Concat(Value("POINT("), "p_size", Value(" "), "p_partkey", Value(")"))).df, ["p_brand"], "g")
+
+
+@query("SELECT p_partkey, regexp_replace(p_name, '\\b(red|bolt)\\b', '<b>\\1</b>', 'gi') AS h FROM part")
+def search_headline(db: Database) -> Any:
+    return db("Part").values("p_partkey", h=search.SearchHeadline("p_name", search.SearchQuery("red bolt")))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_size >= 10 AND p_brand IN ('Brand#2', 'Brand#4') AND lower(p_name) LIKE '%bolt%' ORDER BY p_size DESC, p_partkey LIMIT 5 OFFSET 5")
+def request_query(db: Database) -> Any:
+    from quern.plans.request import RequestQuery
+
+    r = RequestQuery({"least": ("p_size__gte", int), "brands": ("p_brand__in", str)}, ordering=("p_size", "p_partkey"), search=("p_name",), page_size=5)
+    return r.apply(db("Part").values("p_partkey", "p_name"), {"least": "10", "brands": "Brand#2,Brand#4", "q": "BOLT", "order": "-p_size,p_partkey", "page": 2})
+
+
+@query("SELECT DISTINCT s_suppkey, s_name FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE l_partkey = 7")
+def related_rows(db: Database) -> Any:
+    return db("Part").related("suppliers", 7).values("s_suppkey", "s_name")
+
+
+@query("SELECT o_custkey, sum(o_totalprice > 100000)::BIGINT AS o_totalprice FROM orders GROUP BY 1")
+def summing_final(db: Database) -> Any:
+    from quern.operators.dml import summed_model
+
+    ones = db.frame("orders").select("o_custkey", (S.col("o_totalprice") > 100000).cast("long").alias("o_totalprice"))
+    return summed_model(ones, Model("x", "x", ("o_custkey",)), ["o_totalprice"])
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 0")
+def collapsing_final(db: Database) -> Any:
+    from quern.operators.dml import collapsed
+
+    rows = db.frame("orders").select("o_orderkey", S.lit(1).alias("sign"))
+    return collapsed(rows.union(rows.where("o_orderkey % 10 = 0").withColumn("sign", S.lit(-1))), Model("x", "x", ("o_orderkey",)), "sign").select("o_orderkey")
+
+
+@query("""SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 20 UNION ALL SELECT n_nationkey, 'new' FROM nation WHERE n_nationkey >= 20 UNION ALL SELECT n_nationkey + 100, 'new' FROM nation WHERE n_nationkey < 5""")
+def upsert_rows(db: Database) -> Any:
+    from quern.operators.writes import upserted
+
+    table = db.frame("nation").select("n_nationkey", "n_name")
+    new = table.where("n_nationkey >= 20").unionByName(table.where("n_nationkey < 5").withColumn("n_nationkey", S.col("n_nationkey") + 100)).withColumn("n_name", S.lit("new"))
+    return upserted(table, new, ["n_nationkey"], ["n_name"])
+
+
+@query("SELECT c_custkey, twice FROM (SELECT c_custkey, c_acctbal * 2 AS twice FROM customer) WHERE twice > 15000")
+def stored_function(db: Database) -> Any:
+    from quern.operators.expressions import CustomFunction
+
+    db.create_function("quern_twice", "x DOUBLE", "DOUBLE", "x * 2")
+    return db("Customer").annotate(twice=CustomFunction("quern_twice")("c_acctbal")).filter(twice__gt=15000).values("c_custkey", "twice")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey > 10 THEN 'late' END AS w, n_nationkey > 10 AS late FROM nation")
+def condition_values(db: Database) -> Any:
+    return db("Nation").annotate(late=Q(n_nationkey__gt=10)).values("n_nationkey", "late", w=Case(When(n_nationkey__gt=10, then="late")))
+
+
+@query("SELECT c_custkey FROM customer WHERE (c_custkey // 64) % 4 = 1 AND c_custkey < 256 OR c_custkey = 300")
+def network_overlap(db: Database) -> Any:
+    ip = T.Concat(Value("10.0."), M.IntDiv("c_custkey", 256), Value("."), F("c_custkey") % 256)
+    return db("Customer").alias(ip=ip).filter(Q(ip__net_overlaps="10.0.0.64/26") | Q(ip__net_contained_or_equal="10.0.1.44/32")).values("c_custkey")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

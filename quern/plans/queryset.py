@@ -166,8 +166,6 @@ class Compiler:
         name = "exact"
         if parts[-1] in lookups.LOOKUPS and (len(parts) > 1) and path not in self.df.columns and path not in self.pending:
             name, parts = parts[-1], parts[:-1]
-        if name == "filter":
-            raise QueryError("use paths")
         if parts == ["pk"] and self.model and len(self.model.key) > 1:
             return self.composite(name, value)
         column = self.resolve(SEP.join(parts))
@@ -451,6 +449,19 @@ class QuerySet:
     def transform(self, fn: Any) -> QuerySet:
         """Apply a function from DataFrame to DataFrame to the rows so far."""
         return QuerySet(self.db, None, (), fn(self.df))
+    def related(self, relation: str, *key: Any) -> QuerySet:
+        """The rows that one owner, given by key, reaches over a relation."""
+        r = self.model.relations[relation]
+        target = self.db.registry.models[r.target]
+        if r.through:
+            link = self.db.frame(r.through)
+            for c, v in zip(r.through_here, key, strict=True):
+                link = link.where(S.col(c) == v)
+            keys = link.select(*[S.col(a).alias(b) for a, b in zip(r.through_there, r.there, strict=True)]).distinct()
+            return QuerySet(self.db, target, (), self.db.rows(target).join(keys, list(r.there), "left_semi"))
+        return QuerySet(self.db, target).filter(**dict(zip(r.there, key, strict=True)))
+
+    def latest_versions(self) -> QuerySet: return self.final()
     def select_for_update(self, **_: Any) -> QuerySet:
         raise UnsupportedError("rows can't be locked")
 
@@ -812,9 +823,18 @@ class QuerySet:
         return self.db.spark.table(name)
 
 
+def register_extension(name: str, step: Any) -> None:
+    """Add a chain method: ``step(df, *args)`` gets and returns a DataFrame."""
+
+    def method(self: QuerySet, *args: Any, **kw: Any) -> QuerySet:
+        return self.transform(lambda df: step(df, *args, **kw))
+
+    setattr(QuerySet, name, method)
+
+
 class Prefetch:
     def __init__(self, path: str, queryset: QuerySet | None = None, to: str | None = None):
         self.path, self.queryset, self.to = path, queryset, to
 
 
-__all__ = ["Compiler", "FanOutError", "Prefetch", "QuerySet"]
+__all__ = ["Compiler", "FanOutError", "Prefetch", "QuerySet", "register_extension"]

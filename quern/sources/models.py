@@ -126,6 +126,10 @@ class Database:
 
         return QuerySet(self, self.registry.models[name])
 
+    def create_function(self, name: str, arguments: str, returns: str, body: str) -> None:
+        """A SQL function of the session, from declared text."""
+        self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {returns} RETURN {body}")
+
     def raw(self, sql: str, **params: Any) -> DataFrame:
         """A hand-written SELECT over the models' tables, with named parameters bound by Spark."""
         for model in self.registry.models.values():

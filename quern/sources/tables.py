@@ -46,19 +46,27 @@ def write_table(
     writer.parquet(path)
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Rewrite a table from a query that may read it: written beside, then renamed in.
-
-    The old rows stay until the new ones are complete; a failure between the two
-    renames leaves both folders, and the next call brings the old one back."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    Path = jvm.org.apache.hadoop.fs.Path
-    old, new = f"{path}.__old", f"{path}.__new-{uuid.uuid4().hex}"
-    fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+def _files(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    return Path, Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def staged(df: DataFrame, path: str) -> str:
+    """Write a table's new rows beside it; returns where."""
+    new = f"{path}.__new-{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    return new
+
+
+def swap(spark: SparkSession, path: str, new: str) -> None:
+    """Put staged rows in a table's place by two renames.
+
+    A failure between them leaves both folders; the next swap brings the old one
+    back first, so no rows are lost."""
+    Path, fs = _files(spark, path)
+    old = f"{path}.__old"
     if fs.exists(Path(old)) and not fs.exists(Path(path)):
         fs.rename(Path(old), Path(path))
-    df.write.parquet(new)
     fs.delete(Path(old), True)
     if fs.exists(Path(path)):
         fs.rename(Path(path), Path(old))
@@ -67,6 +75,18 @@ def replace_table(df: DataFrame, path: str) -> None:
     spark.catalog.refreshByPath(path)
 
 
+def replace_table(df: DataFrame, path: str) -> None:
+    """Rewrite a table from a query that may read it: all new rows are complete before the old ones go."""
+    swap(df.sparkSession, path, staged(df, path))
+
+
+def write_projection(df: DataFrame, path: str, keys: tuple[str, ...] = (), aggregates: tuple[Any, ...] = (), sort_by: tuple[str, ...] = ()) -> None:
+    """A second physical form of a table: aggregated by keys, or sorted otherwise."""
+    out = df.groupBy(*keys).agg(*aggregates) if aggregates else df
+    out = out.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by) if sort_by else out
+    out.write.mode("overwrite").parquet(path)
+
+
 class Encrypted:
     """Ciphertext columns with a keyed hash beside them for equality lookups."""
 
