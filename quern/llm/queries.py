@@ -131,6 +131,40 @@ FROM g
 """
 
 
+_SUBSTRING_SQL = r"""
+WITH base AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS g
+  FROM base, unnest(range(1, len(w) - 33)) AS r(i) WHERE len(w) >= 35),
+repeats AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY g) > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM repeats, unnest(range(0, 35)) AS o(k)),
+words AS (SELECT doc_id, w[p] AS word, p FROM base, unnest(range(1, len(w) + 1)) AS r(p)),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t
+  FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM base LEFT JOIN kept USING (doc_id)
+"""
+
+_SUFFIX_SQL = r"""
+WITH base AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 400)) AS g FROM base, unnest(range(0, n - 199)) AS r(i) WHERE n >= 200),
+repeats AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY g) > 1),
+islands AS (
+  SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (
+    SELECT doc_id, i, (i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) + 200)::INT AS fresh FROM repeats)),
+spans AS (SELECT doc_id, k, min(i) AS s, max(i) + 200 AS e FROM islands GROUP BY doc_id, k),
+cuts AS (
+  SELECT doc_id, s, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM spans),
+parts AS (
+  SELECT c.doc_id, count(*) AS m, sum(e - s) AS r, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS t, max(e) AS last
+  FROM cuts c JOIN base USING (doc_id) GROUP BY c.doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(r, 0)::BIGINT AS n_removed, coalesce(m, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(t || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM base LEFT JOIN parts USING (doc_id)
+"""
+
+
 def _quality_sql() -> str:
     stops = sorted({w for s in quality.STOP_WORDS for w in (s, s.capitalize())})
     return _QUALITY_SQL.replace("STOPS", ", ".join(f"'{w}'" for w in stops))
@@ -152,4 +186,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": _quality_sql()}
+    return {
+        "op2_anchor_substring_dedup": _SUBSTRING_SQL,
+        "op5_run_length_suffix_dedup": _SUFFIX_SQL,
+        "op8_quality_rules": _quality_sql(),
+    }

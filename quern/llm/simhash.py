@@ -7,10 +7,17 @@ first two segments agree and the next three together differ in one bit at most,
 so one half of those 24 bits agrees too.  Equal keys of 28 bits, two for each of
 the eight starting segments, therefore find every link; the rest of the chain is
 checked before the full Hamming distance.
+
+For a lower similarity than three bits stand for, ``similar`` takes wide
+fingerprints of 128 bits on a ring of sixteen segments.  So many bits may differ
+then that no key of useful length is sure to agree, so its candidates come from
+sampled keys, as many and as long as a recall of 95 % at the threshold asks for at
+the number of fingerprints; the pigeonring chains and the full Hamming check follow.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,39 +28,51 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import checkpoint, shuffle_partitions, text_bytes, unused
 from quern.llm.components import connected
+from quern.llm.rolling import mix
 
 SEED = 42
 BITS, SEGMENTS, TAU = 64, 8, 3
 U64 = np.uint64
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = SEED) -> int:
-    """Majority of each bit over the XXH64 of the text's word shingles; no words give 0."""
+def shingle_hashes(text: bytes, shingle: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle of lower-cased words, or of all words if they are fewer."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=U64)
     if len(words) < shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], dtype=U64)
-    else:
-        line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[:-1]))
-        view, digest = memoryview(line), xxhash.xxh64_intdigest
-        last = len(words) - shingle + 1
-        hashes = np.fromiter(
-            (digest(view[s:e], seed) for s, e in zip(starts[:last].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)),
-            dtype=U64, count=last,
-        )
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], dtype=U64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))
+    view, digest = memoryview(line), xxhash.xxh64_intdigest
+    last = len(words) - shingle + 1
+    return np.fromiter(
+        (digest(view[s:e], seed) for s, e in zip(starts[:last].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)),
+        dtype=U64, count=last,
+    )
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Each of 64 bits is 1 if it is set in over half of the hashes."""
     ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 16):  # bounded for very long texts
-        part = hashes[at : at + (1 << 16)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    for at in range(0, len(hashes), 255 << 8):  # bounded for very long texts
+        part = hashes[at : at + (255 << 8)]
+        rows = np.zeros((-(-len(part) // 255) * 255, BITS), dtype=np.uint8)
+        rows[: len(part)] = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        # Sums of 255 rows fit a byte, and bytes add fast.
+        ones += rows.reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
     value = 0
     for bit in np.flatnonzero(2 * ones > len(hashes)).tolist():
         value |= 1 << bit
     return value
 
 
+def fingerprint(text: bytes, shingle: int = 3, seed: int = SEED) -> int:
+    """Majority of each bit over the XXH64 of the text's word shingles; no words give 0."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fp): fp is the fingerprint as a signed long.  A null text has fingerprint 0."""
 
@@ -188,11 +207,154 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(answer, "fp").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, tau: int = TAU) -> DataFrame:
-    """One row, with its own columns, of each group: that of the least id, and of rows equal to it one."""
+WIDE_SEGMENTS = 16
+#: Buckets up to this size are compared whole; larger ones by search.
+SMALL = 64
+
+
+def wide_fingerprint(text: bytes, shingle: int) -> tuple[int, int]:
+    """128 bits from each distinct shingle's hash and a mix of it."""
+    hashes = np.unique(shingle_hashes(text, shingle))
+    return majority(hashes), majority(mix(hashes + U64(0x9E3779B97F4A7C15)))
+
+
+def differing_share(similarity: float) -> float:
+    """The share of bits that differ, on average, for sets of this resemblance."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+def key_plan(n: int, share: float, recall: float = 0.95) -> tuple[int, int]:
+    """(bits, keys): so long that a bucket holds about eight of n, so many that a pair
+    differing in ``share`` of the bits agrees on one key with the recall asked for."""
+    bits = min(40, max(12, math.ceil(math.log2(max(n, 2))) - 3))
+    return bits, math.ceil(math.log(1 - recall) / math.log1p(-((1 - share) ** bits)))
+
+
+def wide_near(diff: np.ndarray, tau: int) -> np.ndarray:
+    """Rows (two words) within ``tau`` bits: first some chain of three segments must
+    keep to its proportional budgets, then the whole distance counts."""
+    parts = popcount(diff.view(np.uint8).reshape(-1, WIDE_SEGMENTS)).astype(np.int16)
+    total = np.zeros_like(parts)
+    ok = np.ones(parts.shape, dtype=bool)
+    for k in range(1, 4):
+        total += np.roll(parts, 1 - k, axis=1)
+        ok &= total <= tau * k // WIDE_SEGMENTS
+    out = ok.any(axis=1)
+    out[out] = parts[out].sum(axis=1) <= tau
+    return out
+
+
+def wide_forest(words: np.ndarray, tau: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """As ``forest``, for rows of two words; with ``side`` only links across it."""
+    edges: list[tuple[int, int]] = []
+    left = np.ones(len(words), dtype=bool)
+    for first in range(len(words)):
+        if not left[first]:
+            continue
+        left[first] = False
+        queue = [first]
+        while queue:
+            at = queue.pop()
+            rest = np.flatnonzero(left if side is None else left & (side != side[at]))
+            near = rest[wide_near(words[rest] ^ words[at], tau)] if len(rest) else rest
+            left[near] = False
+            edges += [(at, int(x)) for x in near]
+            queue += near.tolist()
+    return edges
+
+
+def wide_links(fps: DataFrame, tau: int, bits: int, keys: int, block: int = 4096, seed: int = 5) -> DataFrame:
+    """(a, b) over distinct (node, lo, hi): edges of links met under sampled keys."""
+    n = shuffle_partitions(fps.sparkSession)
+    rng = np.random.default_rng(seed)
+    places = [rng.permutation(2 * BITS)[:bits] for _ in range(keys)]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.stack([batch.column(c).to_numpy().view(U64) for c in (1, 2)], axis=1)
+            for k, place in enumerate(places):
+                key = np.zeros(len(words), dtype=U64)
+                for p in place.tolist():
+                    key = key << U64(1) | (words[:, p // BITS] >> U64(p % BITS)) & U64(1)
+                key |= U64(k << 44)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], names=["key", "node", "lo", "hi"])
+
+    keyed = fps.select("node", "lo", "hi").mapInArrow(spread, "key long, node long, lo long, hi long")
+    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    cut = F.ceil(F.coalesce("n", F.lit(1)) / block).cast("int")
+    units = (
+        keyed.join(hot, "key", "left").withColumn("blocks", cut)
+        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "lo", "hi")
+        .withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(4 * n)))
+    )
+
+    def run(group: pa.Table) -> pa.Table:
+        key, i, j, mine, node = (group.column(c).to_numpy() for c in ("key", "i", "j", "mine", "node"))
+        order = np.lexsort((mine, j, i, key))
+        key, i, j, mine, node = key[order], i[order], j[order], mine[order], node[order]
+        words = np.stack([group.column(c).to_numpy().view(U64)[order] for c in ("lo", "hi")], axis=1)
+        cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        bounds = np.concatenate(([0], cut, [len(key)]))
+        size = np.diff(bounds)
+        unit = np.repeat(np.arange(len(size)), size)
+        small = (size <= SMALL)[unit] & (i == j)
+        a: list[np.ndarray] = []
+        b: list[np.ndarray] = []
+        for step in range(1, int(size[size <= SMALL].max(initial=1))):  # all pairs of the small units at once
+            at = np.flatnonzero(small[:-step] & (unit[step:] == unit[:-step]))
+            if not len(at):
+                break
+            at = at[wide_near(words[at] ^ words[at + step], tau)]
+            a.append(node[at])
+            b.append(node[at + step])
+        for u in np.flatnonzero((size > SMALL) | (i != j)[bounds[:-1]]).tolist():
+            s, e = int(bounds[u]), int(bounds[u + 1])
+            across = (mine[s:e] == j[s]) if i[s] != j[s] else None
+            found = wide_forest(words[s:e], tau, across)
+            a.append(node[[s + x for x, _ in found]])
+            b.append(node[[s + y for _, y in found]])
+        none = np.zeros(0, dtype=np.int64)
+        return pa.table({"a": np.concatenate(a) if a else none, "b": np.concatenate(b) if b else none})
+
+    return units.groupBy("part").applyInArrow(run, "a long, b long")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component): documents whose shingle sets resemble each other by ``similarity``
+    or more, as wide fingerprints estimate it, directly or through others.
+
+    The bound on differing bits lies a standard error above the mean at the
+    threshold, so most pairs at it are linked and nearly all above it.  The
+    component is its least id.  Null, empty and short texts, ties, repeated rows
+    and empty tables are treated as in ``near_duplicates``.
+    """
+    source = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("t"))
+    kind = source.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([wide_fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=U64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["id", "lo", "hi"])
+
+    rows = checkpoint(source.mapInArrow(run, f"id {kind}, lo long, hi long").withColumn("node", F.xxhash64("lo", "hi")))
+    distinct = checkpoint(rows.groupBy("node", "lo", "hi").agg(F.min("id").alias("least")))
+    share = differing_share(similarity)
+    tau = int(2 * BITS * share + math.sqrt(2 * BITS * share * (1 - share)))
+    bits, keys = key_plan(distinct.count(), share)
+    nodes = connected(wide_links(distinct, tau, bits, keys))
+    named = distinct.join(nodes.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    answer = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
+    return rows.join(answer, "node").select("id", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row, with its own columns, of each group of similar documents: that of the
+    least id, and of rows equal to it one."""
     columns = docs.columns
     k_, id_ = unused(columns, "__k", "__id")
     keyed = docs.withColumn(k_, F.xxhash64(*columns))
-    found = near_duplicates(keyed.withColumn(id_, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(k_).alias("key"))), id_, text_col, shingle, tau)
+    found = similar(keyed.withColumn(id_, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(k_).alias("key"))), id_, text_col, shingle, similarity)
     kept = found.where(F.col("id") == F.col("component")).select(F.col("id.key").alias(k_)).distinct()
     return keyed.join(kept, k_, "left_semi").dropDuplicates([k_]).select(*columns)

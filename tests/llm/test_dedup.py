@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from quern.llm import components, simhash, substring, suffix
+from quern.llm import components, queries, simhash, substring, suffix
 from tests.llm.cases import awkward, empty
+from tests.oracle import same
 
 COPY = "alpha beta gamma delta " * 12
 
@@ -119,6 +120,47 @@ def test_links_lose_nothing(spark):
         assert {x: roots.get(x, x) for x in signed} == {x: find(x) for x in signed}
 
 
+def test_similar_documents(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+
+    def resemblance(x, y):
+        a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (x, y))
+        return len(a & b) / len(a | b)
+
+    texts, close = [], []
+    for _ in range(120):
+        one = [rng.choice(vocabulary) for _ in range(rng.randint(150, 400))]
+        two = list(one)
+        for k in rng.sample(range(len(two)), rng.choice([1, 2, 3, 60])):
+            two[k] = rng.choice(vocabulary)
+        texts += [one, two]
+        close.append(resemblance(one, two))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in simhash.similar(docs).collect()}
+    linked = [got[2 * i] == got[2 * i + 1] for i in range(120)]
+    assert all(got[2 * i] == 2 * i for i in range(120))  # nothing links different texts
+    near = [x for x, c in zip(linked, close, strict=True) if c >= 0.85]
+    assert sum(near) >= 0.95 * len(near) and not any(x for x, c in zip(linked, close, strict=True) if c < 0.4)
+    assert simhash.keep_one(docs).count() == 240 - sum(linked)
+
+
+def test_wide_links_in_blocks(spark):
+    rng = random.Random(3)
+    centre, rows = rng.getrandbits(128), set()
+    for _ in range(90):
+        fp = centre
+        for _ in range(rng.randint(0, 6)):
+            fp ^= 1 << rng.randrange(128)
+        rows.add(fp)
+    rows = sorted(rows)
+    words = np.array([[fp & (2**64 - 1), fp >> 64] for fp in rows], dtype=np.uint64).view(np.int64)
+    df = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(words)], "node long, lo long, hi long")
+    for block in (4096, 8):  # one search, and pairs of blocks
+        edges = simhash.wide_links(df, 22, 4, 12, block=block)
+        assert {r["root"] for r in components.connected(edges).collect()} == {0}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7), (50, 60), (60, 55), (55, 50)]
     got = {r["node"]: r["root"] for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -148,3 +190,8 @@ def test_repeats_awkward(spark):
     for op in (substring, suffix):
         assert op.find_repeats(empty(spark)).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("name", ["op2_anchor_substring_dedup", "op5_run_length_suffix_dedup"])
+def test_queries_equal_sql(spark, sf_dir, name):
+    same(queries.queries()[name](spark, sf_dir), queries.oracle_sql()[name], sf_dir)
