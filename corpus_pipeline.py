@@ -14,8 +14,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, three bits of 64."""
-    return simhash.keep_one(docs, shingle=5)
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
