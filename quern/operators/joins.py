@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as S
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -26,6 +27,7 @@ class FilteredRelation:
 
 def asof_join(
     left: DataFrame, right: DataFrame, by: list[tuple[str, str]], on: tuple[str, str], op: str = ">=", prefix: str = "right__",
+    slices: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Each left row with the nearest right row: LEFT AS OF by one inequality.
 
@@ -33,6 +35,10 @@ def asof_join(
     ``<=`` and ``<`` the first one after.  Both sides are put in one sorted
     window by key, so nothing is joined by range; ties take the right row that
     sorts last by all its columns.  The right side's columns get ``prefix``.
+
+    ``slices`` maps the time to a value that never falls as time rises, such as its
+    day.  Windows are then cut by key and slice, so one hot key is many tasks; what
+    earlier slices hand on is folded to one row for each key and slice first.
     """
     if op not in (">=", ">", "<=", "<") or not by:
         raise QueryError("an as-of join needs equalities and one inequality")
@@ -45,8 +51,22 @@ def asof_join(
     strict = op in (">", "<")
     first = S.col("__mine").desc() if strict else S.col("__mine").asc()
     time = S.col("__t").desc() if ahead else S.col("__t").asc()
-    w = W.partitionBy(*keys).orderBy(time, first, S.col("__r").asc()).rowsBetween(W.unboundedPreceding, 0)
+    if slices is not None:
+        both = both.withColumn("__s", slices(S.col("__t")))
+    cut = [*keys, "__s"] if slices is not None else keys
+    w = W.partitionBy(*cut).orderBy(time, first, S.col("__r").asc()).rowsBetween(W.unboundedPreceding, 0)
     found = both.withColumn("__m", S.last("__r", ignorenulls=True).over(w)).where("__mine")
+    if slices is not None:
+        near = S.struct("__t", "__r")
+        last = (S.min if ahead else S.max)(S.when(~S.col("__mine"), S.struct("__t")))
+        ends = both.groupBy(*cut).agg(last.alias("__end"))
+        ties = both.where("NOT __mine").join(ends.select(*[S.col(k).alias(f"__e{k}") for k in cut], "__end"), [S.col(k).eqNullSafe(S.col(f"__e{k}")) for k in cut] + [S.col("__t") == S.col("__end.__t")])
+        tops = ties.groupBy(*cut).agg(S.max(near).alias("__top"))
+        order = S.col("__s").desc() if ahead else S.col("__s").asc()
+        before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        handed = ends.join(tops.select(*[S.col(k).alias(f"__e{k}") for k in cut], "__top"), [S.col(k).eqNullSafe(S.col(f"__e{k}")) for k in cut], "left")
+        handed = handed.select(*[S.col(k).alias(f"__h{k}") for k in cut], S.last("__top", ignorenulls=True).over(before).alias("__carry"))
+        found = found.join(handed, [S.col(k).eqNullSafe(S.col(f"__h{k}")) for k in cut], "left").withColumn("__m", S.coalesce("__m", S.col("__carry.__r")))
     null_key = S.lit(False)
     for k in [*keys, "__t"]:
         null_key = null_key | S.col(k).isNull()
@@ -61,13 +81,14 @@ class AsofJoin:
     queryset: Any
     by: dict[str, str]
     on: tuple[str, str, str]
+    slices: Callable[[Column], Column] | None = None
 
     def apply(self, ctx: Any, name: str) -> None:
         right = self.queryset.df
         for path in [*self.by, self.on[0]]:
             if path not in ctx.df.columns:
                 ctx.df = ctx.df.withColumn(path, ctx.resolve(path))
-        ctx.df = asof_join(ctx.df, right, list(self.by.items()), (self.on[0], self.on[2]), self.on[1], f"{name}__")
+        ctx.df = asof_join(ctx.df, right, list(self.by.items()), (self.on[0], self.on[2]), self.on[1], f"{name}__", self.slices)
 
 
 @dataclass

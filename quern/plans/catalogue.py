@@ -305,6 +305,15 @@ def asof_join(db: Database) -> Any:
     return db("Event").annotate(last=AsofJoin(orders, {"user_id": "o_custkey"}, ("ts", ">=", "o_orderdate"))).values("event_id", "last__o_orderkey")
 
 
+@query("""SELECT event_id, o_orderkey AS last__o_orderkey FROM events ASOF LEFT JOIN
+(SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2) o ON user_id = o.o_custkey AND ts > o.o_orderdate""")
+def asof_join_in_slices(db: Database) -> Any:
+    """The windows are cut by year too, as a hot key would need."""
+    orders = db("Order").values("o_custkey", "o_orderdate").annotate(o_orderkey=A.Max("o_orderkey"))
+    join = AsofJoin(orders, {"user_id": "o_custkey"}, ("ts", ">", "o_orderdate"), S.year)
+    return db("Event").annotate(last=join).values("event_id", "last__o_orderkey")
+
+
 @query("SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word FROM part")
 def array_join(db: Database) -> Any:
     return db("Part").annotate(word=ArrayJoin(K.Split("p_type", " "))).values("p_partkey", "word")
@@ -879,7 +888,7 @@ def json_agg(db: Database) -> Any:
     return db("Nation").values("n_regionkey").annotate(names=A.JSONAgg("n_name"))
 
 
-@query(None)
+@query("SELECT list(event_type ORDER BY n DESC)[:3] AS top FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
 def top_k(db: Database) -> Any:
     return db("Event").aggregate(top=A.TopK("event_type", 3))
 

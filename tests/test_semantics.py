@@ -11,6 +11,7 @@ from quern.functions import window as WF
 from quern.operators.expressions import (
     Cube, Exists, F, Grouping, OuterReference, Q, QueryError, Rollup, RowRange, UnsupportedError, Value, ValueRange, Window,
 )
+from quern.operators import joins
 from quern.operators.joins import ArrayJoin, AsofJoin
 from quern.operators.recursion import closure
 from quern.plans.queryset import FanOutError
@@ -129,6 +130,18 @@ def test_asof(spark):
         prices("=")
 
 
+@pytest.mark.parametrize("op", [">=", ">", "<=", "<"])
+def test_asof_in_slices_is_the_same(spark, op):
+    import random
+
+    rng = random.Random(op)
+    left = spark.createDataFrame([(i, rng.choice("aab"), rng.randint(0, 60)) for i in range(150)], "id int, k string, t int")
+    right = spark.createDataFrame([(i, rng.choice("aac"), rng.randint(0, 60)) for i in range(40)], "q int, k string, t int")
+    whole = joins.asof_join(left, right, [("k", "k")], ("t", "t"), op)
+    cut = joins.asof_join(left, right, [("k", "k")], ("t", "t"), op, slices=lambda t: S.floor(t / 10))
+    assert sorted(map(tuple, whole.collect()), key=repr) == sorted(map(tuple, cut.collect()), key=repr)
+
+
 def test_array_join(db):
     rows = db("t").annotate(x=ArrayJoin("w")).values("id", "x").df.collect()
     assert sorted(tuple(r) for r in rows) == [(1, "p"), (3, "p"), (3, "q")]
