@@ -217,6 +217,14 @@ def lcs(regions: np.ndarray, item: np.ndarray) -> np.ndarray:
     return best[:, -1]
 
 
+def close_lcs(region: np.ndarray, item: np.ndarray) -> int:
+    """The longest common subsequence within half again the item's length, so that
+    words scattered over a long region don't add up to a short item."""
+    width, step = min(len(region), -(-3 * len(item) // 2)), max(1, len(item) // 4)
+    starts = sorted({*range(0, len(region) - width + 1, step), len(region) - width})
+    return int(lcs(np.stack([region[s : s + width] for s in starts]), item).max())
+
+
 def search(index: LatentIndex, texts: list[bytes], p: Params) -> list[tuple[int, int, float, float, bool]]:
     """(text, item, cosine, lcs ratio, answer found) of every contaminated pair of a chunk."""
     hashes, of = terms(texts)
@@ -237,8 +245,8 @@ def search(index: LatentIndex, texts: list[bytes], p: Params) -> list[tuple[int,
     alive = (shared > 0) & (shared >= p.cosine**2 * energy)
     starts, ends, energy = starts[alive], ends[alive], energy[alive]
     best: dict[tuple[int, int], tuple[float, float, bool]] = {}
-    for at in range(0, len(starts), 8192):
-        s, e = starts[at : at + 8192], ends[at : at + 8192]
+    for block in range(0, len(starts), 8192):
+        s, e = starts[block : block + 8192], ends[block : block + 8192]
         vec = np.zeros((len(s), index.basis.shape[1]), dtype=np.float32)
         for k in range(p.window):
             pos = s + k
@@ -248,7 +256,7 @@ def search(index: LatentIndex, texts: list[bytes], p: Params) -> list[tuple[int,
             some = r >= 0
             where = np.flatnonzero(ok)[some]
             vec[where] += index.basis[r[some]] * weight[pos[some], None]
-        score = (vec @ index.latent.T) / np.sqrt(np.maximum(energy[at : at + 8192], 1e-12))[:, None]
+        score = (vec @ index.latent.T) / np.sqrt(np.maximum(energy[block : block + 8192], 1e-12))[:, None]
         w, q = np.nonzero(score >= p.cosine)
         for item in np.unique(index.of[q]).tolist():
             mine = index.of[q] == item
@@ -266,7 +274,10 @@ def search(index: LatentIndex, texts: list[bytes], p: Params) -> list[tuple[int,
                 ratio = lcs(region, wanted) / n
                 answer = wanted[-max(1, n // 4) :]
                 told = lcs(region, answer) >= p.answer * len(answer)
-                for c, r, a, t in zip(centre.tolist(), ratio.tolist(), told.tolist(), top[b : b + 256].tolist(), strict=True):
+                for at, (c, r, a, t) in enumerate(zip(centre.tolist(), ratio.tolist(), told.tolist(), top[b : b + 256].tolist(), strict=True)):
+                    if r < p.lcs_paraphrase or (of[c], item) in best and best[int(of[c]), item][1] == 1:
+                        continue
+                    r = close_lcs(region[at], wanted) / n
                     if r >= p.lcs or (r >= p.lcs_paraphrase and a):
                         key = (int(of[c]), item)
                         if key not in best or (r, t) > best[key][1::-1]:

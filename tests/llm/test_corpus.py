@@ -109,6 +109,15 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert sorted(r["doc_id"] for r in decontaminate.clean(docs, benchmark).collect()) == sorted(set(range(300)) - {d for d, _ in got})
 
 
+def test_scattered_words_are_no_leak(spark):
+    words = [f"w{i:03d}" for i in range(400)]
+    item = words[:8]
+    spread = [x for k, w in enumerate(item) for x in (w, *words[20 + 6 * k : 26 + 6 * k])]
+    docs = [(0, " ".join(spread)), (1, " ".join(words[100:130] + item + words[140:160]))] + [(i, " ".join(words[(7 * i) % 300 :][:60])) for i in range(2, 60)]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, " ".join(item))], "item_id long, text string"), params=decontaminate.Params(cosine=0.2))
+    assert 0 not in {r["id"] for r in got.collect()} and 1 in {r["id"] for r in got.collect()}
+
+
 def test_exact_leaks_on_the_test_tables(spark, sf_dir):
     docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     told = docs.alias("d").join(items.withColumnRenamed("text", "it"), F.col("d.text").contains(F.col("it"))).select("doc_id", "item_id")
