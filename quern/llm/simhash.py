@@ -325,7 +325,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     """(id, component): documents whose shingle sets resemble each other by ``similarity``
     or more, as wide fingerprints estimate it, directly or through others.
 
-    The bound on differing bits lies a standard error above the mean at the
+    The bound on differing bits lies 1.5 standard errors above the mean at the
     threshold, so most pairs at it are linked and nearly all above it.  The
     component is its least id.  Null, empty and short texts, ties, repeated rows
     and empty tables are treated as in ``near_duplicates``.
@@ -341,7 +341,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     rows = checkpoint(source.mapInArrow(run, f"id {kind}, lo long, hi long").withColumn("node", F.xxhash64("lo", "hi")))
     distinct = checkpoint(rows.groupBy("node", "lo", "hi").agg(F.min("id").alias("least")))
     share = differing_share(similarity)
-    tau = int(2 * BITS * share + math.sqrt(2 * BITS * share * (1 - share)))
+    tau = int(2 * BITS * share + 1.5 * math.sqrt(2 * BITS * share * (1 - share)))
     bits, keys = key_plan(distinct.count(), share)
     nodes = connected(wide_links(distinct, tau, bits, keys))
     named = distinct.join(nodes.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
