@@ -94,3 +94,10 @@ def extent(df: Any, keys: list[str], column: str) -> Any:
     """The bounding box of each group's geometries, folded before it is shuffled."""
     e = df.withColumn("__e", envelope(S.col(column)))
     return e.groupBy(*keys).agg(S.min("__e.x0").alias("x0"), S.min("__e.y0").alias("y0"), S.max("__e.x1").alias("x1"), S.max("__e.y1").alias("y1"))
+
+
+def make_line(df: Any, keys: list[str], column: str, order: str, name: str = "line") -> Any:
+    """Each group's points as one line, in an order."""
+    p = S.struct(S.col(order).alias("o"), points(S.col(column))[0].alias("p"))
+    text = S.array_join(S.transform(S.sort_array(S.collect_list(p)), lambda r: S.concat(r["p"]["x"].cast("string"), S.lit(" "), r["p"]["y"].cast("string"))), ", ")
+    return df.groupBy(*keys).agg(S.concat(S.lit("LINESTRING("), text, S.lit(")")).alias(name))

@@ -113,6 +113,26 @@ def TrigramWordSimilarity(word: Any, x: Any) -> Expression: return Call("trigram
 def TrigramWordDistance(word: Any, x: Any) -> Expression: return Call("trigram_word_distance", lambda a, b: 1 - trigram_word_similarity(a, b), literal(word), wrap(x))
 
 
+TrigramStrictWordSimilarity, TrigramStrictWordDistance = TrigramWordSimilarity, TrigramWordDistance
+
+
+def RandomUUID() -> Expression: return Call("uuid", S.uuid)
+
+
+def RandomHex(size: int = 16) -> Expression:
+    """Random bytes in hexadecimal."""
+    return Call("random_hex", lambda: S.substring(S.lower(S.concat(*[S.lpad(S.hex((S.rand() * 2**32).cast("long")), 8, "0") for _ in range(-(-size // 4))])), 1, 2 * size))
+
+
+def UuidV7() -> Expression:
+    """A uuid that sorts by the time it was made."""
+    def build() -> Column:
+        time = S.lpad(S.lower(S.hex(S.unix_millis(S.current_timestamp()))), 12, "0")
+        tail = S.lower(S.concat(*[S.lpad(S.hex((S.rand() * 2**32).cast("long")), 8, "0") for _ in range(3)]))
+        return S.concat_ws("-", S.substring(time, 1, 8), S.substring(time, 9, 4), S.concat(S.lit("7"), S.substring(tail, 1, 3)), S.concat(S.lit("8"), S.substring(tail, 4, 3)), S.substring(tail, 7, 12))
+    return Call("uuid7", build)
+
+
 def is_ancestor(a: Column, b: Column) -> Column:
     """Whether label path a is b or above it."""
     return (a == b) | b.startswith(S.concat(a, S.lit(".")))

@@ -166,6 +166,36 @@ class CustomFunction:
         return Call(self.name, lambda *c: S.call_function(self.name, *c), *args)
 
 
+class PandasFunction:
+    """A vectorised Python function of columns, for what built-ins can't express."""
+
+    def __init__(self, fn: Callable[..., Any], returns: str):
+        self.udf, self.name = S.pandas_udf(fn, returns), fn.__name__
+
+    def __call__(self, *args: Any) -> Expression:
+        return Call(self.name, self.udf, *args)
+
+
+class PandasAggregate(PandasFunction):
+    """A Python fold of a group's values; a group is held in memory whole."""
+
+    def __call__(self, *args: Any, **kw: Any) -> Expression:
+        return Aggregate(self.name, self.udf, *args, **kw)
+
+
+class GenericKey:
+    """An exclusive arc: of several key columns the one that is not null names the
+    target's kind.  ``kind`` and ``key`` are expressions; ``is_(kind, key)`` a condition."""
+
+    def __init__(self, **arcs: str):
+        self.arcs = arcs
+        self.kind = Case(*[When(**{f"{c}__isnull": False, "then": k}) for k, c in arcs.items()])
+        self.key = Call("generic_key", lambda *c: S.coalesce(*[x.cast("string") for x in c]), *arcs.values())
+
+    def is_(self, kind: str, key: Any = None) -> Q:
+        return Q(**({f"{self.arcs[kind]}__isnull": False} if key is None else {self.arcs[kind]: key}))
+
+
 class When:
     def __init__(self, *conditions: Any, then: Any = None, **lookups: Any):
         self.condition, self.then = Q(*conditions, **lookups), then if isinstance(then, Expression) else Value(then)

@@ -106,12 +106,18 @@ LOOKUPS: dict[str, Lookup] = {
     "has_key": lambda c, v: containers.has_keys(c, [v], all),
     "has_keys": lambda c, v: containers.has_keys(c, v, all),
     "has_any_keys": lambda c, v: containers.has_keys(c, v, any),
+    "map_has_key": lambda c, v: S.map_contains_key(c, v),
+    "map_has_keys": lambda c, v: S.size(S.array_except(S.array(*map(S.lit, v)), S.map_keys(c))) == 0,
+    "map_has_any_keys": lambda c, v: S.arrays_overlap(S.map_keys(c), S.array(*map(S.lit, v))),
+    "multirange_contains": lambda c, v: S.exists(c, lambda r: ranges.compare("contains", r, v)),
+    "multirange_overlap": lambda c, v: S.exists(c, lambda r: ranges.compare("overlap", r, v)),
     "trigram_similar": lambda c, v: text.trigram_similarity(c, S.lit(v)) >= 0.3,
     "trigram_word_similar": lambda c, v: text.trigram_word_similarity(S.lit(v), c) >= 0.6,
     "trigram_strict_word_similar": lambda c, v: text.trigram_word_similarity(S.lit(v), c) >= 0.5,
     "ancestor_of": lambda c, v: text.is_ancestor(c, S.lit(v)),
     "descendant_of": lambda c, v: text.is_ancestor(S.lit(v), c),
     "matches": lambda c, v: c.rlike(text.lquery(v)),
+    "matches_text": lambda c, v: search.matches(S.split(S.lower(c), r"\\."), search.SearchQuery(v)),
     "matches_any": lambda c, v: c.rlike("|".join(text.lquery(x) for x in v)),
     **{f"net_{k}": (lambda k: lambda c, v: network.compare(k, c, v))(k) for k in network.RELATIONS},
     **{k: (lambda k: lambda c, v: ranges.compare(k, c, v))(k) for k in ("fully_lt", "fully_gt", "not_lt", "not_gt", "adjacent_to")},

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as S
 
@@ -977,6 +978,57 @@ def network_overlap(db: Database) -> Any:
     return db("Customer").alias(ip=ip).filter(Q(ip__net_overlaps="10.0.0.64/26") | Q(ip__net_contained_or_equal="10.0.1.44/32")).values("c_custkey")
 
 
+@query("SELECT n_nationkey, r_regionkey AS r__r_regionkey FROM nation CROSS JOIN region")
+def cross_join(db: Database) -> Any:
+    return db("Nation").join(db("Region"), "r").values("n_nationkey", "r__r_regionkey")
+
+
+@query("SELECT a.n_nationkey, b.n_nationkey AS other__n_nationkey FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def theta_join(db: Database) -> Any:
+    return db("Nation").join(db("Nation"), "other", {"n_regionkey": "n_regionkey"}, "n_nationkey < other__n_nationkey").values("n_nationkey", "other__n_nationkey")
+
+
+@query("WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM big WHERE n > 12)")
+def cte_rows(db: Database) -> Any:
+    db("Customer").with_cte("quern_big", db("Order").values("o_custkey").annotate(n=A.Count())).df
+    return db("Customer").filter(c_custkey__in=db.view("quern_big").filter(n__gt=12).values("o_custkey")).values("c_custkey")
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_quantity > 25 THEN 'part' ELSE 'supplier' END AS kind, CASE WHEN l_quantity > 25 THEN l_partkey ELSE l_suppkey END::VARCHAR AS k FROM lineitem")
+def generic_key(db: Database) -> Any:
+    from quern.operators.expressions import GenericKey
+
+    arcs = db("Lineitem").annotate(p=Case(When(l_quantity__gt=25, then=F("l_partkey"))), s=Case(When(l_quantity__lte=25, then=F("l_suppkey"))))
+    target = GenericKey(part="p", supplier="s")
+    return arcs.values("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", kind=target.kind, k=target.key)
+
+
+@query("SELECT p_partkey FROM part WHERE p_brand = 'Brand#2' OR p_brand = 'Brand#4'")
+def map_keys_lookup(db: Database) -> Any:
+    return db("Part").alias(m=K.Map("p_brand", "p_size")).filter(m__map_has_any_keys=["Brand#2", "Brand#4"]).values("p_partkey")
+
+
+@query("SELECT p_brand, round(avg(p_size) + 1, 6) AS a FROM part GROUP BY 1")
+def python_aggregate(db: Database) -> Any:
+    from quern.operators.expressions import PandasAggregate
+
+    def plus_one(v: pd.Series) -> float:
+        return float(v.mean()) + 1
+
+    return db("Part").values("p_brand").annotate(a=PandasAggregate(plus_one, "double")("p_size")).df.withColumn("a", S.round("a", 6))
+
+
+@query(None)
+def random_keys(db: Database) -> Any:
+    return db("Region").values("r_regionkey", u=T.RandomUUID(), v=T.UuidV7(), h=T.RandomHex(8))
+
+
+@query("SELECT n_regionkey, 'LINESTRING(' || string_agg(n_nationkey || '.0 ' || n_regionkey || '.0', ', ' ORDER BY n_nationkey) || ')' AS line FROM nation GROUP BY 1")
+def make_line(db: Database) -> Any:
+    points = db("Nation").annotate(g=T.Concat(Value("POINT("), "n_nationkey", Value(" "), "n_regionkey", Value(")"))).df
+    return G.make_line(points, ["n_regionkey"], "g", "n_nationkey")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -430,6 +430,11 @@ class QuerySet:
     def offset(self, n: int) -> QuerySet: return self._then("slice", n, None)
     def limit_by(self, n: int, *by: str, offset: int = 0) -> QuerySet: return self._then("limit_by", n, *by, offset=offset)
     def with_totals(self) -> QuerySet: return self._then("with_totals")
+    def join(self, other: QuerySet, name: str, on: dict[str, str] | None = None, condition: str | None = None, how: str = "inner") -> QuerySet:
+        """Join another query: ``on`` pairs equal columns, ``condition`` is SQL over this
+        query's columns and ``name__column``; neither makes a cross join.  The other's
+        columns come as ``name__column``."""
+        return self._then("join", other, name, on or {}, condition, how)
     def select_related(self, *paths: str) -> QuerySet: return self._then("select_related", *paths)
     def prefetch_related(self, *paths: Any) -> QuerySet: return self._then("prefetch", *paths)
     def after_cursor(self, *values: Any) -> QuerySet: return self._then("cursor", values, True)
@@ -674,6 +679,15 @@ class QuerySet:
         keys = [k for k in (ctx.groups if ctx.groups is not None else ctx.values or [])]
         ctx.groups = [GroupingSets(keys, ())]
 
+    def _do_join(self, ctx: Compiler, other: QuerySet, name: str, on: dict[str, str], condition: str | None, how: str) -> None:
+        right = other.df
+        right = right.select(*[S.col(f"`{c}`").alias(f"{name}{SEP}{c}") for c in right.columns])
+        columns = {path: ctx.resolve(path) for path in on}  # may join first
+        cond = S.expr(condition) if condition else S.lit(True)
+        for path, there in on.items():
+            cond = cond & (columns[path] == S.col(f"`{name}{SEP}{there}`"))
+        ctx.df = ctx.df.join(right, cond, how) if on or condition else ctx.df.crossJoin(right)
+
     def _do_select_related(self, ctx: Compiler, *paths: str) -> None:
         for path in paths:
             ctx.resolve(f"{path}{SEP}{self._reached(ctx, path).key[0]}")

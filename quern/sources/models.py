@@ -126,6 +126,12 @@ class Database:
 
         return QuerySet(self, self.registry.models[name])
 
+    def view(self, name: str) -> Any:
+        """The rows of a view or of a query named by ``with_cte``."""
+        from quern.plans.queryset import QuerySet
+
+        return QuerySet(self, None, (), self.spark.table(name))
+
     def create_function(self, name: str, arguments: str, returns: str, body: str) -> None:
         """A SQL function of the session, from declared text."""
         self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {returns} RETURN {body}")
