@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import checkpoint, shuffle_partitions, text_bytes, unused
-from quern.llm.components import connected
+from quern.llm.components import connected, stars
 from quern.llm.rolling import mix
 
 SEED = 42
@@ -182,7 +182,8 @@ def links(fps: DataFrame, tau: int = TAU, block: int = 4096) -> DataFrame:
             for x, y in forest(own, int(key[s]) >> 28, tau, split):
                 a.append(int(own[x]))
                 b.append(int(own[y]))
-        return pa.table({"a": np.array(a, dtype=U64).view(np.int64), "b": np.array(b, dtype=U64).view(np.int64)})
+        low, other = stars(np.array(a, dtype=U64).view(np.int64), np.array(b, dtype=U64).view(np.int64))
+        return pa.table({"a": low, "b": other})
 
     return units.groupBy("part").applyInArrow(run, "a long, b long")
 
@@ -264,7 +265,8 @@ def wide_forest(words: np.ndarray, tau: int, side: np.ndarray | None = None) ->
 
 
 def wide_links(fps: DataFrame, tau: int, bits: int, keys: int, block: int = 4096, seed: int = 5) -> DataFrame:
-    """(a, b) over distinct (node, lo, hi): edges of links met under sampled keys."""
+    """(a, b) over distinct (node, lo, hi): edges that span the links met under sampled
+    keys.  Each task contracts its links to stars, so a dense family's pairs stay inside it."""
     n = shuffle_partitions(fps.sparkSession)
     rng = np.random.default_rng(seed)
     places = [rng.permutation(2 * BITS)[:bits] for _ in range(keys)]
@@ -316,7 +318,8 @@ def wide_links(fps: DataFrame, tau: int, bits: int, keys: int, block: int = 4096
             a.append(node[[s + x for x, _ in found]])
             b.append(node[[s + y for _, y in found]])
         none = np.zeros(0, dtype=np.int64)
-        return pa.table({"a": np.concatenate(a) if a else none, "b": np.concatenate(b) if b else none})
+        low, other = stars(np.concatenate([none, *a]), np.concatenate([none, *b]))
+        return pa.table({"a": low, "b": other})
 
     return units.groupBy("part").applyInArrow(run, "a long, b long")
 
