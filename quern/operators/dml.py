@@ -59,18 +59,19 @@ class Table:
         both = self.read().join(new, list(self.model.key), "left")
         self._replace(both.withColumns({f: S.when(S.col("__hit"), S.col(f"__{f}")).otherwise(S.col(f)) for f in fields}))
 
-    def update(self, where: Column, **values: Any) -> DataFrame:
-        """Set columns of the rows where a condition holds; returns them as they were and are."""
+    def update(self, where: Column, returning: str | None = None, **values: Any) -> DataFrame | None:
+        """Set columns of the rows where a condition holds.  ``returning`` names a folder
+        for the changed rows as they were and are (``old``, ``new``)."""
         given = {c: v if isinstance(v, Column) else S.lit(v) for c, v in values.items() if not isinstance(v, Expression)}
         if len(given) < len(values):
             raise QueryError("values of a stored table's update are columns or literals")
         before = self.read()
-        hit = before.where(where)
-        old = S.struct(*before.columns).alias("old")
-        returned = hit.select(old, S.struct(*[given[c].cast(before.schema[c].dataType).alias(c) if c in given else S.col(c) for c in before.columns]).alias("new"))
-        returned = self.db.spark.createDataFrame(returned.collect(), returned.schema) if returned.count() <= 10_000 else None
+        if returning:
+            kinds = {c: before.schema[c].dataType for c in before.columns}
+            new = [given[c].cast(kinds[c]).alias(c) if c in given else S.col(c) for c in before.columns]
+            before.where(where).select(S.struct(*before.columns).alias("old"), S.struct(*new).alias("new")).write.parquet(returning)
         self._replace(writes.updated(before, where, **given))
-        return returned
+        return self.db.spark.read.parquet(returning) if returning else None
 
     def delete(self, where: Column) -> None:
         """Remove rows, or mark them where the model deletes softly."""

@@ -35,7 +35,7 @@ def test_instances_and_bulk(db):
     books.bulk_create([{"id": 4, "author_id": 1, "pages": 1}], update=["pages"])
     books.bulk_update([{"id": 1, "pages": 50}], ["pages"])
     assert rows(db, "book", "id", "author_id", "pages") == [(1, 1, 50), (2, 2, 6), (3, 1, 7), (4, 2, 1)]
-    returned = books.update(S.col("id") == 2, pages=60).first()
+    returned = books.update(S.col("id") == 2, returning=f"{db.root}/returned", pages=60).first()
     assert (returned["old"]["pages"], returned["new"]["pages"]) == (6, 60)
     books.insert_from(books.read().where("id = 1").withColumn("id", S.lit(9)))
     books.delete(S.col("id") < 4)
