@@ -32,6 +32,23 @@ class FanOutError(QueryError):
     """Aggregates over two to-many relations, which would multiply each other's rows."""
 
 
+#: Lookups that are never true of a null column, if their value is no null.
+REJECT_NULL = {
+    "exact", "gt", "gte", "lt", "lte", "in", "range", "iexact", "contains", "icontains", "startswith", "istartswith", "endswith", "iendswith", "posix_regex", "iposix_regex",
+}
+
+
+def rejects_null(path: str, value: Any) -> bool:
+    """Whether a lookup drops every row whose column is null."""
+    name = path.rpartition(SEP)[2]
+    if name in lookups.LOOKUPS and name not in REJECT_NULL:
+        return False
+    if isinstance(value, QuerySet):
+        return False
+    values = value if isinstance(value, (list, tuple, set)) else [value]
+    return bool(values) and all(v is not None for v in values)
+
+
 class Compiler:
     def __init__(self, db: Database, model: Model | None, df: DataFrame, options: dict[str, Any]):
         self.db, self.model, self.df, self.options = db, model, df, options
@@ -49,6 +66,7 @@ class Compiler:
         self.frozen = False  # sliced, combined or distinct: nothing may be joined below
         self.outer: list[tuple[str, str, str]] = []  # (inner column, operator, outer path)
         self.named: dict[str, FilteredRelation] = {}
+        self.inner = False  # a condition being read rejects nulls, so its joins may be inner
 
     # -- paths -----------------------------------------------------------------
 
@@ -107,7 +125,9 @@ class Compiler:
         raise QueryError(f"{SEP.join(parts)!r} is no path of {self.model.name if self.model else 'this query'}")
 
     def join(self, path: str, model: Model, name: str, parent: str, filtered: FilteredRelation | None = None) -> Model:
-        """LEFT JOIN of one relation, once for each path and filter generation."""
+        """LEFT JOIN of one relation, once for each path and filter generation; INNER where
+        a condition drops the unmatched rows anyway, which frees the join order and lets
+        Spark filter the other side at run time."""
         if path in self.paths:
             return self.paths[path]
         if self.frozen:
@@ -129,7 +149,7 @@ class Compiler:
             right = right.where(inner.condition(filtered.condition))
         right = right.select(*[S.col(c).alias(f"{prefix}{SEP}{c}") for c in right.columns])
         on = [S.col(f"`{here + SEP if here else ''}{a}`") == S.col(f"`{prefix}{SEP}{b}`") for a, b in zip(relation.here, there, strict=True)]
-        self.df = self.df.join(right, on, "left")
+        self.df = self.df.join(right, on, "inner" if self.inner else "left")
         self.paths[path], self.alias[path] = target, prefix
         if relation.many:
             self.many.add(path)
@@ -169,6 +189,7 @@ class Compiler:
         if parts == ["pk"] and self.model and len(self.model.key) > 1:
             return self.composite(name, value)
         column = self.resolve(SEP.join(parts))
+        self.inner = False  # a value may keep rows whose own paths are null
         if isinstance(value, OuterReference):
             self.outer.append((f"__o{len(self.outer)}", name, value.path))
             self.df = self.df.withColumn(self.outer[-1][0], column)
@@ -349,6 +370,8 @@ class Compiler:
         for n, e in pending.items():
             by.setdefault(self.branch(e), {})[n] = e
         shared = [b for b in by if b and any(p == b or p.startswith(b + SEP) for p in self.paths)]
+        # An aggregate that reads columns of the row itself too needs the joined rows.
+        shared += [b for b, parts in by.items() if b and any(isinstance(x, F) and x.path != b and not x.path.startswith(b + SEP) for e in parts.values() for x in e.walk())]
         if None in by or shared:
             if len([b for b in by if b]) > 1:
                 raise FanOutError(f"aggregates over {sorted(b for b in by if b)} would multiply each other's rows")
@@ -361,8 +384,8 @@ class Compiler:
             return
         for b, parts in by.items():
             relation = self.model.relations[b]
-            inner = Compiler(self.db, self.model, self._keys(relation), self.options)
-            inner.join(b, self.model, b, "")
+            inner = Compiler(self.db, self.model, self._branch_rows(relation, b), self.options)
+            inner.paths[b], inner.alias[b] = self.db.registry.models[relation.target], b
             folded = [e.column(inner).alias(n) for n, e in parts.items()]
             keys = [S.col(c).alias(f"__k{i}") for i, c in enumerate(relation.here)]
             right = inner.df.groupBy(*keys).agg(*folded)
@@ -371,13 +394,15 @@ class Compiler:
                 if isinstance(e, Aggregate) and e.empty is not None:
                     self.df = self.df.withColumn(n, S.coalesce(S.col(n), S.lit(e.empty)))
 
-    def _keys(self, relation: Any) -> DataFrame:
-        """The key values a branch is folded for: those of the related table itself."""
-        if relation.through:
-            link = self.db.frame(relation.through)
-            return link.select(*[S.col(a).alias(b) for a, b in zip(relation.through_here, relation.here, strict=True)]).distinct()
+    def _branch_rows(self, relation: Any, prefix: str) -> DataFrame:
+        """The related rows under their path's names, with the owner's key."""
         right = self.db.rows(self.db.registry.models[relation.target], self.options.get("deleted", "hide"), self.options.get("all_tenants", False))
-        return right.select(*[S.col(a).alias(b) for a, b in zip(relation.there, relation.here, strict=True)]).distinct()
+        columns = [S.col(c).alias(f"{prefix}{SEP}{c}") for c in right.columns]
+        if not relation.through:
+            return right.select(*[S.col(t).alias(h) for h, t in zip(relation.here, relation.there, strict=True)], *columns)
+        link = self.db.frame(relation.through).select(*[S.col(c).alias(f"__o{i}") for i, c in enumerate(relation.through_here)], *[S.col(c).alias(f"__t{i}") for i, c in enumerate(relation.through_there)])
+        met = link.join(right, [S.col(f"__t{i}") == S.col(c) for i, c in enumerate(relation.there)])
+        return met.select(*[S.col(f"__o{i}").alias(h) for i, h in enumerate(relation.here)], *columns)
 
     # -- output ----------------------------------------------------------------
 
@@ -570,8 +595,15 @@ class QuerySet:
                 else:
                     rest.parts.append(p)
             q = rest
-        if q.parts:
-            cond = ctx.condition(q)  # may join first
+            conds = []
+            for p in q.parts:
+                ctx.inner = isinstance(p, tuple) and rejects_null(*p)
+                conds.append(ctx.lookup(*p) if isinstance(p, tuple) else ctx.condition(p))  # may join first
+                ctx.inner = False
+            for cond in conds:
+                ctx.df = ctx.df.where(cond)
+        elif q.parts:
+            cond = ctx.condition(q)
             ctx.df = ctx.df.where(cond)
 
     def _semi_in(self, ctx: Compiler, path: str, queryset: QuerySet) -> None:

@@ -172,6 +172,24 @@ def test_branches_do_not_multiply(spark):
         d("product").aggregate(n=A.Count("reviews__rid"), total=A.Sum("sales__total"))
 
 
+def test_aggregate_over_row_and_branch(spark):
+    d = star(spark)
+    rows = d("product").annotate(x=A.Sum(F("sales__total") * F("id"))).values("id", "x").order_by("id").df.collect()
+    assert [tuple(r) for r in rows] == [(1, 60), (2, None), (3, 21)]
+
+
+def test_null_rejecting_filters_join_inner(spark):
+    d = star(spark)
+
+    def kinds(q):
+        return "LeftOuter" in q.df._jdf.queryExecution().analyzed().toString()
+
+    assert not kinds(d("sale").filter(of__name="a").values("sid"))
+    assert kinds(d("sale").filter(of__name__not="a").values("sid")) and kinds(d("sale").filter(of__name__isnull=True).values("sid"))
+    assert kinds(d("sale").filter(Q(of__name="a") | Q(total=7)).values("sid"))
+    assert ids(d("sale").filter(of__name="a"), "sid") == [1, 2, 3]
+
+
 def test_to_many_conditions(spark):
     d = star(spark)
     assert ids(d("product").filter(reviews__stars=5, reviews__rid=1)) == [1]
