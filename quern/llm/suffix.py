@@ -63,11 +63,13 @@ class RunLengthIndex:
         n, text, end = self.size, self.text, self.end
         real = np.flatnonzero(np.arange(n) < end)
         left = (end - np.arange(n))[real]
-        key = np.zeros(len(real), dtype=U64)
-        padded = np.concatenate((text, np.zeros(8, np.uint8))).astype(U64) + U64(1)
-        for k in range(7):
-            key |= np.where(left > k, padded[real + k], U64(0)) << U64(9 * (6 - k))
-        order = np.argsort(key, kind="stable")
+        one = np.concatenate((text, np.zeros(7, np.uint8))).astype(U64) + U64(1)  # seven bytes a key, nine bits each
+        two = one[:-1] << U64(9) | one[1:]
+        four = two[:-2] << U64(18) | two[2:]
+        key = (four[: n + 1] << U64(27) | two[4 : n + 5] << U64(9) | one[6 : n + 7])[real]
+        short = np.flatnonzero(left < 7)
+        key[short] &= ~((U64(1) << (U64(9) * (7 - left[short]).astype(U64))) - U64(1))
+        order = np.argsort(key)
         sorted_key = key[order]
         start = np.flatnonzero(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])))
         rank = np.zeros(n + 1, dtype=np.int64)  # by position: the first row of its group
@@ -115,13 +117,13 @@ class RunLengthIndex:
         p, q = place[inner], order[rows[inner] + step]
         most = np.minimum(self.end[p] - p, self.end[q] - q)
         same, live = np.zeros(len(p), dtype=np.int64), np.arange(len(p))
-        words = np.lib.stride_tricks.sliding_window_view(np.concatenate((self.text, np.zeros(16, np.uint8))), 8)
+        padded = self.text.tobytes() + bytes(16)
+        words = np.ndarray((self.size + 8,), "<u8", padded, strides=(1,))  # the eight bytes from each position
         while len(live):
-            a, b = p[live] + same[live], q[live] + same[live]
-            differs = words[a] != words[b]
-            some = differs.any(axis=1)
-            same[live] += np.where(some, differs.argmax(axis=1), 8)
-            live = live[~some & (same[live] < most[live])]
+            differs = words[p[live] + same[live]] ^ words[q[live] + same[live]]
+            lowest = differs & (~differs + U64(1))
+            same[live] += np.where(differs == 0, 8, np.bitwise_count(lowest - U64(1)) >> 3)
+            live = live[(differs == 0) & (same[live] < most[live])]
         match[inner] = np.minimum(same, most)
         by_place = np.argsort(place)
         return place[by_place], match[by_place]
@@ -173,14 +175,17 @@ class _Pieces:
         ranked &= U64(0xFFFFFFFF00000000)
         ranked |= np.arange(many, dtype=U64)  # equal ranks: the leftmost
         least = (_sliding_min(ranked, window - KMER + 1)[:n] & U64(0xFFFFFFFF)).astype(np.int64)
-        of = np.repeat(np.arange(len(texts)), self.lengths + 1)[:n]
-        fits = np.arange(n) + window <= (starts + self.lengths)[of]
-        at = np.flatnonzero(fits)
-        if not len(at):
+        # A piece begins at a text's first window and wherever the anchor changes; windows
+        # that cross into the next text are cut off.
+        long = self.lengths >= window
+        begin, end = starts[long], (starts + self.lengths)[long] - window + 1
+        if not len(begin):
             return
-        new = np.concatenate(([True], (np.diff(at) != 1) | (np.diff(least[at]) != 0)))
-        first = np.flatnonzero(new)
-        self.s, self.e = at[first], at[np.append(first[1:], len(at)) - 1] + window
+        edge = np.unique(np.concatenate((np.flatnonzero(least[1:] != least[:-1]) + 1, begin, end)))
+        text = np.searchsorted(begin, edge, "right") - 1
+        stop = np.append(edge[1:], n)
+        inside = (text >= 0) & (edge < end[text])
+        self.s, self.e = edge[inside], stop[inside] + window - 1
         self.at = least[self.s]
 
     def _hash(self, at: np.ndarray, length, lane: int) -> np.ndarray:
