@@ -203,9 +203,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    answer = named.join(least, "root").select("fp", "component")
-    return rows.join(answer, "fp").select("id", "fp", "component")
+    return rows.join(_with_least(named, "fp"), "fp").select("id", "fp", "component")
+
+
+def _with_least(named: DataFrame, node: str) -> DataFrame:
+    """(node, component): the least id of each node's root.
+
+    Both sides of the join are read from checkpoints, so it is a join of plain
+    exchanges, whose partition of a very large component Spark can split."""
+    named = checkpoint(named)
+    least = checkpoint(named.groupBy("root").agg(F.min("least").alias("component")))
+    return named.join(least, "root").select(node, "component")
 
 
 WIDE_SEGMENTS = 16
@@ -348,8 +356,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     bits, keys = key_plan(distinct.count(), share)
     nodes = connected(wide_links(distinct, tau, bits, keys))
     named = distinct.join(nodes.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    answer = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
-    return rows.join(answer, "node").select("id", "component")
+    return rows.join(_with_least(named, "node"), "node").select("id", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
