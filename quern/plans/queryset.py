@@ -13,6 +13,7 @@ import itertools
 from collections.abc import Iterator, Sequence
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as S
 from pyspark.sql.window import Window as W
@@ -25,6 +26,8 @@ from quern.operators.joins import ArrayJoin, AsofJoin, FilteredRelation, JsonTab
 from quern.sources.models import Database, Model
 
 SEP = "__"
+#: Values from which an ``__in`` list becomes a semi join.
+LARGE_LIST = 500
 _ids = itertools.count()
 
 
@@ -592,6 +595,8 @@ class QuerySet:
                     ctx.semi(p.queryset, p.negated)
                 elif isinstance(p, tuple) and isinstance(p[1], QuerySet) and p[0].endswith(("__in", "__not_in")) and not ctx.to_many(Q(p)):
                     self._semi_in(ctx, *p)
+                elif isinstance(p, tuple) and p[0].endswith("__in") and isinstance(p[1], (list, tuple, set)) and len(p[1]) > LARGE_LIST and None not in p[1]:
+                    self._semi_list(ctx, *p)
                 else:
                     rest.parts.append(p)
             q = rest
@@ -606,6 +611,13 @@ class QuerySet:
             cond = ctx.condition(q)
             ctx.df = ctx.df.where(cond)
 
+    def _semi_list(self, ctx: Compiler, path: str, values: Any) -> None:
+        """A long list as one local relation: a plan of thousands of literals is slow to build."""
+        mark = f"__s{next(_ids)}"
+        column = ctx.resolve(path.rpartition(SEP)[0])
+        right = self.db.spark.createDataFrame(pd.DataFrame({mark: list(values)}))
+        ctx.df = ctx.df.join(S.broadcast(right), column == S.col(mark), "left_semi")  # what the driver holds anyway
+
     def _semi_in(self, ctx: Compiler, path: str, queryset: QuerySet) -> None:
         path, _, name = path.rpartition(SEP)
         right = queryset.df

@@ -53,6 +53,13 @@ def test_subquery_membership_matches_null(db):
     assert ids(db("t").filter(a__not_in=db("t").filter(a=1).values("a"))) == [2, 3]
 
 
+def test_long_lists(db):
+    assert ids(db("t").filter(a__in=list(range(3, 2000)))) == [3]
+    assert ids(db("t").filter(s__in=[f"v{i}" for i in range(1000)] + ["x"])) == [1]
+    assert ids(db("t").exclude(a__in=list(range(3, 2000)))) == [1, 2, 4]
+    assert ids(db("t").filter(a__in=[None, *range(3, 2000)])) == [2, 3]
+
+
 def test_ranges_with_open_bounds(db):
     assert ids(db("t").filter(a__range=(2, None))) == [3]
     assert ids(db("t").filter(a__range=(None, 1))) == [1, 4]
