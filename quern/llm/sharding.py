@@ -61,9 +61,9 @@ def shard(
 
     Size is the text's UTF-8 bytes plus one; a null text counts as empty and has
     the checksum of no bytes.  The law is ``bytes``: shard sizes are near equal.
-    Slots count from 0 without gaps in each shard, in ring order.  Null ids are
-    placed by their text; repeated rows share a slot of the ring and get slots of
-    their own in the shard; an empty table gives no rows; columns named like the
+    Slots count from 0 without gaps in each shard, in ring order.  A row's place on
+    the ring depends on its id and its text, so null ids, or one id with many texts,
+    spread; rows equal in both share a place and get slots of their own in the shard; an empty table gives no rows; columns named like the
     new ones are replaced.
     """
     made = ("size", "text_crc32", "shard", "slot")
@@ -74,7 +74,7 @@ def shard(
         *kept,
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-    ).withColumn(h_, F.xxhash64(F.coalesce(F.xxhash64(id_col), F.lit(0)), F.when(F.col(id_col).isNull(), F.col("text_crc32")))).withColumn(
+    ).withColumn(h_, F.xxhash64(F.col(id_col), F.col("text_crc32"), F.col("size"))).withColumn(
         cell_, F.shiftrightunsigned(h_, 64 - (CELLS.bit_length() - 1)).cast("int")
     )
     cells = {r[0]: (r[1], r[2]) for r in sized.groupBy(cell_).agg(F.sum("size"), F.count("*")).collect()}
