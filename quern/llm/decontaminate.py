@@ -6,7 +6,9 @@
    span the latent space.
 3. Every window of every document is projected into that space and compared by
    cosine with each benchmark passage; windows whose weight on benchmark terms
-   cannot reach the threshold are skipped, which loses nothing.
+   cannot reach the threshold are skipped, which loses nothing.  Passages that the
+   space keeps badly are compared by their exact TF-IDF cosine too, so that none
+   is lost however many passages share the space.
 4. Candidates pass a longest-common-subsequence check against the whole item, or,
    if only moderately similar, a check that the item's answer (its last quarter)
    is there too, which keeps paraphrases.
@@ -34,6 +36,8 @@ DIMS = 1 << 18
 ITEM_BLOCK = 5_000
 #: Terms of a sketch that are added up together.
 SLICE = 1024
+#: Exact products made at once.
+PRODUCTS = 1 << 20
 
 # Terms are runs of ASCII letters and digits and of non-ASCII bytes, lower-cased.
 _FOLD = np.full(256, 0x20, dtype=np.uint8)
@@ -48,6 +52,8 @@ class Params:
     stride: int = 8
     rank: int = 256
     energy: float = 0.95
+    #: A passage of which the latent space keeps a smaller share is also compared exactly.
+    kept: float = 0.95
     cosine: float = 0.5
     lcs: float = 0.8
     lcs_paraphrase: float = 0.6
@@ -118,6 +124,10 @@ class LatentIndex:
     row: np.ndarray  # dimension -> row of basis, or -1
     basis: np.ndarray  # terms x rank
     latent: np.ndarray  # passages x rank, scaled to give cosines
+    loose: np.ndarray  # passages that the basis keeps badly
+    begin: np.ndarray  # row of basis -> its first posting
+    posted: np.ndarray  # place in loose of each posting
+    value: np.ndarray  # TF-IDF value of each posting
 
 
 def randomised_svd(spark, rows: list[tuple[np.ndarray, np.ndarray]], width: int, rank: int, energy: float, power: int = 2, seed: int = 7) -> np.ndarray:
@@ -125,7 +135,9 @@ def randomised_svd(spark, rows: list[tuple[np.ndarray, np.ndarray]], width: int,
     sparse matrix given as (columns, values) rows.
 
     Each product with A'A is a Spark job over blocks of rows; only width x rank
-    sketches travel.  k is the least rank that keeps ``energy`` of the squares.
+    sketches travel.  k is the least rank that keeps ``energy`` of the squares
+    that ``rank`` vectors keep, which may be far less than all: the caller measures
+    what is kept of each row.
     """
     rank = max(1, min(rank, len(rows), width))
     blocks = [rows[i : i + 64] for i in range(0, len(rows), 64)]
@@ -204,8 +216,40 @@ def build_index(spark, items: list[tuple], df: np.ndarray, n: int, p: Params) ->
     latent = np.zeros((len(rows), basis.shape[1]), dtype=np.float32)
     for k, (cols, values) in enumerate(rows):
         latent[k] = values @ basis[cols]
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-6)
-    return LatentIndex([items[i][0] for i in range(len(items))], words, np.array(of), weight, row, basis, latent)
+    norms = np.linalg.norm(latent, axis=1, keepdims=True)  # of rows of length 1
+    latent /= np.maximum(norms, 1e-6)
+    loose = np.flatnonzero(norms[:, 0] < p.kept)
+    begin, posted, value = postings([rows[k] for k in loose.tolist()], len(used))
+    return LatentIndex([items[i][0] for i in range(len(items))], words, np.array(of), weight, row, basis, latent, loose, begin, posted, value)
+
+
+def postings(rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sparse rows by column: where each column's postings begin, their rows and values."""
+    cols = np.concatenate([np.zeros(0, np.int32), *(c for c, _ in rows)])
+    vals = np.concatenate([np.zeros(0, np.float32), *(v for _, v in rows)])
+    of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c, _ in rows])
+    order = np.argsort(cols, kind="stable")
+    order = order[vals[order] != 0]
+    begin = np.zeros(width + 1, dtype=np.int64)
+    np.cumsum(np.bincount(cols[order], minlength=width), out=begin[1:])
+    return begin, of[order], vals[order]
+
+
+def exact(index: LatentIndex, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Products of windows, given by the row of basis (-1: none) and weight of each of
+    their terms, with the loose passages."""
+    out = np.zeros((len(rows), len(index.loose)), dtype=np.float32)
+    step = max(1, PRODUCTS // max(1, len(index.loose)))
+    for at in range(0, len(rows), step):
+        w, k = np.nonzero(rows[at : at + step] >= 0)
+        r = rows[at + w, k]
+        first, n = index.begin[r], index.begin[r + 1] - index.begin[r]
+        ends = np.cumsum(n)
+        entry = np.arange(n.sum()) + np.repeat(first - ends + n, n)
+        place = np.repeat(w * len(index.loose), n) + index.posted[entry]
+        part = out[at : at + step]
+        part += np.bincount(place, np.repeat(weights[at + w, k], n) * index.value[entry], part.size).reshape(part.shape)
+    return out
 
 
 def lcs(regions: np.ndarray, item: np.ndarray) -> np.ndarray:
@@ -248,6 +292,9 @@ def search(index: LatentIndex, texts: list[bytes], p: Params) -> list[tuple[int,
     for block in range(0, len(starts), 8192):
         s, e = starts[block : block + 8192], ends[block : block + 8192]
         vec = np.zeros((len(s), index.basis.shape[1]), dtype=np.float32)
+        spot = s[:, None] + np.arange(p.window)
+        inside = spot < e[:, None]
+        spot = np.minimum(spot, len(row) - 1)
         for k in range(p.window):
             pos = s + k
             ok = pos < e
@@ -256,7 +303,10 @@ def search(index: LatentIndex, texts: list[bytes], p: Params) -> list[tuple[int,
             some = r >= 0
             where = np.flatnonzero(ok)[some]
             vec[where] += index.basis[r[some]] * weight[pos[some], None]
-        score = (vec @ index.latent.T) / np.sqrt(np.maximum(energy[block : block + 8192], 1e-12))[:, None]
+        score = vec @ index.latent.T
+        if len(index.loose):
+            score[:, index.loose] = np.maximum(score[:, index.loose], exact(index, np.where(inside, row[spot], -1), weight[spot]))
+        score /= np.sqrt(np.maximum(energy[block : block + 8192], 1e-12)).astype(np.float32)[:, None]
         w, q = np.nonzero(score >= p.cosine)
         for item in np.unique(index.of[q]).tolist():
             mine = index.of[q] == item

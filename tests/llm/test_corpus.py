@@ -109,6 +109,21 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert sorted(r["doc_id"] for r in decontaminate.clean(docs, benchmark).collect()) == sorted(set(range(300)) - {d for d, _ in got})
 
 
+def test_no_copy_is_lost_when_passages_outnumber_the_rank(spark):
+    import numpy as np
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(9000)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(15, 60))).encode()) for i in range(600)]
+    texts = [b" ".join([rng.choice(words).encode() for _ in range(40)] + [t] + [rng.choice(words).encode() for _ in range(40)]) for _, t in items]
+    p = decontaminate.Params()
+    df = np.bincount(np.concatenate([np.unique(decontaminate._dims(decontaminate.terms([t])[0])) for t in texts]), minlength=decontaminate.DIMS)
+    index = decontaminate.build_index(spark, items, df, len(texts), p)
+    assert len(index.latent) > 4 * p.rank
+    found = {(d, i) for d, i, *_ in decontaminate.search(index, texts, p)}
+    assert found == {(i, i) for i in range(600)}
+
+
 def test_scattered_words_are_no_leak(spark):
     words = [f"w{i:03d}" for i in range(400)]
     item = words[:8]
