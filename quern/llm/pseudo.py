@@ -39,8 +39,8 @@ class Params:
     rate: float = 0.05
     batch: int = 4096
     rounds: int = 2
-    #: Training takes one position in so many, of every document; scoring takes all.
-    stride: int = 4
+    #: Training takes one position in so many: every position of every document.
+    stride: int = 1
     seed: int = 11
 
 
@@ -135,9 +135,21 @@ def forward(m: dict[str, np.ndarray], around: np.ndarray, ids: np.ndarray):
 
 
 def log_probabilities(m: dict[str, np.ndarray], around: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    *_, first, second, l1, l2 = forward(m, around, ids)
-    at = np.arange(len(ids))
-    return l1[at, first] + l2[at, second]
+    first, second, at = ids // CODES, ids % CODES, np.arange(len(ids))
+    # A neighbour's part of the hidden layer depends on its id alone.
+    width = m["embed"].shape[1]
+    h = np.tile(m["b"][:, None], len(ids))
+    for k in range(len(OFFSETS)):
+        h += (m["embed"] @ m["w"][k * width : (k + 1) * width]).T.take(around[:, k], axis=1)
+    np.tanh(h, out=h)
+
+    def chosen(x: np.ndarray, code: np.ndarray) -> np.ndarray:
+        x -= x.max(axis=0)
+        mine = x[code, at]
+        return mine - np.log(np.exp(x, out=x).sum(axis=0))
+
+    one = chosen(m["w1"].T @ h + m["b1"][:, None], first)
+    return one + chosen(m["w2"].T @ (h + m["given"].T.take(first, axis=1)) + m["b2"][:, None], second)
 
 
 def _scatter(rows: np.ndarray, grads: np.ndarray, out: np.ndarray) -> None:

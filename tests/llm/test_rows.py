@@ -119,6 +119,29 @@ def test_language_model_prefers_held_out_text_to_shuffled(spark):
     assert (got[:40] > got[40:] + 1).all()
 
 
+def test_language_model_trains_on_every_position(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i} " * (i % 9)) for i in range(60)], "doc_id long, text string")
+
+    class Counting(pseudo.Trainer):
+        def step(self, around, ids):
+            super().step(around, ids)
+            self.m["b1"][:] = self.seen  # the average by positions of one task is its count
+
+    monkeypatch.setattr(pseudo, "Trainer", Counting)
+    p, total = pseudo.Params(rounds=1), sum(i % 9 for i in range(60))
+    weights = pseudo.train(docs.coalesce(1), pseudo.vocabulary(docs), p=p)
+    assert weights["b1"][0] == total
+
+
+def test_log_probabilities_equal_the_network():
+    rng = np.random.default_rng(5)
+    m = {k: v + rng.standard_normal(v.shape).astype(np.float32) for k, v in pseudo.initial(pseudo.Params()).items()}
+    around, ids = rng.integers(0, pseudo.VOCABULARY + 1, (500, 4)), rng.integers(0, pseudo.VOCABULARY, 500)
+    *_, first, second, l1, l2 = pseudo.forward(m, around, ids)
+    at = np.arange(500)
+    assert np.allclose(pseudo.log_probabilities(m, around, ids), l1[at, first] + l2[at, second], atol=1e-3)
+
+
 def test_language_model_gradients():
     p = pseudo.Params(width=3, hidden=4, rate=1.0)
     weights = {k: v.astype(np.float64) for k, v in pseudo.initial(p).items()}
