@@ -7,7 +7,8 @@ two codes of 32 values each (first, then second given first), so its softmax
 stays small.  It is written and trained in numpy: in each round every task trains
 on its share of the documents from the same weights, and the weights are averaged
 by the number of positions in a two-level tree.  A document's score is the sum of
-its words' conditional log-probabilities.
+its words' conditional log-probabilities; a shared id's probability is split among
+its words by their counts in the corpus, which are joined in Spark.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import rolling
-from quern.llm.common import text_bytes
+from quern.llm.common import checkpoint, text_bytes
 
 CODES = 32
 VOCABULARY = CODES * CODES
 #: Ids of single words; the other ids are shared by hash.
 FREQUENT = 768
 PAD = VOCABULARY
+#: Workers have at hand the counts of words that make up one token in so many, so of no more words than that; those of all others are joined.
+AT_HAND = 262_144
 OFFSETS = (-2, -1, 1, 2)
 
 
@@ -60,7 +63,11 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def vocabulary(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """The hashes of the FREQUENT most frequent words, by rank; ties by hash."""
-    rows = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    return most_frequent(word_counts(docs, text_col))
+
+
+def most_frequent(counts: DataFrame) -> np.ndarray:
+    rows = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     return np.array([r["word"] for r in rows], dtype=np.int64).view(np.uint64)
 
 
@@ -100,6 +107,10 @@ class Encoder:
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The id of each word, and the text it belongs to."""
+        return self.read(texts)[:2]
+
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``ids``, and the hash of each word."""
         data, starts = rolling.joined(texts)
         s, e = rolling.word_spans(data)
         words = rolling.word_hashes(data, s, e)
@@ -108,7 +119,7 @@ class Encoder:
             at = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
             own = self.sorted[at] == words
             out[own] = self.order[at[own]]
-        return out, np.searchsorted(starts, s, "right") - 1
+        return out, np.searchsorted(starts, s, "right") - 1, words
 
 
 def contexts(ids: np.ndarray, of: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -230,30 +241,96 @@ def train(docs: DataFrame, frequent: np.ndarray, text_col: str = "text", p: Para
     return weights
 
 
-def score(docs: DataFrame, weights: dict[str, np.ndarray], frequent: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, log_likelihood) of every document under a trained network."""
+class Shares:
+    """What the counts say of a word's share of its id."""
+
+    def __init__(self, words: np.ndarray, n: np.ndarray, totals: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.log_n = words[order], np.log(n[order])
+        self.log_total = np.log(np.maximum(totals, 1))  # of each shared id
+
+    def __call__(self, ids: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log of each word's share, and whether the log of its count is still to be added."""
+        out, wanting = np.zeros(len(ids)), np.zeros(len(ids), dtype=bool)
+        shared = np.flatnonzero(ids >= FREQUENT)
+        out[shared] = -self.log_total[ids[shared] - FREQUENT]
+        if not len(self.words):
+            wanting[shared] = True
+            return out, wanting
+        at = np.minimum(np.searchsorted(self.words, words[shared]), len(self.words) - 1)
+        have = self.words[at] == words[shared]
+        out[shared[have]] += self.log_n[at[have]]
+        wanting[shared[~have]] = True
+        return out, wanting
+
+
+def shares(counts: DataFrame, frequent: np.ndarray) -> Shares:
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    top = counts.where(F.col("n") * AT_HAND >= total).collect()
+    words, n = np.array([r["word"] for r in top], dtype=np.int64), np.array([r["n"] for r in top], dtype=np.int64)
+    totals = np.zeros(VOCABULARY - FREQUENT, dtype=np.int64)
+    # The number of shared ids divides 2**64, so the sign of a hash doesn't matter.
+    shared = counts.where(~F.col("word").isin(frequent.view(np.int64).tolist()))
+    for r in shared.groupBy(F.pmod("word", F.lit(len(totals))).alias("id")).agg(F.sum("n").alias("n")).collect():
+        totals[r["id"]] = r["n"]
+    return Shares(words.view(np.uint64), n, totals)
+
+
+def score(
+    docs: DataFrame, weights: dict[str, np.ndarray], frequent: np.ndarray, id_col: str = "doc_id", text_col: str = "text",
+    counts: DataFrame | None = None,
+) -> DataFrame:
+    """(id, n_tokens, log_likelihood) of every document under a trained network.
+
+    With the ``counts`` of the corpus each word of a shared id has a probability of
+    its own; without them it has that of the id.
+    """
     like = {k: v for k, v in weights.items()}
-    shared = docs.sparkSession.sparkContext.broadcast((pack(weights), frequent))
+    shared = docs.sparkSession.sparkContext.broadcast((pack(weights), frequent, None if counts is None else shares(counts, frequent)))
     source = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, words = shared.value
-        m, encoder = unpack(flat, like), Encoder(words)
+        flat, own, share = shared.value
+        m, encoder = unpack(flat, like), Encoder(own)
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = batch.column(1).to_pylist()
             total = np.zeros(len(texts), dtype=np.float64)
             count = np.zeros(len(texts), dtype=np.int64)
+            rare = [np.zeros(0, dtype=np.int64)]
+            ends = np.zeros(len(texts) + 1, dtype=np.int32)
             for first, last in rolling.chunks(texts):
-                ids, of = encoder.ids(texts[first:last])
+                ids, of, words = encoder.read(texts[first:last])
                 n = last - first
                 count[first:last] = np.bincount(of, minlength=n)
                 for k in range(0, len(ids), 4096):
                     at = np.arange(k, min(k + 4096, len(ids)))
                     got = log_probabilities(m, contexts(ids, of, at), ids[at])
                     total[first:last] += np.bincount(of[at], weights=got, minlength=n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(total)], names=["id", "n_tokens", "log_likelihood"])
-
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n_tokens long, log_likelihood double")
+                if share is not None:
+                    logs, wanting = share(ids, words)
+                    total[first:last] += np.bincount(of, weights=logs, minlength=n)
+                    rare.append(words[wanting].view(np.int64))
+                    ends[first + 1 : last + 1] = np.bincount(of[wanting], minlength=n)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(row + np.arange(len(texts))), batch.column(0), pa.array(count), pa.array(total),
+                pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(np.concatenate(rare))),
+            ], names=["row", "id", "n_tokens", "log_likelihood", "rare"])
+            row += len(texts)
+
+    kind = source.schema["id"].dataType.simpleString()
+    out = source.mapInArrow(run, f"row long, id {kind}, n_tokens long, log_likelihood double, rare array<long>")
+    if counts is None:
+        return out.select("id", "n_tokens", "log_likelihood")
+    out = checkpoint(out)
+    # Whole billionths add up to the same sum in any order.
+    logs = counts.select("word", F.round(F.log("n") * 1e9).cast("long").alias("log_n"))
+    added = (
+        out.select("row", F.explode("rare").alias("word")).join(logs, "word")
+        .groupBy("row").agg((F.sum("log_n") / 1e9).alias("added"))
+    )
+    whole = F.col("log_likelihood") + F.coalesce("added", F.lit(0.0))
+    return out.select("row", "id", "n_tokens", "log_likelihood").join(added, "row", "left").select("id", "n_tokens", whole.alias("log_likelihood"))
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
@@ -263,5 +340,6 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     no rows; repeated rows are scored one by one and alike; extra columns are not
     read.
     """
-    frequent = vocabulary(docs, text_col)
-    return score(docs, train(docs, frequent, text_col, p), frequent, id_col, text_col)
+    counts = checkpoint(word_counts(docs, text_col))
+    frequent = most_frequent(counts)
+    return score(docs, train(docs, frequent, text_col, p), frequent, id_col, text_col, counts)

@@ -133,6 +133,28 @@ def test_language_model_trains_on_every_position(spark, monkeypatch):
     assert weights["b1"][0] == total
 
 
+@pytest.mark.parametrize("at_hand", [262_144, 2200, 1])
+def test_words_of_a_shared_id_have_probabilities_of_their_own(spark, monkeypatch, at_hand):
+    monkeypatch.setattr(pseudo, "AT_HAND", at_hand)  # counts at hand, and counts joined
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words[i : i + 3000 - 30 * k]) for k in range(40) for i in (0, 10 * k)] + ["w5 w2000 x", "w5 w2001 x", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    n = Counter(w for t in texts for w in t.split())
+    counts = pseudo.word_counts(docs)
+    frequent = pseudo.most_frequent(counts)
+    weights = pseudo.train(docs, frequent)
+    plain = {r["id"]: r["log_likelihood"] for r in pseudo.score(docs, weights, frequent).collect()}
+    got = {r["id"]: r["log_likelihood"] for r in pseudo.score(docs, weights, frequent, counts=counts).collect()}
+    of = {w: int(pseudo.Encoder(frequent).ids([w.encode()])[0][0]) for w in n}
+    total = Counter()
+    for w, k in n.items():
+        total[of[w]] += k
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        share = sum(np.log(n[w] / total[of[w]]) for w in t.split() if of[w] >= pseudo.FREQUENT)
+        assert got[i] - plain[i] == pytest.approx(share, abs=1e-3)
+
+
 def test_log_probabilities_equal_the_network():
     rng = np.random.default_rng(5)
     m = {k: v + rng.standard_normal(v.shape).astype(np.float32) for k, v in pseudo.initial(pseudo.Params()).items()}
