@@ -11,8 +11,8 @@ checked before the full Hamming distance.
 For a lower similarity than three bits stand for, ``similar`` takes wide
 fingerprints of 128 bits on a ring of sixteen segments.  So many bits may differ
 then that no key of useful length is sure to agree, so its candidates come from
-sampled keys, as many and as long as a recall of 95 % at the threshold asks for at
-the number of fingerprints; the pigeonring chains and the full Hamming check follow.
+sampled keys, as many and as long as a recall of 95 % at the largest distance allowed
+asks for at the number of fingerprints; the pigeonring chains and the full Hamming check follow.
 """
 
 from __future__ import annotations
@@ -353,7 +353,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     distinct = checkpoint(rows.groupBy("node", "lo", "hi").agg(F.min("id").alias("least")))
     share = differing_share(similarity)
     tau = int(2 * BITS * share + 1.5 * math.sqrt(2 * BITS * share * (1 - share)))
-    bits, keys = key_plan(distinct.count(), share)
+    bits, keys = key_plan(distinct.count(), tau / (2 * BITS))
     nodes = connected(wide_links(distinct, tau, bits, keys))
     named = distinct.join(nodes.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     return rows.join(_with_least(named, "node"), "node").select("id", "component")

@@ -144,6 +144,19 @@ def test_similar_documents(spark):
     assert simhash.keep_one(docs).count() == 240 - sum(linked)
 
 
+def test_keys_find_pairs_at_the_largest_distance(spark, monkeypatch):
+    plans = []
+    real = simhash.wide_links
+    monkeypatch.setattr(simhash, "wide_links", lambda fps, tau, bits, keys: plans.append((tau, bits, keys)) or real(fps, tau, bits, keys))
+    for n in (1_000, 10_000_000):
+        plan = simhash.key_plan
+        with monkeypatch.context() as m:
+            m.setattr(simhash, "key_plan", lambda _, share, n=n, plan=plan: plan(n, share))
+            simhash.similar(spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l")], "doc_id long, text string")).count()
+        tau, bits, keys = plans[-1]
+        assert 1 - (1 - (1 - tau / 128) ** bits) ** keys >= 0.95
+
+
 def test_wide_links_in_blocks(spark):
     rng = random.Random(3)
     centre, rows = rng.getrandbits(128), set()
