@@ -95,14 +95,46 @@ def key_of_blobs(table: pa.Table, kind: int) -> np.ndarray:
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, dtype=U64)
 
 
+def by_group(g: np.ndarray, *columns: np.ndarray):
+    """(group, columns) of each group, sorted by the columns."""
+    order = np.lexsort((*columns[::-1], g))
+    g, columns = g[order], [c[order] for c in columns]
+    cut = np.flatnonzero(np.diff(g)) + 1
+    for s, e in zip([0, *cut.tolist()] if len(g) else (), [*cut.tolist(), len(g)]):  # noqa: B905
+        yield int(g[s]), [c[s:e] for c in columns]
+
+
 def answers(g: np.ndarray, values: np.ndarray, bucket: int, kind: int) -> list[tuple[int, int, int, bytes]]:
     """Rows that return values of one bucket to the groups that sent them."""
-    order = np.lexsort((values, g))
-    g, values = g[order], values[order]
-    cut = np.flatnonzero(np.diff(g)) + 1
-    if not len(g):
-        return []
-    return [(bucket, int(g[s]), kind, pack40(values[s:e])) for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(g)], strict=True)]
+    return [(bucket, to, kind, pack40(v)) for to, (v,) in by_group(g, values)]
+
+
+def checked(keys: np.ndarray, checks: np.ndarray, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether each (key, check) is among ``found``, sorted by both: every bit counts."""
+    known, known_checks = found
+    out = np.zeros(len(keys), dtype=bool)
+    at = np.searchsorted(known, keys)
+    live = np.arange(len(keys))
+    while len(live):  # one turn, unless keys collide
+        live = live[at[live] < len(known)]
+        live = live[known[at[live]] == keys[live]]
+        out[live] |= known_checks[at[live]] == checks[live]
+        live = live[~out[live]]
+        at[live] += 1
+    return out
+
+
+def windows_of_blobs(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """All windows that buckets answered for one kind as (keys, checks), sorted by both."""
+    keys, checks = [np.zeros(0, dtype=U64)], [np.zeros(0, dtype=U64)]
+    for b, k, x in zip(*(table.column(c).to_pylist() for c in ("bucket", "kind", "blob")), strict=True):
+        if k == kind:
+            n = len(x) // 13
+            keys.append(U64(b) << U64(40) | unpack40(x, n))
+            checks.append(np.frombuffer(x, "<u8", n, 5 * n))
+    key, check = np.concatenate(keys), np.concatenate(checks)
+    order = np.lexsort((check, key))
+    return key[order], check[order]
 
 
 #: Kinds of packed window entries: 40-bit value, 64-bit check, multi bit.
@@ -121,7 +153,8 @@ def pack_windows(keys: np.ndarray, checks: np.ndarray, g: int, kind: int) -> lis
 
 
 def repeated_windows(bucket: int, rows: list[tuple[int, bytes]], kind: int) -> list[tuple[int, int, int, bytes]]:
-    """Answers for the windows that occur twice or more over all groups; rows are (g, blob)."""
+    """Answers (40-bit values, then 64-bit checks) for the windows that occur twice or
+    more over all groups; rows are (g, blob)."""
     v, c, m, g = [], [], [], []
     for of, x in rows:
         n = int(np.frombuffer(x, np.int64, 1)[0])
@@ -138,4 +171,4 @@ def repeated_windows(bucket: int, rows: list[tuple[int, bytes]], kind: int) -> l
     start, run = np.flatnonzero(new), np.cumsum(new) - 1
     hit = (np.diff(np.append(start, len(value))) > 1) | np.logical_or.reduceat(multi, start)
     keep = hit[run]
-    return answers(of[keep], value[keep], bucket, kind)
+    return [(bucket, to, kind, pack40(v) + c.astype("<u8").tobytes()) for to, (v, c) in by_group(of[keep], value[keep], check[keep])]

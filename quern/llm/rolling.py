@@ -1,12 +1,17 @@
 """Vectorised hashing of words and windows over byte buffers.
 
 Every window hash is a difference of prefix sums of a polynomial modulo
-2**64, so its cost does not depend on the window's length.
+2**64, so its cost does not depend on the window's length.  Such a polynomial
+over plain bytes has known strings that collide for every odd base, so where a
+hash decides, its letters are first mixed: words are hashed eight bytes at a
+time through a bijection, and windows of bytes are polynomials over the mixed
+eight bytes that begin at each place.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 U64 = np.uint64
 #: Odd multipliers of the independent polynomials.
@@ -66,12 +71,41 @@ def word_spans(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def word_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASES[0]) -> np.ndarray:
-    """A 64-bit hash of each word's bytes and length."""
-    sums = prefix(buffer.astype(U64) + U64(1), base)
-    inverse = powers(len(buffer) + 1, base)[1]
-    lengths = (ends - starts).astype(U64)
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + lengths * U64(0xA24BAED4963EE407))
+#: Words of more bytes than this are hashed by XXH64 one by one.
+LONG_WORD = 64
+
+
+def eights(buffer: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of a buffer as one value, zeros beyond its end."""
+    padded = np.zeros(len(buffer) + 8, dtype=np.uint8)
+    padded[: len(buffer)] = buffer
+    return np.ndarray((len(buffer) + 1,), "<u8", padded, strides=(1,))
+
+
+def word_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = BASES[0]) -> np.ndarray:
+    """A 64-bit hash of each word's bytes and length; words of up to eight bytes and
+    one length never collide."""
+    if not len(starts):
+        return np.zeros(0, dtype=U64)
+    load, lengths = eights(buffer), ends - starts
+    masks = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U64)
+    out = mix((load[starts] & masks[np.minimum(lengths, 8)]) ^ lengths.astype(U64) * U64(seed))
+    more = np.flatnonzero(lengths > 8)
+    done = 8
+    while len(more) and done < LONG_WORD:
+        piece = load[starts[more] + done] & masks[np.minimum(lengths[more] - done, 8)]
+        out[more] = mix(out[more] * U64(BASES[1]) ^ piece)
+        done += 8
+        more = more[lengths[more] > done]
+    for k in np.flatnonzero(lengths > LONG_WORD).tolist():
+        out[k] = xxhash.xxh64_intdigest(buffer[starts[k] : ends[k]].tobytes(), seed)
+    return out
+
+
+def byte_windows(buffer: np.ndarray, length: int, lane: int) -> np.ndarray:
+    """The hash of each window of ``length`` bytes, eight at least, from mixed letters."""
+    letters = mix(eights(buffer)[: max(0, len(buffer) - 7)] ^ U64(BASES[lane + 1]))
+    return windows(letters, length - 7, BASES[lane])
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -4,8 +4,9 @@ Any window of 35 words holds a whole block of 18 words that starts at a multiple
 of 18 (2 * 18 - 1 = 35).  So it suffices to index those non-overlapping blocks
 and to probe the index with every rolling window of 18 words: two equal windows
 of 35 words hit at the same place.  Around the hits every window of 35 words is
-then compared exactly (by a 104-bit hash), and runs of repeated windows are the
-maximal exact repeats.
+then compared by two hashes, 40 bits within its bucket and 64 more, both where it
+is counted and where words are cut; runs of repeated windows are the maximal
+exact repeats.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 from quern.llm import exchange as ex
 from quern.llm import rolling
 
-U64 = np.uint64
 WINDOW = 35
 
 
@@ -134,14 +134,17 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if not group.num_rows:
             return out.empty_table()
         texts = group.column("t").to_pylist()
-        found = ex.key_of_blobs(hits, 0) if hits.num_rows else np.zeros(0, dtype=U64)
+        found = ex.windows_of_blobs(hits, 0)
         total, removed, spans, kept = [], [], [], []
         for a, b in rolling.chunks(texts):
             w = _Words(texts[a:b])
             begins = np.zeros(len(w.hash), dtype=bool)
             at = w.starts(window, window)
-            if len(at) and len(found):
-                begins[at] = ex.member(ex.keyed(rolling.windows(w.hash, window)[at], buckets), found)
+            if len(at) and len(found[0]):
+                key = ex.keyed(rolling.windows(w.hash, window)[at], buckets)
+                maybe = np.flatnonzero(ex.member(key, found[0]))
+                check = rolling.windows(w.hash, window, rolling.BASES[1])[at[maybe]]
+                begins[at[maybe]] = ex.checked(key[maybe], check, found)
             gone = cover(begins, window, len(w.hash))
             for k, text in enumerate(texts[a:b]):
                 s, n = int(w.first[k]), int(w.count[k])

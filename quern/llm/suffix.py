@@ -7,8 +7,11 @@ neighbours share an anchor, to the anchor's bucket.  There a run-length index is
 built over the distinct pieces: their Burrows-Wheeler transform as runs, sampled
 at run ends with text positions.  Matching statistics stream over the pieces from
 those samples alone: between samples the match length falls by one per byte.
-An anchor with very many occurrences is settled by hashes of whole windows
-instead, spread over all buckets, so no bucket grows with a hot passage.
+An anchor with very many occurrences, whose pieces no bucket could hold, is
+settled by whole windows instead: each is known by two hashes, 40 bits within its
+bucket and 64 more, compared in full both where windows are counted and where
+bytes are cut, and they spread over all buckets, so no bucket grows with a hot
+passage.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -160,14 +164,15 @@ class _Pieces:
     def __init__(self, texts: list[bytes], window: int):
         self.data, starts = rolling.joined(texts)
         self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.starts = starts
+        self.starts, self.window = starts, window
+        self.lanes: dict[int, np.ndarray] = {}
         n = len(self.data) - window + 1
         empty = np.zeros(0, dtype=np.int64)
         self.s = self.e = self.at = empty
         if n <= 0:
             return
-        self.sums = {0: rolling.prefix(self.data.astype(U64) + U64(1), rolling.BASES[0])}
-        sums, many = self.sums[0], len(self.data) - KMER + 1
+        self.sums = sums = rolling.prefix(self.data.astype(U64) + U64(1), rolling.BASES[0])
+        many = len(self.data) - KMER + 1
         ranked = sums[KMER:] - sums[:many]
         ranked *= rolling.powers(many, rolling.BASES[0])[1][:many]
         ranked ^= ranked >> U64(32)
@@ -188,22 +193,23 @@ class _Pieces:
         self.s, self.e = edge[inside], stop[inside] + window - 1
         self.at = least[self.s]
 
-    def _hash(self, at: np.ndarray, length, lane: int) -> np.ndarray:
-        inverse = rolling.powers(len(self.data) + 1, rolling.BASES[lane])[1]
-        if lane not in self.sums:
-            self.sums[lane] = rolling.prefix(self.data.astype(U64) + U64(1), rolling.BASES[lane])
-        sums = self.sums[lane]
-        return rolling.mix((sums[at + length] - sums[at]) * inverse[at])
-
     def anchors(self, buckets: int) -> np.ndarray:
-        return ex.keyed(self._hash(self.at, KMER, 0), buckets) if len(self.at) else np.zeros(0, dtype=U64)
+        if not len(self.at):
+            return np.zeros(0, dtype=U64)
+        inverse = rolling.powers(len(self.data) + 1, rolling.BASES[0])[1]
+        return ex.keyed(rolling.mix((self.sums[self.at + KMER] - self.sums[self.at]) * inverse[self.at]), buckets)
 
     def piece_hashes(self, which: np.ndarray | slice = slice(None)) -> np.ndarray:
-        """A hash of the bytes of each piece, by which a group knows it again."""
-        s, e = self.s[which], self.e[which]
-        if not len(s):
-            return np.zeros(0, dtype=U64)
-        return rolling.mix(self._hash(s, e - s, 0) + (e - s).astype(U64))
+        """XXH64 of the bytes of each piece, by which a group knows it again."""
+        view, digest = memoryview(self.data), xxhash.xxh64_intdigest
+        s, e = self.s[which].tolist(), self.e[which].tolist()
+        return np.fromiter((digest(view[a:b]) for a, b in zip(s, e, strict=True)), U64, len(s))
+
+    def window_hashes(self, lane: int) -> np.ndarray:
+        """The hash of the window that begins at each place."""
+        if lane not in self.lanes:
+            self.lanes[lane] = rolling.byte_windows(self.data, self.window, lane)
+        return self.lanes[lane]
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -280,8 +286,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 found[piece] = found.get(piece, 0) + 1
                 names[piece] = h_
             for at in _windows_of(p, ex.member(anchor, burning), window):
-                keys.append(ex.keyed(p._hash(at, window, 0), buckets))
-                checks.append(p._hash(at, window, 1))
+                keys.append(ex.keyed(p.window_hashes(0)[at], buckets))
+                checks.append(p.window_hashes(1)[at])
         out = []
         if keys:
             out += ex.pack_windows(np.concatenate(keys), np.concatenate(checks), g, 1)
@@ -355,7 +361,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if not group.num_rows:
             return out.empty_table()
         texts = group.column("t").to_pylist()
-        burnt = ex.key_of_blobs(hits, 1) if hits.num_rows else np.zeros(0, dtype=U64)
+        burnt = ex.windows_of_blobs(hits, 1)
         told: dict[int, np.ndarray] = {}
         parts = [np.frombuffer(x, U64) for kind, x in zip(hits.column("kind").to_pylist(), hits.column("blob").to_pylist(), strict=True) if kind == 2]
         whole = np.sort(np.concatenate(parts)) if parts else np.zeros(0, dtype=U64)
@@ -383,9 +389,11 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for k in np.flatnonzero(ex.member(hashes, known)).tolist():
                     begin = told[int(hashes[k])]
                     begins[p.s[k] : p.s[k] + len(begin)] = begin
-            if len(burnt):
+            if len(burnt[0]):
                 for at in _windows_of(p, np.ones(len(p.s), dtype=bool), window):
-                    begins[at] |= ex.member(ex.keyed(p._hash(at, window, 0), buckets), burnt)
+                    key = ex.keyed(p.window_hashes(0)[at], buckets)
+                    at, key = at[maybe := ex.member(key, burnt[0])], key[maybe]
+                    begins[at] |= ex.checked(key, p.window_hashes(1)[at], burnt)
             gone = cover(begins, window, len(p.data))
             for k, text in enumerate(texts[a:b]):
                 s = int(p.starts[k])

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quern.llm import components, queries, simhash, substring, suffix
+from quern.llm import components, queries, rolling, simhash, substring, suffix
 from tests.llm.cases import awkward, empty
 from tests.oracle import same
 
@@ -63,6 +63,41 @@ def test_byte_windows(spark, hot):
         assert bytes(got[i]["kept"]) == np.frombuffer(d, np.uint8)[~gone].tobytes()
 
 
+def thue_morse(bits: int) -> tuple[str, str]:
+    """Two strings that collide under any polynomial modulo 2**64 with an odd base."""
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(1 << bits))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_adversarial_words_and_bytes_are_told_apart(spark):
+    one, two = thue_morse(10)
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join([*words[:20], x, *words[20:]])) for i, x in enumerate((one, two))], "doc_id long, text string")
+    assert [r["n_removed"] for r in substring.find_repeats(docs).collect()] == [0, 0]
+    context = "".join(random.Random(1).choices("cdefgh", k=60))
+    docs = spark.createDataFrame([(i, context + x + context) for i, x in enumerate((one, two))], "doc_id long, text string")
+    for hot in (suffix.HOT, 2):
+        got = {r["id"]: r for r in suffix.find_repeats(docs, hot=hot).collect()}
+        for i, x in enumerate((one, two)):
+            mine, other = (context + x + context).encode(), (context + (two if x == one else one) + context).encode()
+            seen = Counter(d[k : k + 200] for d in (mine, other) for k in range(len(d) - 199))
+            gone = np.zeros(len(mine), dtype=bool)
+            for k in range(len(mine) - 199):
+                if seen[mine[k : k + 200]] > 1:
+                    gone[k : k + 200] = True
+            assert got[i]["n_removed"] == int(gone.sum())
+
+
+def test_word_hashes_of_any_length():
+    rng = random.Random(2)
+    words = list({bytes(rng.choices(b"abcdefgh", k=n)) for n in [*range(1, 140)] * 4})
+    data, _ = rolling.joined(words)
+    found = rolling.word_hashes(data, *rolling.word_spans(data))
+    assert len(set(found.tolist())) == len(words)
+    again, _ = rolling.joined([b"some", b"other words", *words])
+    assert rolling.word_hashes(again, *rolling.word_spans(again))[3:].tolist() == found.tolist()
+
+
 def test_run_length_index_is_compressed_and_exact():
     rng = random.Random(5)
     for _ in range(40):
