@@ -2,8 +2,9 @@
 
 An Aho-Corasick automaton finds cues in one pass over the text: at-signs, plus
 signs, digits, URL schemes and identifier words.  From each cue a deterministic
-parser expands left and right to the longest span of its kind and validates it,
-so no text is scanned by a backtracking expression.
+parser expands left and right to the longest span of its kind and validates it.
+No parser reads a character more than a fixed number of times, whatever the text,
+so time grows in line with its length.
 
 Kinds, in order: ``email``, ``ip``, ``card``, ``phone``; then two that the method
 adds: ``url`` (an address that carries a user's name or password) and ``account``
@@ -36,12 +37,16 @@ IDENTIFIERS = (
     "iban", "account", "acct", "passport", "ssn", "token", "secret", "password", "api_key", "apikey", "api key", "customer id", "user id",
 )
 
+# Words that may stand between an identifier's cue and its sign.
+LINKS = ("number", "no.", "no", "id", "key")
+
 _TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]{7,}")
-_LINK = re.compile(r"\s*(?:number|no\.?|id|key)?\s*[:=#]\s*[\"']?")
+_URL_END = re.compile(r"[\x00-\x20<>\"']")
+_AUTHORITY_END = re.compile(r"[/?#]")
 Span = tuple[int, int, str]
 
 
-def automaton() -> ahocorasick.Automaton:
+def automaton(identifiers: tuple[str, ...] = IDENTIFIERS) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for cue in ("@", "+"):
         a.add_word(cue, (cue, 1))
@@ -49,14 +54,14 @@ def automaton() -> ahocorasick.Automaton:
         a.add_word(digit, ("0", 1))
     for scheme in SCHEMES:
         a.add_word(scheme, ("url", len(scheme)))
-    for word in IDENTIFIERS:
+    for word in identifiers:
         for form in {word, word.upper(), word.capitalize()}:
             a.add_word(form, ("account", len(form)))
     a.make_automaton()
     return a
 
 
-_cues: ahocorasick.Automaton | None = None
+_cues: dict[tuple[str, ...], ahocorasick.Automaton] = {}
 
 
 def email_at(text: str, at: int, floor: int) -> tuple[int, int] | None:
@@ -103,23 +108,33 @@ def phone_at(text: str, plus: int) -> tuple[int, int] | None:
     return (plus, i) if i - first >= 2 else None
 
 
-def url_at(text: str, start: int, after: int) -> tuple[int, int] | None:
-    """A URL with user information before its host."""
-    end = after
-    n = len(text)
-    while end < n and text[end] > " " and text[end] not in "<>\"'":
-        end += 1
-    authority = re.split(r"[/?#]", text[after:end], maxsplit=1)[0]
-    user, sign, host = authority.rpartition("@")
+def url_at(text: str, start: int, after: int, end: int) -> tuple[int, int] | None:
+    """A URL with user information before its host; ``end`` is where its characters end."""
+    stop = _AUTHORITY_END.search(text, after, end)
+    user, sign, host = text[after : stop.start() if stop else end].rpartition("@")
     return (start, end) if sign and user and host else None
 
 
 def account_after(text: str, after: int) -> tuple[int, int] | None:
     """An identifier of eight characters or more, with a digit, that a cue word announces."""
-    link = _LINK.match(text, after)
-    if not link:
+    n, at = len(text), after
+
+    def blanks(at: int) -> int:
+        while at < n and text[at].isspace():
+            at += 1
+        return at
+
+    at = blanks(at)
+    for word in LINKS:
+        if text.startswith(word, at):
+            at = blanks(at + len(word))
+            break
+    if at >= n or text[at] not in ":=#":
         return None
-    token = _TOKEN.match(text, link.end())
+    at = blanks(at + 1)
+    if at < n and text[at] in "\"'":
+        at += 1
+    token = _TOKEN.match(text, at)
     if not token or not any(c in DIGITS for c in token[0]):
         return None
     return token.span()
@@ -139,15 +154,15 @@ def _groups(runs: list[tuple[int, int]], text: str, joins: str):
         yield chain
 
 
-def find(text: str) -> list[Span]:
+def find(text: str, identifiers: tuple[str, ...] = IDENTIFIERS) -> list[Span]:
     """(start, end, kind) of every span, by start, then kind as in KINDS."""
-    global _cues
-    if _cues is None:
-        _cues = automaton()
+    if identifiers not in _cues:
+        _cues[identifiers] = automaton(identifiers)
+    url_end = 0  # where the characters of the last URL looked at end
     spans: list[Span] = []
     runs: list[tuple[int, int]] = []
     last = {"email": 0, "phone": 0, "url": 0, "account": 0}
-    for at, (cue, width) in _cues.iter(text):
+    for at, (cue, width) in _cues[identifiers].iter(text):
         start = at - width + 1
         if cue == "0":
             if runs and runs[-1][1] == at:
@@ -164,7 +179,12 @@ def find(text: str) -> list[Span]:
                 if not 9 <= sum(c in DIGITS for c in text[found[0] : found[1]]) <= 15:
                     found = None
         elif cue == "url":
-            kind, found = cue, url_at(text, start, at + 1) if start >= last["url"] else None
+            kind, found = cue, None
+            if start >= last["url"]:
+                if start >= url_end:
+                    stop = _URL_END.search(text, at + 1)
+                    url_end = stop.start() if stop else len(text)
+                found = url_at(text, start, at + 1, url_end)
         else:
             kind, found = cue, None
             if start >= last["account"] and not (start and (text[start - 1].isalnum())):
@@ -189,9 +209,12 @@ def told(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", identifiers: tuple[str, ...] = IDENTIFIERS) -> DataFrame:
     """(id, spans): spans are (kind, start, end) in code points, end exclusive.
 
+    ``identifiers`` are the words that announce an account, read as given, in
+    capitals and capitalised.
+
     Null and empty texts have none; an empty table gives no rows; repeated rows
     are read one by one; spans of one start come in the order of KINDS; extra
     columns are not read.
@@ -202,7 +225,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"kind": k, "start": s, "end": e} for s, e, k in find(t or "")] for t in batch.column(1).to_pylist()]
+            found = [[{"kind": k, "start": s, "end": e} for s, e, k in find(t or "", identifiers)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(item))], schema=schema)
 
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, spans array<struct<kind:string,start:long,end:long>>")
@@ -214,7 +237,12 @@ def base_digest(spans: list[Span]) -> str:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) with each span replaced by its kind in angle brackets; spans that
-    overlap an earlier one vanish with it."""
+    overlap an earlier one vanish with it.
+
+    A null text stays null and an empty one empty; an empty table gives no rows;
+    repeated rows are masked one by one; extra columns are not read, so their names
+    cannot clash.
+    """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = pa.schema([("id", to_arrow_type(source.schema["id"].dataType)), ("text", pa.string())])
 

@@ -165,6 +165,51 @@ FROM base LEFT JOIN parts USING (doc_id)
 """
 
 
+_PII_SQL = r"""
+WITH base AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+patterns(kind, place, p, lead) AS (VALUES
+  ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', ''),
+  ('ip', 1, '[0-9]+(?:\.[0-9]+){3}', ''),
+  ('card', 2, '[0-9](?:[\x20-]?[0-9])+', ''),
+  ('phone', 3, '\+[0-9][\x20().0-9-]+[0-9]', ''),
+  ('url', 4, '(?:http|https|ftp|ssh)://[^\x00-\x20<>"''/?#]+@[^\x00-\x20<>"''/?#@]+(?:[/?#][^\x00-\x20<>"'']*)?', ''),
+  ('account', 5, 'LEAD[A-Za-z0-9][A-Za-z0-9_-]{7,}', 'LEAD')),
+cut AS (
+  SELECT doc_id, kind, place, lead, regexp_extract_all(t, p) AS m, string_split_regex(t, p) AS g FROM base, patterns),
+met AS (
+  SELECT doc_id, kind, place, m[k] AS whole,
+         CASE WHEN lead = '' THEN m[k] ELSE regexp_replace(m[k], '^(?:' || lead || ')', '') END AS s,
+         list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS a
+  FROM cut, unnest(range(1, len(m) + 1)) AS r(k)),
+spans AS (
+  SELECT doc_id, kind, place, s, (a + length(whole) - length(s))::BIGINT AS first, (a + length(whole))::BIGINT AS last,
+         regexp_replace(s, '[^0-9]', '', 'g') AS d
+  FROM met),
+good AS (
+  SELECT *, concat_ws(':', kind, first, last) AS told FROM spans
+  WHERE CASE kind
+    WHEN 'ip' THEN list_bool_and(list_transform(string_split(s, '.'), lambda x: length(ltrim(x, '0')) < 3 OR (length(ltrim(x, '0')) = 3 AND ltrim(x, '0') <= '255')))
+    WHEN 'card' THEN length(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i:
+      CASE WHEN i % 2 = 1 THEN substr(d, length(d) + 1 - i, 1)::INT
+           ELSE (2 * substr(d, length(d) + 1 - i, 1)::INT) // 10 + (2 * substr(d, length(d) + 1 - i, 1)::INT) % 10 END)) % 10 = 0
+    WHEN 'phone' THEN length(d) BETWEEN 9 AND 15
+    WHEN 'account' THEN length(d) > 0
+    ELSE true END)
+SELECT b.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
+       count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+       sha256(coalesce(string_agg(told, ',' ORDER BY first, place) FILTER (place < 4), '')) AS base_sha256,
+       coalesce(string_agg(told, ',' ORDER BY first, place, last), '') AS spans
+FROM base b LEFT JOIN good g ON b.doc_id = g.doc_id GROUP BY b.doc_id
+"""
+
+
+def _pii_sql() -> str:
+    words = sorted({f for w in pii.IDENTIFIERS for f in (w, w.upper(), w.capitalize())})
+    blank = r"[\s\x0b\p{Z}]*"
+    links = "|".join(w.replace(".", r"\.") for w in pii.LINKS)
+    return _PII_SQL.replace("LEAD", rf"(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(words)}){blank}(?:{links})?{blank}[:=#]{blank}[\x22\x27]?")
+
+
 def _quality_sql() -> str:
     stops = sorted({w for s in quality.STOP_WORDS for w in (s, s.capitalize())})
     return _QUALITY_SQL.replace("STOPS", ", ".join(f"'{w}'" for w in stops))
@@ -189,5 +234,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_anchor_substring_dedup": _SUBSTRING_SQL,
         "op5_run_length_suffix_dedup": _SUFFIX_SQL,
+        "op6_anchor_pii": _pii_sql(),
         "op8_quality_rules": _quality_sql(),
     }

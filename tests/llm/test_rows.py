@@ -1,13 +1,16 @@
 """Operators that judge documents one by one: quality, PII, tokens, language model."""
 
+import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from quern.llm import pii, pseudo, quality, queries, tokens
+from quern.llm.common import table
 from tests.llm.cases import awkward, empty
 from tests.oracle import same
 
@@ -53,6 +56,31 @@ def test_pii_awkward(spark):
     assert pii.detect(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("unit", ["http://", "account ", "+1 +1", "a@", "a.b@c.", "7", "1.1", "4 ", "token=", "ssh://a", "no : "])
+def test_pii_time_is_linear(unit):
+    text = unit * ((1 << 20) // len(unit))
+    began = time.process_time()
+    pii.find(text)
+    pii.find("account" + " " * len(text))
+    assert time.process_time() - began < 4
+
+
+def test_pii_query_equals_brute_force(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"] or "" for r in table(spark, sf_dir, "documents").collect()}
+    got = {r["doc_id"]: r for r in queries.op6_anchor_pii(spark, sf_dir).collect()}
+    assert got.keys() == docs.keys()
+    for i, text in docs.items():
+        base = brute_pii(text)
+        told = ",".join(f"{k}:{s}:{e}" for s, e, k in base)
+        assert got[i]["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in pii.BASE] == [sum(x == k for _, _, x in base) for k in pii.BASE]
+        assert [x for x in got[i]["spans"].split(",") if x and not x.startswith(("url", "account"))] == [x for x in told.split(",") if x]
+
+
+def test_pii_query_equals_sql(spark, sf_dir):
+    same(queries.op6_anchor_pii(spark, sf_dir), queries.oracle_sql()["op6_anchor_pii"], sf_dir)
+
+
 def test_tokens_equal_the_library(spark):
     from tokenizers import Tokenizer
 
@@ -60,13 +88,31 @@ def test_tokens_equal_the_library(spark):
     library = Tokenizer.from_file(path)
     rng = random.Random(4)
     texts = ["", "   ", "I'm here, it's 1999!", "a<|endoftext|>b<|endoftext|>", "漢字 и кириллица", "x\r\n\r\n y  z\t\t", "ﬀ ① ² ½ª", "\x85a\x1c\x1d", "’s “q” — … €5"]
-    texts += ["".join(chr(rng.choice([rng.randint(0, 0x24F), rng.randint(0x2010, 0x2027), rng.randint(32, 126)])) for _ in range(60)) for _ in range(300)]
+    texts += ["नमस्ते 😀😀 👩‍👩‍👧", "'s ''s don't 'll'll 're we'd'dx 'sabc 'v", "　x 　 y", "<|endoftext|>", "word " * 60_000, "x" * 100_000]
+    texts += ["".join(rng.choice("ab's tred lvm\n\t 1!<|é漢\u2003\u3000") for _ in range(rng.randint(0, 40))) for _ in range(1000)]
+    ranges = [(0, 0x24F), (0x300, 0xD7FF), (0xE000, 0x10FFFF), (32, 126)]
+    texts += ["".join(chr(rng.randint(*rng.choice(ranges))) for _ in range(60)) for _ in range(500)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in tokens.count_tokens(docs, path).collect():
         assert r["n_tokens"] == len(library.encode(texts[r["id"]], add_special_tokens=False)), texts[r["id"]]
         assert r["n_bytes"] == len(texts[r["id"]].encode())
 
 
+def test_tokens_query_equals_the_library(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = {r["doc_id"]: r["text"] or "" for r in table(spark, sf_dir, "documents").collect()}
+    want = dict(zip(docs, map(len, library.encode_batch(list(docs.values()), add_special_tokens=False)), strict=True))
+    got = queries.op7_pretoken_counts(spark, sf_dir).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got} == {i: (len(docs[i].encode()), n, n > 1024) for i, n in want.items()}
+
+
+def test_tokens_refuse_other_tokenizers():
+    with pytest.raises(ValueError):
+        tokens.Splitter(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_tokens_awkward(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = {r["id"]: r["n_tokens"] for r in tokens.count_tokens(awkward(spark, ["n_tokens", "id", "t"]), path).collect()}
