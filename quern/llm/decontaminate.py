@@ -1,23 +1,25 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed terms are counted over the whole corpus.
-2. The benchmark's TF-IDF passages are factorised by a randomised SVD whose
-   products run as Spark jobs over blocks of passages; its right singular vectors
-   span the latent space.
-3. Every window of every document is projected into that space and compared by
-   cosine with each benchmark passage; windows whose weight on benchmark terms
-   cannot reach the threshold are skipped, which loses nothing.  Passages that the
-   space keeps badly are compared by their exact TF-IDF cosine too, so that none
-   is lost however many passages share the space.
+2. The benchmark's TF-IDF passages are factorised block by block in the executors
+   by a randomised SVD; a block's right singular vectors, as many as keep each of
+   its passages nearly whole, span its latent space.
+3. Every window of every document is projected into the latent spaces and its
+   product with each passage compared with the shorter of the two: a window that
+   holds a whole item counts, however short the item and whatever surrounds it.
+   Windows and blocks that cannot reach the threshold, by the largest share that
+   each of their terms has in any passage, are skipped, which loses nothing.
 4. Candidates pass a longest-common-subsequence check against the whole item, or,
    if only moderately similar, a check that the item's answer (its last quarter)
    is there too, which keeps paraphrases.
 
-The corpus is scanned twice and never shuffled.
+The corpus is scanned once for the frequencies and once for each BENCHMARK_BYTES
+of benchmark, and never shuffled.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,17 +29,20 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.llm import rolling
 from quern.llm.common import text_bytes, unused
 
 DIMS = 1 << 18
-#: Items of one latent space; a larger benchmark is searched block by block.
-ITEM_BLOCK = 5_000
-#: Terms of a sketch that are added up together.
-SLICE = 1024
-#: Exact products made at once.
-PRODUCTS = 1 << 20
+#: Passages that share a latent space.
+BLOCK = 128
+#: Bytes of benchmark text searched in one scan, so that what workers hold is bounded.
+BENCHMARK_BYTES = 1 << 20
+#: Vectors added up by one task of the reduction tree; three levels take its cube.
+FAN_IN = 128
+#: Windows projected at once.
+WINDOWS = 2048
 
 # Terms are runs of ASCII letters and digits and of non-ASCII bytes, lower-cased.
 _FOLD = np.full(256, 0x20, dtype=np.uint8)
@@ -50,11 +55,10 @@ for _c in range(256):
 class Params:
     window: int = 32
     stride: int = 8
-    rank: int = 256
-    energy: float = 0.95
-    #: A passage of which the latent space keeps a smaller share is also compared exactly.
-    kept: float = 0.95
-    cosine: float = 0.5
+    #: The share of its length that the latent space must keep of each passage.
+    kept: float = 0.999
+    #: Least product of window and passage, over the lesser of their lengths' product and the passage's square.
+    near: float = 0.5
     lcs: float = 0.8
     lcs_paraphrase: float = 0.6
     answer: float = 0.9
@@ -75,8 +79,8 @@ def _dims(hashes: np.ndarray) -> np.ndarray:
 def document_frequency(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
     """How many documents have each hashed term, and how many documents there are.
 
-    Every task sends one compressed vector of DIMS counts; vectors are added in
-    two levels, and only the sum reaches the driver.
+    Every task sends one compressed vector of DIMS counts; vectors are added in a
+    tree, FAN_IN at a time, and only the sum reaches the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,185 +92,207 @@ def document_frequency(docs: DataFrame, text_col: str = "text") -> tuple[np.ndar
                 hashes, of = terms(texts[first:last])
                 pairs = np.unique(of.astype(np.int64) * DIMS + _dims(hashes))
                 df += np.bincount(pairs % DIMS, minlength=DIMS)
-        part = TaskContext.get().partitionId() % 64
+        part = TaskContext.get().partitionId() // FAN_IN
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([n], pa.int64()), "df": pa.array([zlib.compress(df.tobytes(), 1)], pa.binary())})
 
     def add(group: pa.Table) -> pa.Table:
         df = np.zeros(DIMS, dtype=np.int64)
         for blob in group.column("df").to_pylist():
             df += np.frombuffer(zlib.decompress(blob), dtype=np.int64)
-        return pa.table({"part": pa.array([0], pa.int32()), "n": pa.array([sum(group.column("n").to_pylist())], pa.int64()), "df": pa.array([zlib.compress(df.tobytes(), 1)], pa.binary())})
+        return pa.table({"part": pa.array([group.column("part")[0].as_py() // FAN_IN], pa.int32()), "n": pa.array([sum(group.column("n").to_pylist())], pa.int64()), "df": pa.array([zlib.compress(df.tobytes(), 1)], pa.binary())})
 
     schema = "part int, n long, df binary"
     parts = docs.select(text_bytes(text_col).alias("t")).mapInArrow(count, schema)
-    rows = parts.groupBy("part").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema).collect()
-    if not rows:
-        return np.zeros(DIMS, dtype=np.int64), 0
-    return np.frombuffer(zlib.decompress(bytes(rows[0]["df"])), dtype=np.int64), int(rows[0]["n"])
+    for _ in range(3):
+        parts = parts.groupBy("part").applyInArrow(add, schema)
+    df, n = np.zeros(DIMS, dtype=np.int64), 0
+    for r in parts.collect():  # one row, up to two million tasks
+        df, n = df + np.frombuffer(zlib.decompress(bytes(r["df"])), dtype=np.int64), n + int(r["n"])
+    return df, n
 
 
-def passages(words: np.ndarray, window: int) -> list[np.ndarray]:
-    """Windows of an item at half-window steps, the last one at its end."""
-    if len(words) <= window:
-        return [words]
-    starts = sorted({*range(0, len(words) - window, window // 2), len(words) - window})
-    return [words[s : s + window] for s in starts]
+def passages(n: int, window: int) -> list[int]:
+    """Where the passages of an item of n terms begin: at half-window steps, the last one at its end."""
+    return [0] if n <= window else sorted({*range(0, n - window, window // 2), n - window})
+
+
+@dataclass
+class Block:
+    """The latent space of up to BLOCK passages."""
+
+    item: np.ndarray  # item of each passage
+    offset: np.ndarray  # where in its item each passage begins
+    norm: np.ndarray  # TF-IDF length of each passage
+    dims: np.ndarray  # dimensions that occur, sorted
+    basis: np.ndarray  # dims x rank
+    latent: np.ndarray  # passages x rank, scaled to length 1
+    reach: np.ndarray  # per dimension the largest value in a passage of length 1, and that over the passage's length
 
 
 @dataclass
 class LatentIndex:
-    """Everything a worker needs to search one block of items; about DIMS rows at most."""
+    """Everything a worker needs to search one part of the benchmark."""
 
     ids: list
     items: list[np.ndarray]  # term hashes of each item
-    of: np.ndarray  # item of each passage
     weight: np.ndarray  # idf of each dimension
-    row: np.ndarray  # dimension -> row of basis, or -1
-    basis: np.ndarray  # terms x rank
-    latent: np.ndarray  # passages x rank, scaled to give cosines
-    loose: np.ndarray  # passages that the basis keeps badly
-    begin: np.ndarray  # row of basis -> its first posting
-    posted: np.ndarray  # place in loose of each posting
-    value: np.ndarray  # TF-IDF value of each posting
-
-
-def randomised_svd(spark, rows: list[tuple[np.ndarray, np.ndarray]], width: int, rank: int, energy: float, power: int = 2, seed: int = 7) -> np.ndarray:
-    """An orthonormal basis (width x k) of the leading right singular vectors of a
-    sparse matrix given as (columns, values) rows.
-
-    Each product with A'A is a Spark job over blocks of rows; only width x rank
-    sketches travel.  k is the least rank that keeps ``energy`` of the squares
-    that ``rank`` vectors keep, which may be far less than all: the caller measures
-    what is kept of each row.
-    """
-    rank = max(1, min(rank, len(rows), width))
-    blocks = [rows[i : i + 64] for i in range(0, len(rows), 64)]
-    data = spark.createDataFrame(
-        [(i, [int(len(c)) for c, _ in b], np.concatenate([c for c, _ in b]).astype(np.int32).tobytes(), np.concatenate([v for _, v in b]).astype(np.float32).tobytes()) for i, b in enumerate(blocks)],
-        "block int, lengths array<int>, cols binary, vals binary",
-    ).repartition(min(len(blocks), 16), "block")
-
-    def gram(x: np.ndarray) -> np.ndarray:
-        shared = spark.sparkContext.broadcast(x)
-
-        def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            out, met = np.zeros_like(m), np.zeros(len(m), dtype=bool)
-            for batch in batches:
-                for r in batch.to_pylist():
-                    cols, vals = np.frombuffer(r["cols"], np.int32), np.frombuffer(r["vals"], np.float32)
-                    at = 0
-                    for n in r["lengths"]:
-                        c, v = cols[at : at + n], vals[at : at + n]
-                        at += n
-                        out[c] += v[:, None] * (v @ m[c])
-                        met[c] = True
-            for part in np.unique(np.flatnonzero(met) // SLICE).tolist():  # nothing from an empty task
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "s": pa.array([out[part * SLICE : (part + 1) * SLICE].tobytes()], pa.binary())})
-
-        def add(group: pa.Table) -> pa.Table:
-            blobs = group.column("s").to_pylist()
-            total = np.zeros(len(blobs[0]) // 4, dtype=np.float32)
-            for blob in blobs:
-                total += np.frombuffer(blob, np.float32)
-            return pa.table({"part": group.column("part").slice(0, 1).combine_chunks(), "s": pa.array([total.tobytes()], pa.binary())})
-
-        out = np.zeros_like(x)
-        for got in data.mapInArrow(multiply, "part int, s binary").groupBy("part").applyInArrow(add, "part int, s binary").collect():
-            rows = np.frombuffer(bytes(got["s"]), np.float32).reshape(-1, x.shape[1])
-            out[got["part"] * SLICE : got["part"] * SLICE + len(rows)] = rows
-        shared.unpersist()
-        return out
-
-    x = np.random.default_rng(seed).standard_normal((width, min(rank + 10, width)), dtype=np.float32)
+    row: np.ndarray  # dimension -> place among those that occur, or -1
+    reach: np.ndarray  # the largest of all blocks
+    blocks: list[Block]
+
+
+def randomised_svd(matrix: np.ndarray, kept: float, power: int = 2, seed: int = 7) -> np.ndarray:
+    """An orthonormal basis (columns x k) of leading right singular vectors of a matrix
+    with rows of length 1: the least k that keeps ``kept`` of the length of each row."""
+    rows, width = matrix.shape
+    x = np.random.default_rng(seed).standard_normal((width, min(rows + 10, width)))
     for _ in range(power):
-        x = np.linalg.qr(gram(x))[0].astype(np.float32)
-    values, turn = np.linalg.eigh(x.T @ gram(x))
-    order = np.argsort(values)[::-1][:rank]
-    values = np.maximum(values[order], 0)
-    kept = int(np.searchsorted(np.cumsum(values), energy * values.sum())) + 1
-    return (x @ turn[:, order[:kept]]).astype(np.float32)
-
-
-def build_index(spark, items: list[tuple], df: np.ndarray, n: int, p: Params) -> LatentIndex | None:
-    """The latent index of one block of (id, text bytes) items; None if no item has a term."""
-    words = []
-    for _, text in items:
-        words.append(terms([text])[0])
-    keep = [i for i, w in enumerate(words) if len(w)]
-    if not keep:
-        return None
+        x = np.linalg.qr(matrix.T @ (matrix @ x))[0]
+    values, turn = np.linalg.eigh((matrix @ x).T @ (matrix @ x))
+    basis = x @ turn[:, np.argsort(values)[::-1][: min(rows, width)]]
+    held = np.cumsum((matrix @ basis) ** 2, axis=1).min(axis=0)
+    return basis[:, : int(np.searchsorted(held, kept**2)) + 1].astype(np.float32)
+
+
+def build_block(chosen: list[tuple[int, int, np.ndarray]], weight: np.ndarray, p: Params) -> Block:
+    """The latent space of (item, offset, term hashes) passages."""
+    parts = [np.unique(_dims(words), return_counts=True) for _, _, words in chosen]
+    dims = np.unique(np.concatenate([d for d, _ in parts]))
+    matrix = np.zeros((len(parts), len(dims)))
+    for k, (d, tf) in enumerate(parts):
+        matrix[k, np.searchsorted(dims, d)] = tf * weight[d]
+    norm = np.linalg.norm(matrix, axis=1)
+    matrix /= norm[:, None]
+    basis = randomised_svd(matrix, p.kept, seed=len(dims))
+    latent = (matrix @ basis).astype(np.float32)
+    latent /= np.linalg.norm(latent, axis=1, keepdims=True)
+    # A little room for what the latent space does not keep.
+    reach = np.stack([matrix.max(axis=0), (matrix / norm[:, None]).max(axis=0)]).astype(np.float32) * 1.01
+    return Block(np.array([i for i, _, _ in chosen]), np.array([o for _, o, _ in chosen]), norm.astype(np.float32), dims, basis, latent, reach)
+
+
+def idf(df: np.ndarray, n: int) -> np.ndarray:
     weight = np.log((n + 1.0) / (df + 1.0)).astype(np.float32)
     weight[weight < np.log(20)] = 0  # terms of more than one document in twenty say nothing
-    of, rows = [], []
-    used = np.unique(np.concatenate([_dims(words[i]) for i in keep]))
+    return weight
+
+
+def build_index(spark, ids: list, items: list[np.ndarray], weight: np.ndarray, p: Params) -> LatentIndex | None:
+    """The index of some items, its blocks factorised in the executors; None if no item has a term."""
+    chosen = [(k, o) for k, words in enumerate(items) if len(words) for o in passages(len(words), p.window)]
+    if not chosen:
+        return None
+    weight = weight.copy()
+    for k, o in chosen:  # passages of nothing but common terms: these count evenly
+        dims = _dims(items[k][o : o + p.window])
+        if not weight[dims].any():
+            weight[dims] = 1
+    shared = spark.sparkContext.broadcast((chosen, items, weight))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen, items, weight = shared.value
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                mine = [(k, o, items[k][o : o + p.window]) for k, o in chosen[b * BLOCK : (b + 1) * BLOCK]]
+                yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int64()), "made": pa.array([zlib.compress(pickle.dumps(build_block(mine, weight, p)), 1)], pa.binary())})
+
+    n = -(-len(chosen) // BLOCK)
+    made = spark.range(0, n, 1, n).mapInArrow(make, "block long, made binary").collect()
+    shared.unpersist()
+    blocks = [pickle.loads(zlib.decompress(bytes(r["made"]))) for r in sorted(made, key=lambda r: r["block"])]
+    used = np.unique(np.concatenate([b.dims for b in blocks]))
     row = np.full(DIMS, -1, dtype=np.int32)
     row[used] = np.arange(len(used), dtype=np.int32)
-    for i in keep:
-        for part in passages(words[i], p.window):
-            dims, tf = np.unique(_dims(part), return_counts=True)
-            values = tf.astype(np.float32) * weight[dims]
-            norm = np.linalg.norm(values)
-            if norm == 0:  # only common terms: use them evenly
-                values, norm = tf.astype(np.float32), np.linalg.norm(tf)
-                weight[dims] = np.maximum(weight[dims], 1)
-            of.append(i)
-            rows.append((row[dims], values / norm))
-    basis = randomised_svd(spark, rows, len(used), p.rank, p.energy)
-    latent = np.zeros((len(rows), basis.shape[1]), dtype=np.float32)
-    for k, (cols, values) in enumerate(rows):
-        latent[k] = values @ basis[cols]
-    norms = np.linalg.norm(latent, axis=1, keepdims=True)  # of rows of length 1
-    latent /= np.maximum(norms, 1e-6)
-    loose = np.flatnonzero(norms[:, 0] < p.kept)
-    begin, posted, value = postings([rows[k] for k in loose.tolist()], len(used))
-    return LatentIndex([items[i][0] for i in range(len(items))], words, np.array(of), weight, row, basis, latent, loose, begin, posted, value)
-
-
-def postings(rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sparse rows by column: where each column's postings begin, their rows and values."""
-    cols = np.concatenate([np.zeros(0, np.int32), *(c for c, _ in rows)])
-    vals = np.concatenate([np.zeros(0, np.float32), *(v for _, v in rows)])
-    of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c, _ in rows])
-    order = np.argsort(cols, kind="stable")
-    order = order[vals[order] != 0]
-    begin = np.zeros(width + 1, dtype=np.int64)
-    np.cumsum(np.bincount(cols[order], minlength=width), out=begin[1:])
-    return begin, of[order], vals[order]
-
-
-def exact(index: LatentIndex, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Products of windows, given by the row of basis (-1: none) and weight of each of
-    their terms, with the loose passages."""
-    out = np.zeros((len(rows), len(index.loose)), dtype=np.float32)
-    step = max(1, PRODUCTS // max(1, len(index.loose)))
-    for at in range(0, len(rows), step):
-        w, k = np.nonzero(rows[at : at + step] >= 0)
-        r = rows[at + w, k]
-        first, n = index.begin[r], index.begin[r + 1] - index.begin[r]
-        ends = np.cumsum(n)
-        entry = np.arange(n.sum()) + np.repeat(first - ends + n, n)
-        place = np.repeat(w * len(index.loose), n) + index.posted[entry]
-        part = out[at : at + step]
-        part += np.bincount(place, np.repeat(weights[at + w, k], n) * index.value[entry], part.size).reshape(part.shape)
+    reach = np.zeros((2, len(used)), dtype=np.float32)
+    for b in blocks:
+        b.dims = row[b.dims]
+        reach[:, b.dims] = np.maximum(reach[:, b.dims], b.reach)
+    return LatentIndex(ids, items, weight, row, reach, blocks)
+
+
+def masks(item: np.ndarray) -> dict[int, int]:
+    """For each term the places of the item where it stands, as bits."""
+    out: dict[int, int] = {}
+    for k, word in enumerate(item.tolist()):
+        out[word] = out.get(word, 0) | 1 << k
     return out
 
 
-def lcs(regions: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """Longest common subsequence of each padded region (0: no term) with one item."""
-    best = np.zeros((len(regions), regions.shape[1] + 1), dtype=np.int32)
-    for word in item:
-        new = np.maximum(best[:, 1:], best[:, :-1] + (regions == word))
-        np.maximum.accumulate(new, axis=1, out=best[:, 1:])
-    return best[:, -1]
+def lcs(region: list[int], at: dict[int, int], n: int) -> int:
+    """The longest common subsequence of a region and an item of n terms, all of the
+    item's terms at once: each bit that falls to 0 is one more term matched."""
+    left = full = (1 << n) - 1
+    for word in region:
+        if here := left & at.get(word, 0):
+            left = (left + here | left - here) & full
+    return n - left.bit_count()
 
 
 def close_lcs(region: np.ndarray, item: np.ndarray) -> int:
     """The longest common subsequence within half again the item's length, so that
     words scattered over a long region don't add up to a short item."""
-    width, step = min(len(region), -(-3 * len(item) // 2)), max(1, len(item) // 4)
-    starts = sorted({*range(0, len(region) - width + 1, step), len(region) - width})
-    return int(lcs(np.stack([region[s : s + width] for s in starts]), item).max())
+    at, n = masks(item), len(item)
+    width, step = min(len(region), -(-3 * n // 2)), max(1, n // 4)
+    words, best = region.tolist(), 0
+    for s in sorted({*range(0, len(words) - width + 1, step), len(words) - width}):
+        if best < n:
+            best = max(best, lcs(words[s : s + width], at, n))
+    return best
+
+
+def _lengths(dims: np.ndarray, weights: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """The TF-IDF length of each window (a row): the weights of equal terms add up."""
+    w, k = np.nonzero(inside & (weights > 0))
+    if not len(w):
+        return np.zeros(len(dims))
+    key = w * DIMS + dims[w, k]
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    value = np.add.reduceat(weights[w, k][order].astype(np.float64), first)
+    return np.sqrt(np.bincount(key[first] // DIMS, value**2, len(dims)))
+
+
+def candidates(index: LatentIndex, dims: np.ndarray, of: np.ndarray, begin: np.ndarray, end_of: np.ndarray, p: Params):
+    """(first term of the window, block, passage, cosine) arrays of windows near a passage."""
+    weight, row = index.weight[dims], index.row[dims]
+    starts = np.flatnonzero((np.arange(len(of)) - begin) % p.stride == 0)
+    ends = np.minimum(starts + p.window, end_of[starts])
+
+    def total(x: np.ndarray) -> np.ndarray:
+        sums = np.concatenate(([0.0], np.cumsum(x, dtype=np.float64)))
+        return sums[ends] - sums[starts]
+
+    least = np.sqrt(total(weight.astype(np.float64) ** 2))  # repeated terms only lengthen a window
+    cosine, part = (total(np.where(row >= 0, weight * r[row], 0)) for r in index.reach)
+    alive = (cosine > 0) & ((cosine >= p.near * least) | (part >= p.near))
+    starts, ends = starts[alive], ends[alive]
+    scratch = np.full(index.reach.shape[1], -1, dtype=np.int32)
+    for first in range(0, len(starts), WINDOWS):
+        s, e = starts[first : first + WINDOWS], ends[first : first + WINDOWS]
+        spot = s[:, None] + np.arange(p.window)
+        inside = spot < e[:, None]
+        spot = np.minimum(spot, len(dims) - 1)
+        length = _lengths(dims[spot], weight[spot], inside)
+        w, k = np.nonzero(inside & (row[spot] >= 0) & (weight[spot] > 0))
+        r, v = row[spot[w, k]], weight[spot[w, k]]
+        for number, block in enumerate(index.blocks):
+            scratch[block.dims] = np.arange(len(block.dims), dtype=np.int32)
+            local = scratch[r]
+            scratch[block.dims] = -1
+            mine = local >= 0
+            cosine, part = (np.bincount(w[mine], v[mine] * x[local[mine]], len(s)) for x in block.reach)
+            live = (cosine > 0) & ((cosine >= p.near * length) | (part >= p.near))
+            mine &= live[w]
+            if not mine.any():
+                continue
+            window, at = np.unique(w[mine], return_index=True)
+            vectors = np.add.reduceat(block.basis[local[mine]] * v[mine, None], at)
+            product = vectors @ block.latent.T
+            near = np.maximum(product / length[window, None], product / block.norm)
+            x, q = np.nonzero(near >= p.near)
+            if len(x):
+                yield s[window[x]], number, q, product[x, q] / length[window[x]]
 
 
 def search(index: LatentIndex, texts: list[bytes], p: Params) -> list[tuple[int, int, float, float, bool]]:
@@ -274,87 +300,59 @@ def search(index: LatentIndex, texts: list[bytes], p: Params) -> list[tuple[int,
     hashes, of = terms(texts)
     if not len(hashes):
         return []
-    dims = _dims(hashes)
-    weight = index.weight[dims]
-    row = index.row[dims]
-    square = np.concatenate(([0.0], np.cumsum(weight.astype(np.float64) ** 2)))
-    hit = np.concatenate(([0.0], np.cumsum(np.where(row >= 0, weight.astype(np.float64) ** 2, 0))))
-    first = np.flatnonzero(np.diff(of, prepend=-1))  # first term of each text
-    begin = first[np.searchsorted(first, np.arange(0, len(of)), "right") - 1]
-    end_of = np.append(first[1:], len(of))[np.searchsorted(first, np.arange(len(of)), "right") - 1]
-    starts = np.flatnonzero((np.arange(len(of)) - begin) % p.stride == 0)
-    ends = np.minimum(starts + p.window, end_of[starts])
-    energy = square[ends] - square[starts]
-    shared = hit[ends] - hit[starts]
-    alive = (shared > 0) & (shared >= p.cosine**2 * energy)
-    starts, ends, energy = starts[alive], ends[alive], energy[alive]
+    edge = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
+    text = np.searchsorted(edge, np.arange(len(of)), "right") - 1
+    begin, end_of = edge[text], edge[text + 1]
+    tops: dict[tuple[int, int, int], tuple[float, int]] = {}  # place of an item in a text -> cosine, where the item would begin
+    for start, number, passage, cosine in candidates(index, _dims(hashes), of, begin, end_of, p):
+        block = index.blocks[number]
+        for s, q, c in zip(start.tolist(), passage.tolist(), cosine.tolist(), strict=True):
+            item = int(block.item[q])
+            first = s - int(block.offset[q])
+            key = (int(text[s]), item, first // max(p.stride, len(index.items[item]) // 4))
+            if c > tops.get(key, (-1.0, 0))[0]:
+                tops[key] = (c, first)
     best: dict[tuple[int, int], tuple[float, float, bool]] = {}
-    for block in range(0, len(starts), 8192):
-        s, e = starts[block : block + 8192], ends[block : block + 8192]
-        vec = np.zeros((len(s), index.basis.shape[1]), dtype=np.float32)
-        spot = s[:, None] + np.arange(p.window)
-        inside = spot < e[:, None]
-        spot = np.minimum(spot, len(row) - 1)
-        for k in range(p.window):
-            pos = s + k
-            ok = pos < e
-            pos = pos[ok]
-            r = row[pos]
-            some = r >= 0
-            where = np.flatnonzero(ok)[some]
-            vec[where] += index.basis[r[some]] * weight[pos[some], None]
-        score = vec @ index.latent.T
-        if len(index.loose):
-            score[:, index.loose] = np.maximum(score[:, index.loose], exact(index, np.where(inside, row[spot], -1), weight[spot]))
-        score /= np.sqrt(np.maximum(energy[block : block + 8192], 1e-12)).astype(np.float32)[:, None]
-        w, q = np.nonzero(score >= p.cosine)
-        for item in np.unique(index.of[q]).tolist():
-            mine = index.of[q] == item
-            wanted = index.items[item]
-            spots, where = np.unique(w[mine], return_inverse=True)
-            top = np.zeros(len(spots), dtype=np.float32)
-            np.maximum.at(top, where, score[w[mine], q[mine]])
-            n = len(wanted)
-            span = np.arange(-n, p.window + n)
-            for b in range(0, len(spots), 256):
-                centre = s[spots[b : b + 256]]
-                pos = centre[:, None] + span[None, :]
-                inside = (pos >= begin[centre][:, None]) & (pos < end_of[centre][:, None])
-                region = np.where(inside, hashes[np.clip(pos, 0, len(hashes) - 1)], np.uint64(0))
-                ratio = lcs(region, wanted) / n
-                answer = wanted[-max(1, n // 4) :]
-                told = lcs(region, answer) >= p.answer * len(answer)
-                for at, (c, r, a, t) in enumerate(zip(centre.tolist(), ratio.tolist(), told.tolist(), top[b : b + 256].tolist(), strict=True)):
-                    if r < p.lcs_paraphrase or (of[c], item) in best and best[int(of[c]), item][1] == 1:
-                        continue
-                    r = close_lcs(region[at], wanted) / n
-                    if r >= p.lcs or (r >= p.lcs_paraphrase and a):
-                        key = (int(of[c]), item)
-                        if key not in best or (r, t) > best[key][1::-1]:
-                            best[key] = (t, r, a)
+    for (doc, item, _), (cosine, first) in sorted(tops.items()):
+        wanted = index.items[item]
+        n, key = len(wanted), (int(of[edge[doc]]), item)
+        if key in best and best[key][1] == 1 and best[key][0] >= cosine:
+            continue
+        spare = p.window + n // 4
+        region = hashes[max(int(edge[doc]), first - spare) : min(int(edge[doc + 1]), first + n + spare)]
+        if not len(region) or np.isin(wanted, region).sum() < p.lcs_paraphrase * n:
+            continue
+        ratio = close_lcs(region, wanted) / n
+        if ratio < p.lcs_paraphrase:
+            continue
+        last = wanted[-max(1, n // 4) :]
+        answer = lcs(region.tolist(), masks(last), len(last)) >= p.answer * len(last)
+        if (ratio >= p.lcs or answer) and (key not in best or (ratio, cosine) > best[key][1::-1]):
+            best[key] = (cosine, ratio, answer)
     return [(d, i, t, r, a) for (d, i), (t, r, a) in sorted(best.items())]
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, text_col: str, p: Params) -> list:
-    """One broadcast index for each ITEM_BLOCK items of the benchmark."""
+    """One broadcast index for each BENCHMARK_BYTES of the benchmark."""
     spark = docs.sparkSession
-    rows = benchmark.select(F.col(item_col).alias("i"), text_bytes(item_text).alias("t")).orderBy("i", "t").toLocalIterator()
-    df = None
-    shared, block = [], []
-
-    def flush() -> None:
-        nonlocal df, block
-        if block:
-            df = df or document_frequency(docs, text_col)
-            if (index := build_index(spark, block, *df, p)) is not None:
-                shared.append(spark.sparkContext.broadcast(index))
-        block = []
-
-    for r in rows:
-        block.append((r["i"], bytes(r["t"])))
-        if len(block) == ITEM_BLOCK:
-            flush()
-    flush()
+    source = benchmark.select(F.col(item_col).alias("i"), text_bytes(item_text).alias("t"))
+    parts = -(-int(source.agg(F.sum(F.length("t"))).first()[0] or 0) // BENCHMARK_BYTES)
+    if not parts:
+        return []
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [terms([t])[0].tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], names=["i", "words"])
+
+    weight = idf(*document_frequency(docs, text_col))
+    shared = []
+    for part in range(parts):
+        mine = source.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part)
+        rows = mine.mapInArrow(read, f"i {source.schema['i'].dataType.simpleString()}, words binary").orderBy("i", "words").collect()
+        index = build_index(spark, [r["i"] for r in rows], [np.frombuffer(bytes(r["words"]), np.uint64) for r in rows], weight, p)
+        if index is not None:
+            shared.append(spark.sparkContext.broadcast(index))
     return shared
 
 
@@ -371,6 +369,7 @@ def contaminated(
     source = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("t"))
     id_type = source.schema["id"].dataType.simpleString()
     item_type = benchmark.schema[item_col].dataType.simpleString()
+    item_arrow = to_arrow_type(benchmark.schema[item_col].dataType)
     schema = f"id {id_type}, item {item_type}, cosine double, lcs_ratio double, answer boolean"
     out = None
     for shared in indexes(docs, benchmark, item_col, item_text, text_col, params):
@@ -388,16 +387,18 @@ def contaminated(
                             pa.array([float(f[2]) for f in found]), pa.array([float(f[3]) for f in found]), pa.array([bool(f[4]) for f in found]),
                         ], names=["id", "item", "cosine", "lcs_ratio", "answer"])
 
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        item_arrow = to_arrow_type(benchmark.schema[item_col].dataType)
         part = source.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", params: Params = Params()) -> DataFrame:
-    """The documents, with all their columns, that leak no item."""
+    """The documents, with all their columns, that leak no item.
+
+    Null and empty texts leak nothing and stay, as all rows do beside an empty
+    benchmark; repeated rows are judged one by one and alike; columns may have any
+    names.
+    """
     columns = docs.columns
     (text_,) = unused(columns, "__text")
     for shared in indexes(docs, benchmark, item_col, item_text, text_col, params):

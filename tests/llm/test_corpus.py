@@ -1,8 +1,10 @@
 """Operators over the whole corpus: sharding, mixing, decontamination and the pipeline."""
 
 import random
+import time
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,19 +111,96 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert sorted(r["doc_id"] for r in decontaminate.clean(docs, benchmark).collect()) == sorted(set(range(300)) - {d for d, _ in got})
 
 
-def test_no_copy_is_lost_when_passages_outnumber_the_rank(spark):
-    import numpy as np
+def corpus_index(spark, items, texts, p=decontaminate.Params()):
+    df = np.bincount(np.concatenate([np.unique(decontaminate._dims(decontaminate.terms([t])[0])) for t in texts]), minlength=decontaminate.DIMS)
+    hashes = [decontaminate.terms([t])[0] for t in items]
+    return decontaminate.build_index(spark, list(range(len(items))), hashes, decontaminate.idf(df, len(texts)), p)
+
 
+def test_no_copy_is_lost_when_passages_are_many(spark):
     rng = random.Random(6)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(9000)]
-    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(15, 60))).encode()) for i in range(600)]
-    texts = [b" ".join([rng.choice(words).encode() for _ in range(40)] + [t] + [rng.choice(words).encode() for _ in range(40)]) for _, t in items]
-    p = decontaminate.Params()
-    df = np.bincount(np.concatenate([np.unique(decontaminate._dims(decontaminate.terms([t])[0])) for t in texts]), minlength=decontaminate.DIMS)
-    index = decontaminate.build_index(spark, items, df, len(texts), p)
-    assert len(index.latent) > 4 * p.rank
-    found = {(d, i) for d, i, *_ in decontaminate.search(index, texts, p)}
-    assert found == {(i, i) for i in range(600)}
+    items = [" ".join(rng.choice(words) for _ in range(rng.randint(15, 60))).encode() for _ in range(600)]
+    texts = [b" ".join([rng.choice(words).encode() for _ in range(40)] + [t] + [rng.choice(words).encode() for _ in range(40)]) for t in items]
+    index = corpus_index(spark, items, texts)
+    assert len(index.blocks) > 8
+    found = decontaminate.search(index, texts, decontaminate.Params())
+    assert {(d, i) for d, i, *_ in found} == {(i, i) for i in range(600)}
+    assert all(0 < cosine <= 1.0001 and ratio == 1 for _, _, cosine, ratio, _ in found)
+
+
+@pytest.mark.parametrize("length", [3, 4, 5, 6, 8, 10, 12, 20, 26, 33, 60, 400])
+def test_verbatim_items_of_any_length_are_found(spark, length):
+    rng = random.Random(length)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 9))) for _ in range(20_000)]
+    items = [" ".join(rng.sample(words, length)) for _ in range(40)]
+    texts = []
+    for k, item in enumerate(items):
+        prose = rng.sample(words, 80)
+        prose.insert(rng.choice([0, 80, rng.randint(0, 80)]), item)
+        texts.append(" ".join(prose).encode())
+    texts += [" ".join(rng.sample(words, 80)).encode() for _ in range(200)]
+    index = corpus_index(spark, [t.encode() for t in items], texts)
+    found = {(d, i) for d, i, *_ in decontaminate.search(index, texts, decontaminate.Params())}
+    assert found == {(i, i) for i in range(40)}
+
+
+def test_paraphrases_are_found(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 9))) for _ in range(20_000)]
+    items = [rng.sample(words, rng.randint(12, 60)) for _ in range(200)]
+    texts = []
+    for item in items:
+        copy = list(item)
+        for k in rng.sample(range(int(0.75 * len(copy))), len(copy) // 4):  # a quarter of the words, never the answer
+            copy[k] = rng.choice(words)
+        texts.append(" ".join([*rng.sample(words, 40), *copy, *rng.sample(words, 40)]).encode())
+    index = corpus_index(spark, [" ".join(i).encode() for i in items], texts)
+    found = {(d, i) for d, i, *_ in decontaminate.search(index, texts, decontaminate.Params())}
+    assert not found - {(i, i) for i in range(200)} and len(found) >= 190
+
+
+def test_a_repeated_term_has_no_cosine_above_one(spark):
+    texts = [b"zeppelin " * 60, b"zeppelin over the quiet harbour town at dawn again", *(f"word{i} other{i} thing{i}".encode() for i in range(100))]
+    index = corpus_index(spark, [b"zeppelin over the quiet harbour town at dawn"], texts)
+    for *_, cosine in decontaminate.candidates(index, *spots(texts[:1]), decontaminate.Params()):
+        assert (cosine <= 1.0001).all()
+    assert {d for d, *_ in decontaminate.search(index, texts, decontaminate.Params())} == {1}
+
+
+def spots(texts):
+    hashes, of = decontaminate.terms(texts)
+    edge = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
+    text = np.searchsorted(edge, np.arange(len(of)), "right") - 1
+    return decontaminate._dims(hashes), of, edge[text], edge[text + 1]
+
+
+def test_subsequences_equal_the_plain_table():
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = ([rng.randint(1, 6) for _ in range(rng.randint(0, 30))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = _next(row, x, b)
+        assert decontaminate.lcs(a, decontaminate.masks(np.array(b, dtype=np.int64)), len(b)) == row[-1]
+
+
+def _next(row, x, b):
+    out = [0]
+    for j, y in enumerate(b):
+        out.append(row[j] + 1 if x == y else max(row[j + 1], out[-1]))
+    return out
+
+
+def test_long_items_and_texts_take_bounded_time(spark):
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 9))) for _ in range(5000)]
+    item = " ".join(rng.choice(words) for _ in range(5000))
+    texts = [f"{item[:9000]} other {item[9000:]}".encode(), " ".join(rng.choice(words) for _ in range(150_000)).encode()]
+    index = corpus_index(spark, [item.encode()], texts + [w.encode() for w in words])
+    began = time.process_time()
+    assert {d for d, *_ in decontaminate.search(index, texts, decontaminate.Params())} == {0}
+    assert time.process_time() - began < 30
 
 
 def test_scattered_words_are_no_leak(spark):
@@ -129,7 +208,7 @@ def test_scattered_words_are_no_leak(spark):
     item = words[:8]
     spread = [x for k, w in enumerate(item) for x in (w, *words[20 + 6 * k : 26 + 6 * k])]
     docs = [(0, " ".join(spread)), (1, " ".join(words[100:130] + item + words[140:160]))] + [(i, " ".join(words[(7 * i) % 300 :][:60])) for i in range(2, 60)]
-    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, " ".join(item))], "item_id long, text string"), params=decontaminate.Params(cosine=0.2))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, " ".join(item))], "item_id long, text string"))
     assert 0 not in {r["id"] for r in got.collect()} and 1 in {r["id"] for r in got.collect()}
 
 
@@ -140,15 +219,13 @@ def test_exact_leaks_on_the_test_tables(spark, sf_dir):
     assert not set(map(tuple, told.collect())) - set(map(tuple, got.collect()))
 
 
-def test_randomised_svd_spans_the_leading_space(spark):
-    import numpy as np
-
+def test_randomised_svd_keeps_a_share_of_each_row():
     rng = np.random.default_rng(3)
-    dense = (rng.standard_normal((90, 6)) @ rng.standard_normal((6, 50)) + 0.01 * rng.standard_normal((90, 50))).astype(np.float32)
-    rows = [(np.arange(50), r) for r in dense]
-    basis = decontaminate.randomised_svd(spark, rows, 50, 20, 0.99)
-    left = dense - dense @ basis @ basis.T
-    assert basis.shape[1] <= 7 and (left**2).sum() < 0.02 * (dense**2).sum()
+    dense = rng.standard_normal((90, 6)) @ rng.standard_normal((6, 50)) + 0.01 * rng.standard_normal((90, 50))
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    basis = decontaminate.randomised_svd(dense, 0.99)
+    assert basis.shape[1] <= 7 and np.linalg.norm(dense @ basis, axis=1).min() >= 0.99
+    assert np.linalg.norm(dense @ decontaminate.randomised_svd(dense, 0.99999), axis=1).min() >= 0.99999
 
 
 def test_decontamination_awkward(spark):
