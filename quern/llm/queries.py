@@ -18,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_consistent_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"), 8).select(
+    return sharding.shard(table(spark, sf_dir, "documents"), 8, keep=["doc_id"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 

@@ -25,13 +25,33 @@ def test_shards(spark, sf_dir):
     assert all(sorted(s) == list(range(len(s))) for s in slots)
 
 
-def test_ring_bounds_loads_and_moves_little():
-    loads = {c: random.Random(c).randint(1, 1000) for c in range(sharding.CELLS)}
-    eight, nine = sharding.place(loads, 8), sharding.place(loads, 9)
-    for shards, home in ((8, eight), (9, nine)):
-        held = [sum(loads[c] for c in home if home[c] == s) for s in range(shards)]
-        assert max(held) <= 1.003 * sum(loads.values()) / shards
-    assert sum(eight[c] != nine[c] for c in loads) < 0.25 * len(loads)
+@pytest.mark.parametrize("shards", [2, 8, 60])
+def test_ring_bounds_loads_on_both_sides_and_moves_little(shards):
+    rng = random.Random(shards)
+    loads = {c: int(rng.lognormvariate(6, 1.2)) + 1 for c in range(sharding.cells_for(shards, 128))}
+    before, after = sharding.place(loads, shards), sharding.place(loads, shards + 1)
+    for n, home in ((shards, before), (shards + 1, after)):
+        held = [sum(loads[c] for c in home if home[c] == s) for s in range(n)]
+        mean = sum(loads.values()) / n
+        assert max(held) <= 1.0021 * mean and min(held) >= 0.9979 * mean
+    moved = sum(loads[c] for c in loads if before[c] != after[c])
+    assert moved < (1 / (shards + 1) + 0.12) * sum(loads.values())
+
+
+def test_ring_with_large_slots_and_too_many_shards():
+    loads = {1: 1000, 2: 10, 3: 10, 4: 10}
+    home = sharding.place(loads, 3)
+    assert set(home) == set(loads) and sharding.place({}, 3) == {}
+    with pytest.raises(ValueError):
+        sharding.cells_for(5000, 128)
+
+
+def test_split_slots_keep_slots_gapless(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "TASK_BYTES", 1)
+    docs = spark.createDataFrame([(i % 400, f"text {i % 700}") for i in range(3000)], "doc_id long, text string")
+    got = sharding.shard(docs, 4).collect()
+    for s in range(4):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
 
 
 def test_shards_awkward(spark):
