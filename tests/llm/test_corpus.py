@@ -47,9 +47,10 @@ def test_ring_with_large_slots_and_too_many_shards():
 
 
 def test_split_slots_keep_slots_gapless(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "TASK_BYTES", 1)
+    monkeypatch.setattr(sharding, "TASK_BYTES", 100)
+    monkeypatch.setattr(sharding, "CELLS", 64)
     docs = spark.createDataFrame([(i % 400, f"text {i % 700}") for i in range(3000)], "doc_id long, text string")
-    got = sharding.shard(docs, 4).collect()
+    got = sharding.shard(docs, 4, vnodes=8).collect()
     for s in range(4):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
 
