@@ -7,9 +7,11 @@ Words everywhere in this subpackage are maximal runs of bytes other than
 from __future__ import annotations
 
 import math
+import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 #: The six white-space characters, as a trim set and as a regular expression.
 SPACES = " \t\n\x0b\x0c\r"
@@ -39,9 +41,16 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def row_key(*columns: str) -> Column:
-    """A 64-bit hash that spreads rows even where an id is null or repeated."""
-    return F.xxhash64(*[F.col(c) for c in columns])
+def _has_map(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, MapType) or isinstance(kind, ArrayType) and _has_map(kind.elementType)
+
+
+def row_keys(df: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit hashes of all columns of a row; together they tell rows apart."""
+    columns = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if _has_map(f.dataType) else F.col(f"`{f.name}`") for f in df.schema]
+    return F.xxhash64(*columns), F.xxhash64(F.lit("second"), *columns)
 
 
 def total_bytes(docs: DataFrame, text_col: str = "text") -> int:
@@ -56,15 +65,16 @@ def parts_for(size: float, each: float, least: int = 1) -> int:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset
-    (tests on one machine) a local folder is chosen.
+    ``spark.checkpoint.dir`` is read from the session.  Where it is unset a temporary
+    folder is chosen on a local master only; on a cluster other machines would not
+    see it, so that is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            import tempfile
-
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             folder = tempfile.mkdtemp(prefix="quern-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

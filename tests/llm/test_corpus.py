@@ -1,8 +1,11 @@
 """Operators over the whole corpus: sharding, mixing, decontamination and the pipeline."""
 
+import os
 import random
+import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -81,23 +84,71 @@ def test_pivot_conserves_mass_and_expectation():
     assert all(abs(t / 3000 - m) < 0.06 * s for t, m, s in zip(total, start, size, strict=True))
 
 
-@pytest.mark.parametrize("chunk", [4096, 8])
+def test_a_large_document_is_settled_against_small_ones():
+    rng = random.Random(4)
+    size = [5000.0, *sorted((float(rng.randint(20, 200)) for _ in range(200)), reverse=True)]
+    start = [s * 0.37 for s in size]
+    total = [0.0] * len(size)
+    for _ in range(2000):
+        mass = list(start)
+        left = mixing.pivot(mass, size, rng.random)
+        assert sum(mass) == pytest.approx(sum(start)) and (left is None or size[left] <= 100)
+        total = [t + m for t, m in zip(total, mass, strict=True)]
+    assert all(abs(t / 2000 - m) < 0.05 * s for t, m, s in zip(total, start, size, strict=True))
+
+
+def plain_targets(sizes):
+    """Weights 1, 2, 3 by code point, null last; bisect the words a unit of weight gets."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: 1 + i % 3 for i, s in enumerate(order)}
+    low, high = 0.0, float(sum(sizes.values()))
+    for _ in range(200):
+        unit = (low + high) / 2
+        if sum(min(3 * sizes[s], unit * weight[s]) for s in order) < sum(sizes.values()):
+            low = unit
+        else:
+            high = unit
+    return {s: min(3 * sizes[s], high * weight[s]) for s in order}
+
+
+@pytest.mark.parametrize("chunk", [4096, 64])
 def test_mix_meets_targets_and_repeats(spark, sf_dir, chunk):
+    larger = sf_dir.replace("sf0.001", "sf0.01")
+    sf_dir = larger if os.path.isdir(larger) else sf_dir
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = mixing.mix(docs, chunk=chunk, fan_in=2)
     rows = sorted(map(tuple, got.collect()))
     assert rows == sorted(map(tuple, mixing.mix(docs, chunk=chunk, fan_in=2).collect()))
     by = got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most"), F.max("copies").alias("copies")).collect()
     assert len(rows) == docs.count()
-    assert all(abs(r["taken"] - r["target"]) <= r["most"] and r["copies"] <= 3 for r in by)
+    words = {r["doc_id"]: (r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in docs.collect()}
+    sizes = Counter()
+    for source, n in words.values():
+        sizes[source] += n
+    goal = plain_targets(sizes)
+    for r in got.collect():
+        assert (r["source"], r["size"]) == words[r["id"]] and r["source_size"] == sizes[r["source"]]
+        assert r["target"] == pytest.approx(goal[r["source"]]) and r["taken"] == r["copies"] * r["size"] and r["copies"] <= 3
+    assert all(abs(r["taken"] - r["target"]) <= r["most"] for r in by)
+    if min(Counter(s for s, _ in words.values()).values()) >= 50:
+        assert all(abs(r["taken"] - r["target"]) <= 0.01 * r["target"] for r in by)
     assert mixing.repeated(docs, got).count() == sum(r["copies"] for r in got.collect())
 
 
 def test_mix_awkward(spark):
-    docs = awkward(spark, ["size", "key", "target"])
+    docs = awkward(spark, ["size", "key", "key2", "n", "target"]).withColumn("tags", F.create_map(F.lit("a"), F.col("doc_id")))
     got = mixing.mix(docs)
     assert got.count() == 10 and mixing.mix(empty(spark)).count() == 0
-    assert mixing.repeated(docs, got).columns == docs.columns
+    again = mixing.repeated(docs, got)
+    assert again.columns == docs.columns and again.count() == sum(r["copies"] for r in got.collect())
+
+
+def test_equal_rows_share_copies(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s")] * 5000 + [(2, "d " * 40, "s"), (3, "e f", "t")], "doc_id long, text string, source string")
+    got = mixing.mix(docs, chunk=64).groupBy("id", "source").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("copies").alias("most"), F.min("copies").alias("least"), F.first("target").alias("target")).collect()
+    rows = {r["id"]: r for r in got}
+    assert rows[1]["n"] == 5000 and rows[1]["most"] - rows[1]["least"] <= 1
+    assert abs(rows[1]["taken"] + rows[2]["taken"] - rows[1]["target"]) <= 80 and rows[3]["taken"] == 6
 
 
 def leaky(spark, seed=2):
