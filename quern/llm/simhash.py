@@ -10,9 +10,9 @@ checked before the full Hamming distance.
 
 For a lower similarity than three bits stand for, ``similar`` takes wide
 fingerprints of 128 bits on a ring of sixteen segments.  So many bits may differ
-then that no key of useful length is sure to agree, so its candidates come from
-sampled keys, as many and as long as a recall of 95 % at the largest distance allowed
-asks for at the number of fingerprints; the pigeonring chains and the full Hamming check follow.
+then that no key of bits is sure to agree, so its candidates come from KEYS keys of
+DEPTH least shingle hashes each, the same number however large the corpus is; the
+pigeonring chains and the full Hamming check follow.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import checkpoint, shuffle_partitions, text_bytes, unused
+from quern.llm.common import checkpoint, row_keys, shuffle_partitions, text_bytes, unused
 from quern.llm.components import connected, stars
 from quern.llm.rolling import mix
 
@@ -219,12 +219,30 @@ def _with_least(named: DataFrame, node: str) -> DataFrame:
 WIDE_SEGMENTS = 16
 #: Buckets up to this size are compared whole; larger ones by search.
 SMALL = 64
+#: Keys of a wide fingerprint, and the least hashes that make up a key: sets of
+#: resemblance s share a key with probability 1 - (1 - s**DEPTH)**KEYS.
+KEYS, DEPTH = 12, 4
+_TURN = mix(np.arange(1, KEYS * DEPTH + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+
+
+def wide_keys(hashes: np.ndarray) -> np.ndarray:
+    """KEYS hashes, each of DEPTH least values of the set of hashes under as many orders."""
+    least = np.full(KEYS * DEPTH, np.iinfo(U64).max, dtype=U64)
+    for at in range(0, len(hashes), 2048):
+        part = hashes[at : at + 2048, None] * _TURN
+        part ^= part >> U64(32)
+        part *= _TURN[::-1]
+        np.minimum(least, part.min(axis=0), out=least)
+    out = np.arange(KEYS, dtype=U64)
+    for k in range(DEPTH):
+        out = mix(out ^ least[k * KEYS : (k + 1) * KEYS])
+    return out
 
 
-def wide_fingerprint(text: bytes, shingle: int) -> tuple[int, int]:
-    """128 bits from each distinct shingle's hash and a mix of it."""
+def wide_fingerprint(text: bytes, shingle: int) -> tuple[int, int, np.ndarray]:
+    """128 bits from each distinct shingle's hash and a mix of it, and the keys."""
     hashes = np.unique(shingle_hashes(text, shingle))
-    return majority(hashes), majority(mix(hashes + U64(0x9E3779B97F4A7C15)))
+    return majority(hashes), majority(mix(hashes + U64(0x9E3779B97F4A7C15))), wide_keys(hashes)
 
 
 def differing_share(similarity: float) -> float:
@@ -232,11 +250,10 @@ def differing_share(similarity: float) -> float:
     return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
-def key_plan(n: int, share: float, recall: float = 0.95) -> tuple[int, int]:
-    """(bits, keys): so long that a bucket holds about eight of n, so many that a pair
-    differing in ``share`` of the bits agrees on one key with the recall asked for."""
-    bits = min(40, max(12, math.ceil(math.log2(max(n, 2))) - 3))
-    return bits, math.ceil(math.log(1 - recall) / math.log1p(-((1 - share) ** bits)))
+def wide_tau(similarity: float) -> int:
+    """Two standard errors above the mean of differing bits at this resemblance."""
+    share = differing_share(similarity)
+    return int(2 * BITS * share + 2 * math.sqrt(2 * BITS * share * (1 - share)))
 
 
 def wide_near(diff: np.ndarray, tau: int) -> np.ndarray:
@@ -272,24 +289,13 @@ def wide_forest(words: np.ndarray, tau: int, side: np.ndarray | None = None) ->
     return edges
 
 
-def wide_links(fps: DataFrame, tau: int, bits: int, keys: int, block: int = 4096, seed: int = 5) -> DataFrame:
-    """(a, b) over distinct (node, lo, hi): edges that span the links met under sampled
-    keys.  Each task contracts its links to stars, so a dense family's pairs stay inside it."""
+def wide_links(fps: DataFrame, tau: int, block: int = 4096) -> DataFrame:
+    """(a, b) over distinct (node, lo, hi, keys): edges that span the links met under a
+    common key.  A key that more than ``block`` fingerprints share is cut into blocks,
+    all pairs of which are compared, so nothing is capped.  Each task contracts its
+    links to stars, so a dense family's pairs stay inside it."""
     n = shuffle_partitions(fps.sparkSession)
-    rng = np.random.default_rng(seed)
-    places = [rng.permutation(2 * BITS)[:bits] for _ in range(keys)]
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = np.stack([batch.column(c).to_numpy().view(U64) for c in (1, 2)], axis=1)
-            for k, place in enumerate(places):
-                key = np.zeros(len(words), dtype=U64)
-                for p in place.tolist():
-                    key = key << U64(1) | (words[:, p // BITS] >> U64(p % BITS)) & U64(1)
-                key |= U64(k << 44)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], names=["key", "node", "lo", "hi"])
-
-    keyed = fps.select("node", "lo", "hi").mapInArrow(spread, "key long, node long, lo long, hi long")
+    keyed = fps.select(F.explode("keys").alias("key"), "node", "lo", "hi")
     hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
     cut = F.ceil(F.coalesce("n", F.lit(1)) / block).cast("int")
     units = (
@@ -336,9 +342,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     """(id, component): documents whose shingle sets resemble each other by ``similarity``
     or more, as wide fingerprints estimate it, directly or through others.
 
-    The bound on differing bits lies 1.5 standard errors above the mean at the
-    threshold, so most pairs at it are linked and nearly all above it.  The
-    component is its least id.  Null, empty and short texts, ties, repeated rows
+    The bound on differing bits lies two standard errors above the mean at the
+    threshold, so nearly all pairs at it are linked.  The component is its least id.
+    Null, empty and short texts, ties, repeated rows
     and empty tables are treated as in ``near_duplicates``.
     """
     source = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("t"))
@@ -346,25 +352,34 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([wide_fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=U64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["id", "lo", "hi"])
-
-    rows = checkpoint(source.mapInArrow(run, f"id {kind}, lo long, hi long").withColumn("node", F.xxhash64("lo", "hi")))
-    distinct = checkpoint(rows.groupBy("node", "lo", "hi").agg(F.min("id").alias("least")))
-    share = differing_share(similarity)
-    tau = int(2 * BITS * share + 1.5 * math.sqrt(2 * BITS * share * (1 - share)))
-    bits, keys = key_plan(distinct.count(), tau / (2 * BITS))
-    nodes = connected(wide_links(distinct, tau, bits, keys))
+            found = [wide_fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
+            bits = np.array([f[:2] for f in found], dtype=U64).reshape(-1, 2).view(np.int64)
+            keys = np.concatenate([np.zeros(0, dtype=U64), *(f[2] for f in found)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * KEYS), pa.array(keys)),
+            ], names=["id", "lo", "hi", "keys"])
+
+    rows = checkpoint(source.mapInArrow(run, f"id {kind}, lo long, hi long, keys array<long>").withColumn("node", F.xxhash64("lo", "hi")))
+    # Texts of one fingerprint are all but equal, so the keys of one of them serve.
+    distinct = checkpoint(rows.groupBy("node", "lo", "hi").agg(F.min("id").alias("least"), F.min("keys").alias("keys")))
+    nodes = connected(wide_links(distinct, wide_tau(similarity)))
     named = distinct.join(nodes.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     return rows.join(_with_least(named, "node"), "node").select("id", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row, with its own columns, of each group of similar documents: that of the
-    least id, and of rows equal to it one."""
+    least id, and of rows equal to it one.
+
+    Null and empty texts are one group; a null id comes after all others; an empty
+    table gives no rows; columns may have any names and types.
+    """
     columns = docs.columns
-    k_, id_ = unused(columns, "__k", "__id")
-    keyed = docs.withColumn(k_, F.xxhash64(*columns))
-    found = similar(keyed.withColumn(id_, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(k_).alias("key"))), id_, text_col, shingle, similarity)
-    kept = found.where(F.col("id") == F.col("component")).select(F.col("id.key").alias(k_)).distinct()
-    return keyed.join(kept, k_, "left_semi").dropDuplicates([k_]).select(*columns)
+    k_, l_, id_ = unused(columns, "__k", "__l", "__id")
+    key, key2 = row_keys(docs)
+    keyed = docs.withColumn(k_, key).withColumn(l_, key2)
+    by = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(k_).alias("key"), F.col(l_).alias("key2"))
+    found = similar(keyed.withColumn(id_, by), id_, text_col, shingle, similarity)
+    kept = found.where(F.col("id") == F.col("component")).select(F.col("id.key").alias(k_), F.col("id.key2").alias(l_)).distinct()
+    return keyed.join(kept, [k_, l_], "left_semi").dropDuplicates([k_, l_]).select(*columns)

@@ -2,13 +2,16 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quern.llm import components, queries, rolling, simhash, substring, suffix
+from quern.llm.common import table
 from tests.llm.cases import awkward, empty
 from tests.oracle import same
 
@@ -179,17 +182,48 @@ def test_similar_documents(spark):
     assert simhash.keep_one(docs).count() == 240 - sum(linked)
 
 
-def test_keys_find_pairs_at_the_largest_distance(spark, monkeypatch):
-    plans = []
-    real = simhash.wide_links
-    monkeypatch.setattr(simhash, "wide_links", lambda fps, tau, bits, keys: plans.append((tau, bits, keys)) or real(fps, tau, bits, keys))
-    for n in (1_000, 10_000_000):
-        plan = simhash.key_plan
-        with monkeypatch.context() as m:
-            m.setattr(simhash, "key_plan", lambda _, share, n=n, plan=plan: plan(n, share))
-            simhash.similar(spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l")], "doc_id long, text string")).count()
-        tau, bits, keys = plans[-1]
-        assert 1 - (1 - (1 - tau / 128) ** bits) ** keys >= 0.95
+@pytest.mark.parametrize("least, most, recall", [(0.8, 0.82, 0.95), (0.85, 0.95, 0.99)])
+def test_recall_of_pairs_does_not_depend_on_the_corpus(least, most, recall):
+    """A pair is linked if it shares a key and differs in few bits: nothing else enters."""
+    rng, found, total = random.Random(12), 0, 0
+    while total < 400:
+        one = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(120, 500))]
+        two = list(one)
+        for k in rng.sample(range(len(two)), rng.randint(1, 1 + len(two) // 30)):
+            two[k] = "other"
+        a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (one, two))
+        if not least <= len(a & b) / len(a | b) <= most:
+            continue
+        x, y = (simhash.wide_fingerprint(" ".join(t).encode(), 5) for t in (one, two))
+        near = (x[0] ^ y[0]).bit_count() + (x[1] ^ y[1]).bit_count() <= simhash.wide_tau(0.8)
+        found += near and len(set(x[2].tolist()) & set(y[2].tolist())) > 0
+        total += 1
+    assert found >= recall * total
+
+
+def test_simhash_query_equals_brute_force(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"] or "" for r in table(spark, sf_dir, "documents").collect()}
+    bits = {}
+    for i, text in docs.items():
+        words = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+        shingles = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+        ones = Counter(b for s in shingles for h in [xxhash.xxh64_intdigest(s.encode(), 42)] for b in range(64) if h >> b & 1)
+        bits[i] = sum(1 << b for b, n in ones.items() if 2 * n > len(shingles))
+    root = {i: i for i in docs}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    order = sorted(docs)
+    for k, i in enumerate(order):
+        for j in order[:k]:
+            if (bits[i] ^ bits[j]).bit_count() <= 3:
+                x, y = top(i), top(j)
+                root[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op9_simhash_neardup(spark, sf_dir).collect()}
+    assert got == {i: (f"{bits[i]:016x}", top(i)) for i in docs}
 
 
 def test_wide_links_in_blocks(spark):
@@ -202,9 +236,9 @@ def test_wide_links_in_blocks(spark):
         rows.add(fp)
     rows = sorted(rows)
     words = np.array([[fp & (2**64 - 1), fp >> 64] for fp in rows], dtype=np.uint64).view(np.int64)
-    df = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(words)], "node long, lo long, hi long")
+    df = spark.createDataFrame([(i, int(a), int(b), [7, i % 3]) for i, (a, b) in enumerate(words)], "node long, lo long, hi long, keys array<long>")
     for block in (4096, 8):  # one search, and pairs of blocks
-        edges = simhash.wide_links(df, 22, 4, 12, block=block)
+        edges = simhash.wide_links(df, 22, block=block)
         assert {r["root"] for r in components.connected(edges).collect()} == {0}
 
 
@@ -240,6 +274,8 @@ def test_near_duplicates_awkward(spark):
     kept = simhash.keep_one(awkward(spark, ["fp"]))
     assert kept.columns[-1] == "fp" and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 7, 8, 9]
     assert simhash.keep_one(empty(spark)).count() == 0
+    tagged = awkward(spark, ["__k", "key"]).withColumn("tags", F.create_map(F.lit("a"), F.col("doc_id")))
+    assert simhash.keep_one(tagged).columns == tagged.columns and simhash.keep_one(tagged).count() == 6
 
 
 def test_repeats_awkward(spark):
