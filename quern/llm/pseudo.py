@@ -1,18 +1,20 @@
 """Masked pseudo-likelihood scores from a bidirectional window network.
 
-The vocabulary comes from word counts over the whole corpus: the most frequent
-words have ids of their own, the others share hashed ids.  The network reads the
-two words on either side of a masked position and predicts the word between, as
-two codes of 32 values each (first, then second given first), so its softmax
-stays small.  It is written and trained in numpy: in each round every task trains
-on its share of the documents from the same weights, and the weights are averaged
-by the number of positions in a two-level tree.  A document's score is the sum of
-its words' conditional log-probabilities; a shared id's probability is split among
-its words by their counts in the corpus, which are joined in Spark.
+The vocabulary comes from word counts over the whole corpus: frequent words have
+ids of their own, the others share hashed ids.  An id is three or four short codes,
+as many as the counted words need.  The network reads the two words on either side
+of a masked position and predicts the codes of the word between, each given those
+before it, so its softmaxes stay small.  It is written and trained
+in numpy: in each round every task trains on its share of the documents from the
+same weights, and the weights are averaged by the number of positions in a tree.
+A document's score is the sum of its words' conditional log-probabilities; a shared
+id's probability is split among its words by their counts in the corpus, which are
+joined in Spark.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,27 +25,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import rolling
-from quern.llm.common import checkpoint, text_bytes
+from quern.llm.common import checkpoint, parts_for, text_bytes
 
-CODES = 32
-VOCABULARY = CODES * CODES
-#: Ids of single words; the other ids are shared by hash.
-FREQUENT = 768
-PAD = VOCABULARY
+#: The codes of an id, for few and for many words: 1,024 or 32,768 ids.
+FEW, MANY = (4, 16, 16), (8, 16, 16, 16)
+#: Counts from which a word gets an id of its own, while there are ids.
+LEAST_COUNT = 4
 #: Workers have at hand the counts of words that make up one token in so many, so of no more words than that; those of all others are joined.
 AT_HAND = 262_144
+#: Positions that one task trains on in all: the weights it sends are small beside their text.
+TASK_POSITIONS = 4 << 20
+FAN_IN = 32
 OFFSETS = (-2, -1, 1, 2)
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """The hashes of words with ids of their own, by rank, and the codes of an id."""
+
+    words: np.ndarray
+    codes: tuple[int, ...]
+
+    @property
+    def ids(self) -> int:
+        return math.prod(self.codes)
+
+    @property
+    def own(self) -> int:
+        """Ids of single words; the other quarter is shared by hash."""
+        return self.ids * 3 // 4
+
+
 @dataclass(frozen=True)
 class Params:
     width: int = 16
     hidden: int = 32
     rate: float = 0.05
-    batch: int = 4096
+    batch: int = 8192
     rounds: int = 2
-    #: Training takes one position in so many: every position of every document.
-    stride: int = 1
     seed: int = 11
 
 
@@ -61,29 +80,28 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_bytes(text_col).alias("t")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The hashes of the FREQUENT most frequent words, by rank; ties by hash."""
-    return most_frequent(word_counts(docs, text_col))
-
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """Words by falling count, ties by hash: all of LEAST_COUNT or more, as far as there are ids."""
+    often = counts.where(F.col("n") >= LEAST_COUNT)
+    few = math.prod(FEW) * 3 // 4
+    codes = FEW if often.limit(few + 1).count() <= few else MANY
+    rows = often.orderBy(F.desc("n"), "word").limit(math.prod(codes) * 3 // 4).collect()  # at most 24,576
+    return Vocabulary(np.array([r["word"] for r in rows], dtype=np.int64).view(np.uint64), codes)
 
-def most_frequent(counts: DataFrame) -> np.ndarray:
-    rows = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    return np.array([r["word"] for r in rows], dtype=np.int64).view(np.uint64)
 
-
-def initial(p: Params) -> dict[str, np.ndarray]:
+def initial(p: Params, codes: tuple[int, ...]) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(p.seed)
 
     def normal(*shape: int) -> np.ndarray:
         return (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
 
-    return {
-        "embed": (0.1 * rng.standard_normal((VOCABULARY + 1, p.width))).astype(np.float32),
+    out = {
+        "embed": (0.1 * rng.standard_normal((math.prod(codes) + 1, p.width))).astype(np.float32),
         "w": normal(len(OFFSETS) * p.width, p.hidden), "b": np.zeros(p.hidden, np.float32),
-        "w1": normal(p.hidden, CODES), "b1": np.zeros(CODES, np.float32),
-        "given": np.zeros((CODES, p.hidden), np.float32),
-        "w2": normal(p.hidden, CODES), "b2": np.zeros(CODES, np.float32),
+        "out": normal(p.hidden, sum(codes)), "bias": np.zeros(sum(codes), np.float32),
     }
+    # What the codes before a code add to it.
+    return out | {f"given{k}": np.zeros((codes[k], math.prod(codes[:k])), np.float32) for k in range(1, len(codes))}
 
 
 def pack(weights: dict[str, np.ndarray]) -> np.ndarray:
@@ -101,20 +119,17 @@ def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
 class Encoder:
     """Word ids of texts."""
 
-    def __init__(self, frequent: np.ndarray):
-        self.order = np.argsort(frequent)
-        self.sorted = frequent[self.order]
-
-    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The id of each word, and the text it belongs to."""
-        return self.read(texts)[:2]
+    def __init__(self, vocabulary: Vocabulary):
+        self.v = vocabulary
+        self.order = np.argsort(vocabulary.words)
+        self.sorted = vocabulary.words[self.order]
 
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """As ``ids``, and the hash of each word."""
+        """The id of each word, the text it belongs to, and its hash."""
         data, starts = rolling.joined(texts)
         s, e = rolling.word_spans(data)
         words = rolling.word_hashes(data, s, e)
-        out = (FREQUENT + words % np.uint64(VOCABULARY - FREQUENT)).astype(np.int32)
+        out = (self.v.own + words % np.uint64(self.v.ids - self.v.own)).astype(np.int32)
         if len(self.sorted):
             at = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
             own = self.sorted[at] == words
@@ -122,119 +137,156 @@ class Encoder:
         return out, np.searchsorted(starts, s, "right") - 1, words
 
 
-def contexts(ids: np.ndarray, of: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The neighbours of each position, PAD outside its text."""
-    out = np.empty((len(at), len(OFFSETS)), dtype=np.int32)
-    for k, step in enumerate(OFFSETS):
-        pos = np.clip(at + step, 0, len(ids) - 1)
-        out[:, k] = np.where((of[pos] == of[at]) & (pos == at + step), ids[pos], PAD)
+def contexts(ids: np.ndarray, of: np.ndarray, pad: int) -> np.ndarray:
+    """The neighbours of each position, ``pad`` outside its text, a row for each offset."""
+    out = np.full((len(OFFSETS), len(ids)), pad, dtype=np.int32)
+    for row, step in zip(out, OFFSETS, strict=True):
+        here, there = (slice(-step, None), slice(None, step)) if step < 0 else (slice(None, -step), slice(step, None))
+        np.copyto(row[here], ids[there], where=of[here] == of[there])
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def codes_of(ids: np.ndarray, codes: tuple[int, ...]) -> list[tuple[slice, np.ndarray, np.ndarray]]:
+    """(rows of the output, code, the codes before it as one number) of each code."""
+    out, at = [], 0
+    for k, many in enumerate(codes):
+        rest = ids // math.prod(codes[k + 1 :])
+        out.append((slice(at, at + many), rest % many, rest // many))
+        at += many
+    return out
 
 
-def forward(m: dict[str, np.ndarray], around: np.ndarray, ids: np.ndarray):
-    x = m["embed"][around].reshape(len(ids), -1)
+def outputs(m: dict[str, np.ndarray], h: np.ndarray, levels: list) -> np.ndarray:
+    """Exponents of all codes, a column for each position, the largest of a code 0."""
+    x = m["out"].T @ h.T + m["bias"][:, None]
+    for k, (rows, _, before) in enumerate(levels):
+        if k:
+            x[rows] += m[f"given{k}"].take(before, axis=1)
+        x[rows] -= x[rows].max(axis=0)
+    return x
+
+
+class Scorer:
+    """Log-probabilities under fixed weights: a neighbour's part of the hidden layer depends on its id alone."""
+
+    def __init__(self, m: dict[str, np.ndarray], codes: tuple[int, ...]):
+        width = m["embed"].shape[1]
+        self.m, self.codes = m, codes
+        self.parts = [np.ascontiguousarray(m["embed"] @ m["w"][k * width : (k + 1) * width]) for k in range(len(OFFSETS))]
+
+    def __call__(self, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        h = self.parts[0].take(around[0], axis=0)
+        for part, row in zip(self.parts[1:], around[1:], strict=True):
+            h += part.take(row, axis=0)
+        h += self.m["b"]
+        levels, at = codes_of(ids, self.codes), np.arange(len(ids))
+        x = outputs(self.m, np.tanh(h, out=h), levels)
+        total = sum(x[rows][code, at] for rows, code, _ in levels)
+        np.exp(x, out=x)
+        for rows, _, _ in levels:
+            total -= np.log(x[rows].sum(axis=0))
+        return total
+
+
+def gradients(m: dict[str, np.ndarray], around: np.ndarray, ids: np.ndarray, codes: tuple[int, ...]) -> dict[str, tuple]:
+    """(rows, gradient) of the mean negative log-probability for each weight; rows None: all."""
+    n, at, read = len(ids), np.arange(len(ids)), around.T.ravel()
+    x = m["embed"].take(read, axis=0).reshape(n, -1)
     h = np.tanh(x @ m["w"] + m["b"])
-    first, second = ids // CODES, ids % CODES
-    h2 = h + m["given"][first]
-    l1, l2 = _log_softmax(h @ m["w1"] + m["b1"]), _log_softmax(h2 @ m["w2"] + m["b2"])
-    return x, h, h2, first, second, l1, l2
-
-
-def log_probabilities(m: dict[str, np.ndarray], around: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    first, second, at = ids // CODES, ids % CODES, np.arange(len(ids))
-    # A neighbour's part of the hidden layer depends on its id alone.
-    width = m["embed"].shape[1]
-    h = np.tile(m["b"][:, None], len(ids))
-    for k in range(len(OFFSETS)):
-        h += (m["embed"] @ m["w"][k * width : (k + 1) * width]).T.take(around[:, k], axis=1)
-    np.tanh(h, out=h)
-
-    def chosen(x: np.ndarray, code: np.ndarray) -> np.ndarray:
-        x -= x.max(axis=0)
-        mine = x[code, at]
-        return mine - np.log(np.exp(x, out=x).sum(axis=0))
-
-    one = chosen(m["w1"].T @ h + m["b1"][:, None], first)
-    return one + chosen(m["w2"].T @ (h + m["given"].T.take(first, axis=1)) + m["b2"][:, None], second)
+    levels = codes_of(ids, codes)
+    d = outputs(m, h, levels)
+    np.exp(d, out=d)
+    out: dict[str, tuple] = {}
+    for k, (rows, code, before) in enumerate(levels):
+        part = d[rows]
+        part /= part.sum(axis=0)
+        part[code, at] -= 1
+        part /= n
+        if k:
+            many = m[f"given{k}"].shape[1]
+            out[f"given{k}"] = (None, np.stack([np.bincount(before, row, many) for row in part]).astype(part.dtype))
+    out["out"], out["bias"] = (None, h.T @ d.T), (None, d.sum(axis=1))
+    dz = (d.T @ m["out"].T) * (1 - h * h)
+    out["w"], out["b"] = (None, x.T @ dz), (None, dz.sum(axis=0))
+    out["embed"] = summed(read, (dz @ m["w"].T).reshape(-1, m["embed"].shape[1]))
+    return out
 
 
-def _scatter(rows: np.ndarray, grads: np.ndarray, out: np.ndarray) -> None:
-    """out[rows] += grads with repeated rows summed."""
-    order = np.argsort(rows, kind="stable")
+def summed(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows and the sums of their gradients."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
     r = rows[order]
     first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-    out[r[first]] += np.add.reduceat(grads[order], first, axis=0)
+    sums = np.cumsum(grads.take(order, axis=0), axis=0, dtype=np.float64)[np.append(first[1:], len(r)) - 1]
+    sums[1:] -= sums[:-1].copy()
+    return r[first], sums.astype(grads.dtype)
 
 
 class Trainer:
-    """Adagrad on mini-batches of positions."""
+    """Adagrad on mini-batches of positions; only rows that a batch reads change."""
 
-    def __init__(self, weights: dict[str, np.ndarray], p: Params):
-        self.m, self.p, self.seen = weights, p, 0
+    def __init__(self, weights: dict[str, np.ndarray], codes: tuple[int, ...], p: Params):
+        self.m, self.codes, self.p, self.seen = weights, codes, p, 0
         self.square = {k: np.full_like(v, 1e-2) for k, v in weights.items()}
 
     def step(self, around: np.ndarray, ids: np.ndarray) -> None:
-        m, n = self.m, len(ids)
-        x, h, h2, first, second, l1, l2 = forward(m, around, ids)
-        at = np.arange(n)
-        d1, d2 = np.exp(l1), np.exp(l2)
-        d1[at, first] -= 1
-        d2[at, second] -= 1
-        d1 /= n
-        d2 /= n
-        dh2 = d2 @ m["w2"].T
-        dz = (d1 @ m["w1"].T + dh2) * (1 - h * h)
-        grads = {"w1": h.T @ d1, "b1": d1.sum(0), "w2": h2.T @ d2, "b2": d2.sum(0), "w": x.T @ dz, "b": dz.sum(0)}
-        grads["given"], grads["embed"] = np.zeros_like(m["given"]), np.zeros_like(m["embed"])
-        _scatter(first, dh2, grads["given"])
-        _scatter(around.ravel(), (dz @ m["w"].T).reshape(-1, self.p.width), grads["embed"])
-        for k, g in grads.items():
-            self.square[k] += g * g
-            m[k] -= self.p.rate * g / np.sqrt(self.square[k])
-        self.seen += n
-
-
-def train(docs: DataFrame, frequent: np.ndarray, text_col: str = "text", p: Params = Params()) -> dict[str, np.ndarray]:
-    """Weights trained on every document, one share of them in each round."""
+        for k, (rows, g) in gradients(self.m, around, ids, self.codes).items():
+            if rows is None:
+                self.square[k] += g * g
+                self.m[k] -= self.p.rate * g / np.sqrt(self.square[k])
+            else:
+                square = self.square[k][rows, :1] + (g * g).mean(axis=1, keepdims=True)  # one for a row
+                self.square[k][rows, :1] = square
+                self.m[k][rows] -= self.p.rate / np.sqrt(square) * g
+        self.seen += len(ids)
+
+
+def train(docs: DataFrame, words: Vocabulary, tokens: int, text_col: str = "text", p: Params = Params()) -> dict[str, np.ndarray]:
+    """Weights trained on every position of every document, one share of the documents in each round.
+
+    ``tokens`` is the number of words of the corpus; one task trains on TASK_POSITIONS
+    of them, as near as the partitions of the input allow.  Null and empty texts
+    teach nothing; without any text the weights stay as they were; repeated rows
+    teach as often as they come.
+    """
     spark = docs.sparkSession
-    weights = initial(p)
+    weights = initial(p, words.codes)
     like = {k: v for k, v in weights.items()}
     share = F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(p.rounds))
+    tasks = parts_for(tokens, TASK_POSITIONS)
     for turn in range(p.rounds):
-        shared = spark.sparkContext.broadcast((pack(weights), frequent))
+        shared = spark.sparkContext.broadcast((pack(weights), words))
 
-        def fit(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+        def fit(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             flat, words = shared.value
-            trainer, encoder = Trainer(unpack(flat, like), p), Encoder(words)
+            trainer, encoder = Trainer(unpack(flat, like), words.codes, p), Encoder(words)
             for batch in batches:
                 texts = batch.column(0).to_pylist()
                 for first, last in rolling.chunks(texts):
-                    ids, of = encoder.ids(texts[first:last])
-                    at = np.arange(turn % p.stride, len(ids), p.stride)
-                    np.random.default_rng(len(ids)).shuffle(at)
-                    for k in range(0, len(at), p.batch):
-                        part = at[k : k + p.batch]
-                        trainer.step(contexts(ids, of, part), ids[part])
-            flat = pack(trainer.m).astype(np.float32)
-            yield pa.RecordBatch.from_pydict({
-                "part": pa.array([TaskContext.get().partitionId() % 64], pa.int32()), "n": pa.array([trainer.seen], pa.int64()), "w": pa.array([flat.tobytes()], pa.binary()),
-            })
+                    ids, of, _ = encoder.read(texts[first:last])
+                    around, steps = contexts(ids, of, words.ids), parts_for(len(ids), p.batch)
+                    for k in range(steps if len(ids) else 0):  # each batch from all over the texts
+                        trainer.step(around[:, k::steps], ids[k::steps])
+            if trainer.seen:
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array([TaskContext.get().partitionId() // FAN_IN], pa.int32()), "n": pa.array([trainer.seen], pa.int64()),
+                    "w": pa.array([pack(trainer.m).astype(np.float32).tobytes()], pa.binary()),
+                })
 
         def average(group: pa.Table) -> pa.Table:
-            n = group.column("n").to_numpy()
-            flats = [np.frombuffer(b, np.float32) for b in group.column("w").to_pylist()]
-            total = int(n.sum())
-            mean = sum(f.astype(np.float64) * k for f, k in zip(flats, n.tolist(), strict=True)) / total if total else flats[0]
-            return pa.table({"part": pa.array([0], pa.int32()), "n": pa.array([total], pa.int64()), "w": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
+            n = group.column("n").to_pylist()
+            mean = sum(np.frombuffer(b.as_buffer(), np.float32) * (k / sum(n)) for b, k in zip(group.column("w"), n, strict=True))
+            return pa.table({
+                "part": pa.array([group.column("part")[0].as_py() // FAN_IN], pa.int32()), "n": pa.array([sum(n)], pa.int64()),
+                "w": pa.array([mean.astype(np.float32).tobytes()], pa.binary()),
+            })
 
         schema = "part int, n long, w binary"
-        parts = docs.where(share == turn).select(text_bytes(text_col).alias("t")).mapInArrow(fit, schema)
-        rows = parts.groupBy("part").applyInArrow(average, schema).groupBy("part").applyInArrow(average, schema).collect()
+        parts = docs.where(share == turn).select(text_bytes(text_col).alias("t")).coalesce(tasks).mapInArrow(fit, schema)
+        parts, left = parts.groupBy("part").applyInArrow(average, schema), -(-tasks // FAN_IN)
+        while left > 1:
+            parts, left = parts.groupBy("part").applyInArrow(average, schema), -(-left // FAN_IN)
+        rows = parts.collect()
         shared.unpersist()
         if rows:
             weights = unpack(np.frombuffer(bytes(rows[0]["w"]), np.float32), like)
@@ -244,16 +296,16 @@ def train(docs: DataFrame, frequent: np.ndarray, text_col: str = "text", p: Para
 class Shares:
     """What the counts say of a word's share of its id."""
 
-    def __init__(self, words: np.ndarray, n: np.ndarray, totals: np.ndarray):
+    def __init__(self, own: int, words: np.ndarray, n: np.ndarray, totals: np.ndarray):
         order = np.argsort(words)
-        self.words, self.log_n = words[order], np.log(n[order])
+        self.own, self.words, self.log_n = own, words[order], np.log(n[order])
         self.log_total = np.log(np.maximum(totals, 1))  # of each shared id
 
     def __call__(self, ids: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The log of each word's share, and whether the log of its count is still to be added."""
         out, wanting = np.zeros(len(ids)), np.zeros(len(ids), dtype=bool)
-        shared = np.flatnonzero(ids >= FREQUENT)
-        out[shared] = -self.log_total[ids[shared] - FREQUENT]
+        shared = np.flatnonzero(ids >= self.own)
+        out[shared] = -self.log_total[ids[shared] - self.own]
         if not len(self.words):
             wanting[shared] = True
             return out, wanting
@@ -264,34 +316,38 @@ class Shares:
         return out, wanting
 
 
-def shares(counts: DataFrame, frequent: np.ndarray) -> Shares:
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.where(F.col("n") * AT_HAND >= total).collect()
+def shares(counts: DataFrame, vocabulary: Vocabulary, tokens: int) -> Shares:
+    frequent = set(vocabulary.words.view(np.int64).tolist())
+    top = [r for r in counts.where(F.col("n") * AT_HAND >= tokens).collect() if r["word"] not in frequent]  # at most AT_HAND
     words, n = np.array([r["word"] for r in top], dtype=np.int64), np.array([r["n"] for r in top], dtype=np.int64)
-    totals = np.zeros(VOCABULARY - FREQUENT, dtype=np.int64)
+    totals = np.zeros(vocabulary.ids - vocabulary.own, dtype=np.int64)
     # The number of shared ids divides 2**64, so the sign of a hash doesn't matter.
-    shared = counts.where(~F.col("word").isin(frequent.view(np.int64).tolist()))
-    for r in shared.groupBy(F.pmod("word", F.lit(len(totals))).alias("id")).agg(F.sum("n").alias("n")).collect():
+    for r in counts.groupBy(F.pmod("word", F.lit(len(totals))).alias("id")).agg(F.sum("n").alias("n")).collect():
         totals[r["id"]] = r["n"]
-    return Shares(words.view(np.uint64), n, totals)
+    known = counts.join(F.broadcast(counts.sparkSession.createDataFrame(pa.table({"word": pa.array(sorted(frequent), pa.int64())}))), "word", "left_semi")
+    for r in known.groupBy(F.pmod("word", F.lit(len(totals))).alias("id")).agg(F.sum("n").alias("n")).collect():
+        totals[r["id"]] -= r["n"]
+    return Shares(vocabulary.own, words.view(np.uint64), n, totals)
 
 
 def score(
-    docs: DataFrame, weights: dict[str, np.ndarray], frequent: np.ndarray, id_col: str = "doc_id", text_col: str = "text",
-    counts: DataFrame | None = None,
+    docs: DataFrame, weights: dict[str, np.ndarray], words: Vocabulary, id_col: str = "doc_id", text_col: str = "text",
+    counts: DataFrame | None = None, tokens: int = 0,
 ) -> DataFrame:
     """(id, n_tokens, log_likelihood) of every document under a trained network.
 
-    With the ``counts`` of the corpus each word of a shared id has a probability of
-    its own; without them it has that of the id.
+    With the ``counts`` of the corpus and its number of ``tokens`` each word of a
+    shared id has a probability of its own; without them it has that of the id.
+    Null and empty texts have no tokens and score 0; equal rows score alike; an
+    empty table gives no rows; extra columns are not read.
     """
     like = {k: v for k, v in weights.items()}
-    shared = docs.sparkSession.sparkContext.broadcast((pack(weights), frequent, None if counts is None else shares(counts, frequent)))
+    shared = docs.sparkSession.sparkContext.broadcast((pack(weights), words, None if counts is None else shares(counts, words, tokens)))
     source = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, own, share = shared.value
-        m, encoder = unpack(flat, like), Encoder(own)
+        scorer, encoder = Scorer(unpack(flat, like), own.codes), Encoder(own)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -303,10 +359,10 @@ def score(
                 ids, of, words = encoder.read(texts[first:last])
                 n = last - first
                 count[first:last] = np.bincount(of, minlength=n)
+                around = contexts(ids, of, own.ids)
                 for k in range(0, len(ids), 4096):
-                    at = np.arange(k, min(k + 4096, len(ids)))
-                    got = log_probabilities(m, contexts(ids, of, at), ids[at])
-                    total[first:last] += np.bincount(of[at], weights=got, minlength=n)
+                    got = scorer(around[:, k : k + 4096], ids[k : k + 4096])
+                    total[first:last] += np.bincount(of[k : k + 4096], weights=got, minlength=n)
                 if share is not None:
                     logs, wanting = share(ids, words)
                     total[first:last] += np.bincount(of, weights=logs, minlength=n)
@@ -341,5 +397,6 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     read.
     """
     counts = checkpoint(word_counts(docs, text_col))
-    frequent = most_frequent(counts)
-    return score(docs, train(docs, frequent, text_col, p), frequent, id_col, text_col, counts)
+    tokens = int(counts.agg(F.sum("n")).first()[0] or 0)
+    words = vocabulary(counts)
+    return score(docs, train(docs, words, tokens, text_col, p), words, id_col, text_col, counts, tokens)
