@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -166,7 +167,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         words, home = [words[k] for k in order.tolist()], home[order]
         cut = [0, *(np.flatnonzero(np.diff(home)) + 1).tolist(), len(home)]
         return ex.blobs([
-            (int(home[s]), g, 0, np.int64(e - s).tobytes() + np.fromiter(map(len, words[s:e]), "<u4", e - s).tobytes() + b"".join(words[s:e]))
+            (int(home[s]), g, 0, zlib.compress(np.int64(e - s).tobytes() + np.fromiter(map(len, words[s:e]), "<u4", e - s).tobytes() + b"".join(words[s:e]), 1))
             for s, e in zip(cut, cut[1:]) if e > s  # noqa: B905
         ])
 
@@ -175,12 +176,13 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         bucket = group.column("bucket")[0].as_py()
         sent = []
         for of, x in zip(group.column("g").to_pylist(), group.column("blob").to_pylist(), strict=True):
+            x = zlib.decompress(x)
             n = int(np.frombuffer(x, np.int64, 1)[0])
             ends = (8 + 4 * n + np.cumsum(np.frombuffer(x, "<u4", n, 8), dtype=np.int64)).tolist()
             sent.append((of, [x[s:e] for s, e in zip([8 + 4 * n, *ends], ends)]))  # noqa: B905
         place = {w: k for k, w in enumerate(dict.fromkeys(w for _, words in sent for w in words))}
         pieces = splitter(tokenizer_path).pieces([w.decode() for w in place]).astype("<u4")
-        return ex.blobs([(bucket, of, 0, pieces[[place[w] for w in words]].tobytes()) for of, words in sent])
+        return ex.blobs([(bucket, of, 0, zlib.compress(pieces[[place[w] for w in words]].tobytes(), 1)) for of, words in sent])
 
     id_type = rows.schema["id"].dataType
     out = pa.schema([("id", to_arrow_type(id_type)), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
@@ -198,7 +200,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         pieces = np.zeros(len(known), dtype=np.int64)
         came = sorted(zip(counts.column("bucket").to_pylist(), counts.column("blob").to_pylist(), strict=True))
         if came:
-            pieces[np.lexsort((known, bucket_of(known)))] = np.concatenate([np.frombuffer(x, "<u4") for _, x in came])
+            pieces[np.lexsort((known, bucket_of(known)))] = np.concatenate([np.frombuffer(zlib.decompress(x), "<u4") for _, x in came])
         tokens = np.zeros(len(texts), dtype=np.int64)
         for a, b, hashes, of, extra in chunks:
             pair, frequency = np.unique(of * len(known) + np.searchsorted(known, hashes), return_counts=True)
