@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from typing import Any
 
 from pyspark.sql import Column
@@ -9,6 +10,8 @@ from pyspark.sql import functions as S
 
 from quern.operators.expressions import Aggregate, QueryError, Value, wrap
 
+_names = itertools.count()
+
 
 def _fold(name: str, build: Any, distinct: Any = None) -> Any:
     once = distinct
@@ -53,9 +56,24 @@ def CovarPop(x: Any, y: Any, sample: bool = False, **kw: Any) -> Aggregate: retu
 def UniqExact(*xs: Any, **kw: Any) -> Aggregate: return Aggregate("uniq_exact", lambda *c: S.count_distinct(*c), *xs, empty=0, **kw)
 
 
+class Element(Aggregate):
+    """The element of a group at a level, exact however many values there are."""
+
+    def __init__(self, x: Any, level: float, **kw: Any):
+        super().__init__("element", lambda c: c, x, **kw)
+        self.level = float(level)
+
+    def column(self, ctx: Any) -> Column:
+        name = f"__element{next(_names)}"  # only SQL has this aggregate, and it reads a column by name
+        c = super().column(ctx)
+        ctx.df = ctx.df.withColumn(name, c)
+        ctx.hidden.add(name)
+        return S.expr(f"percentile_disc({self.level}) WITHIN GROUP (ORDER BY {name})")
+
+
 def Quantile(x: Any, level: float = 0.5, exact: bool = False, **kw: Any) -> Aggregate:
     """Interpolated, or with ``exact`` the element at the level."""
-    return Aggregate("quantile", lambda c: S.percentile_approx(c, level, 1_000_000) if exact else S.percentile(c, level), x, **kw)
+    return Element(x, level, **kw) if exact else Aggregate("quantile", lambda c: S.percentile(c, level), x, **kw)
 
 
 def Quantiles(x: Any, *levels: float, **kw: Any) -> Aggregate: return Aggregate("quantiles", lambda c: S.percentile(c, list(levels)), x, **kw)
@@ -70,19 +88,21 @@ def ArgMin(x: Any, by: Any, **kw: Any) -> Aggregate: return Aggregate("arg_min",
 
 
 def _ordered(c: Column, order: Any, distinct: bool) -> Column:
-    """Values with their nulls, by the order asked for, or by value."""
-    rows = [S.struct(*_keys(order), c.alias("v"))]
-    got = (S.collect_set if distinct else S.collect_list)(rows[0])
-    return S.transform(S.sort_array(got), lambda r: r["v"])
-
-
-def _keys(order: Any) -> list[Column]:
-    out = []
-    for i, (c, o) in enumerate(order):
-        if o.descending:
-            raise ValueError("an ordered array sorts ascending; negate the key or reverse the array")
-        out.append(c.alias(f"k{i}"))
-    return out
+    """Values with their nulls, by the order asked for; ties by value."""
+    keys = [x for i, (k, o) in enumerate(order) for x in ((k.isNull() != S.lit(o.nulls_first)).alias(f"n{i}"), k.alias(f"k{i}"))]
+    got = (S.collect_set if distinct else S.collect_list)(S.struct(*keys, c.alias("v")))
+    if not any(o.descending for _, o in order):
+        return S.transform(S.sort_array(got), lambda r: r["v"])
+
+    def compare(a: Column, b: Column) -> Column:
+        out = S.lit(0)
+        steps = [(f, d) for i, (_, o) in enumerate(order) for f, d in ((f"n{i}", False), (f"k{i}", o.descending))]
+        for name, falls in [*steps, ("v", False)][::-1]:
+            less, more = (S.lit(1), S.lit(-1)) if falls else (S.lit(-1), S.lit(1))
+            out = S.when(a[name] < b[name], less).when(a[name] > b[name], more).otherwise(out)
+        return out
+
+    return S.transform(S.array_sort(got, compare), lambda r: r["v"])
 
 
 def ArrayAgg(x: Any, order_by: Any = (), distinct: bool = False, **kw: Any) -> Aggregate:

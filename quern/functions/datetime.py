@@ -74,6 +74,10 @@ def TruncTime(x: Any) -> Expression: return Call("trunc_time", lambda c: c.cast(
 def Now() -> Expression: return Call("now", S.current_timestamp)
 
 
+#: A query is its own transaction, and its moment is fixed.
+TransactionNow = Now
+
+
 def Shift(x: Any, days: int = 0, hours: int = 0, minutes: int = 0, seconds: float = 0, months: int = 0) -> Expression:
     """A moment moved by a duration."""
     def build(c: Column) -> Column:

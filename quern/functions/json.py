@@ -35,3 +35,17 @@ def sort_key(c: Column, path: str = "$") -> Column:
 
 
 def JsonSortKey(x: Any, path: str = "$") -> Expression: return Call("json_sort_key", lambda c: sort_key(c, path), x)
+
+
+def JsonValue(x: Any) -> Expression:
+    """A column as a JSON value: texts quoted, numbers and booleans plain, null as null."""
+    def build(c: Column) -> Column:
+        inner = S.regexp_extract(S.to_json(S.struct(c.alias("v")), KEEP_NULLS), r"(?s)^\{\"v\":(.*)\}$", 1)
+        return inner
+
+    return Call("json_value", build, x)
+
+
+def JsonComparand(x: Any, path: str = "$") -> Expression:
+    """The number at a path, or else the text, as a struct that compares like its kind."""
+    return Call("json_comparand", lambda c: sort_key(c, path), x)

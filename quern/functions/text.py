@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from typing import Any
 
 from pyspark.sql import Column
@@ -9,9 +10,14 @@ from pyspark.sql import functions as S
 
 from quern.operators.expressions import Call, Expression, Value, wrap
 
-# Accented Latin letters and their plain forms.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+
+def _plain(char: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", char) if not unicodedata.combining(c))
+
+
+#: Letters with marks, and what is left without them, by Unicode's decompositions.
+ACCENTED = "".join(c for c in map(chr, range(0xC0, 0x2000)) if len(_plain(c)) == 1 and _plain(c) != c)
+PLAIN = "".join(map(_plain, ACCENTED))
 
 
 def literal(x: Any) -> Expression:

@@ -55,9 +55,7 @@ class Table:
         self._append(rows)
 
     def bulk_update(self, rows: Sequence[dict[str, Any]], fields: Sequence[str]) -> None:
-        new = self.frame(rows).select(*self.model.key, *[S.col(f).alias(f"__{f}") for f in fields], S.lit(True).alias("__hit"))
-        both = self.read().join(new, list(self.model.key), "left")
-        self._replace(both.withColumns({f: S.when(S.col("__hit"), S.col(f"__{f}")).otherwise(S.col(f)) for f in fields}))
+        self._replace(writes.bulk_updated(self.read(), self.frame(rows), self.model.key, fields))
 
     def update(self, where: Column, returning: str | None = None, **values: Any) -> DataFrame | None:
         """Set columns of the rows where a condition holds.  ``returning`` names a folder
@@ -67,9 +65,7 @@ class Table:
             raise QueryError("values of a stored table's update are columns or literals")
         before = self.read()
         if returning:
-            kinds = {c: before.schema[c].dataType for c in before.columns}
-            new = [given[c].cast(kinds[c]).alias(c) if c in given else S.col(c) for c in before.columns]
-            before.where(where).select(S.struct(*before.columns).alias("old"), S.struct(*new).alias("new")).write.parquet(returning)
+            writes.returning(before, where, **given).write.parquet(returning)
         self._replace(writes.updated(before, where, **given))
         return self.db.spark.read.parquet(returning) if returning else None
 

@@ -234,6 +234,15 @@ class Q(Expression):
     def __invert__(self) -> Q:
         return Q(self, negated=True)
 
+    @classmethod
+    def with_connector(cls, connector: str, *parts: Any, **lookups: Any) -> Q:
+        return cls(*parts, connector=connector, **lookups)
+
+    @classmethod
+    def from_expression(cls, expression: Expression) -> Q:
+        """A condition that is a boolean expression."""
+        return cls(expression)
+
     def paths(self) -> Iterator[str]:
         """Every lookup path of the tree."""
         for p in self.parts:

@@ -37,6 +37,20 @@ def upserted(table: DataFrame, rows: DataFrame, key: Sequence[str], update: Sequ
     return both.select(*out)
 
 
+def bulk_updated(table: DataFrame, rows: DataFrame, key: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Set fields of the rows that are given by key; keys that aren't there change nothing."""
+    new = rows.select(*key, *[S.col(f).alias(f"__{f}") for f in fields], S.lit(True).alias("__hit"))
+    both = table.join(new, list(key), "left")
+    return both.select(*[S.when(S.col("__hit"), S.col(f"__{c}")).otherwise(S.col(c)).cast(table.schema[c].dataType).alias(c) if c in fields else S.col(c) for c in table.columns])
+
+
+def returning(table: DataFrame, where: Column, **values: Column) -> DataFrame:
+    """The rows that an update would change, as they were and are (``old``, ``new``)."""
+    kinds = {f.name: f.dataType for f in table.schema}
+    new = [values[c].cast(kinds[c]).alias(c) if c in values else S.col(c) for c in table.columns]
+    return table.where(where).select(S.struct(*table.columns).alias("old"), S.struct(*new).alias("new"))
+
+
 def inserted_from(table: DataFrame, rows: DataFrame) -> DataFrame:
     """INSERT ... SELECT by name."""
     return table.unionByName(rows.select(*table.columns))

@@ -509,14 +509,15 @@ def window_arithmetic(db: Database) -> Any:
 # -- sorting, paging, sets -------------------------------------------------------
 
 
-@query(f"SELECT o_orderkey, st FROM {_NULLABLE} ORDER BY st DESC NULLS FIRST, o_orderkey LIMIT 15")
+@query(f"SELECT o_orderkey, st, row_number() OVER (PARTITION BY o_custkey ORDER BY st DESC NULLS FIRST, o_orderkey)::INTEGER AS place FROM {_NULLABLE}")
 def order_nulls(db: Database) -> Any:
-    return _nullable(db).order_by(F("st").desc(nulls_first=True), "o_orderkey").values("o_orderkey", "st")[:15]
+    place = Window(WF.RowNumber(), partition_by=["o_custkey"], order_by=[F("st").desc(nulls_first=True), "o_orderkey"])
+    return _nullable(db).values("o_orderkey", "st", place=place)
 
 
-@query(f"SELECT o_orderkey, st FROM {_NULLABLE} ORDER BY st ASC NULLS LAST, o_orderkey DESC LIMIT 15")
+@query(f"SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, st FROM {_NULLABLE} ORDER BY o_custkey, st ASC NULLS LAST, o_orderkey DESC")
 def order_reverse(db: Database) -> Any:
-    return _nullable(db).order_by("-st", "o_orderkey").reverse().values("o_orderkey", "st")[:15]
+    return _nullable(db).order_by("-st", "o_orderkey").reverse().distinct("o_custkey").values("o_custkey", "o_orderkey", "st")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice < 300000 OR (o_totalprice = 300000 AND o_orderkey > 5) ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
@@ -899,9 +900,10 @@ def json_filter(db: Database) -> Any:
     return db("Event").filter(props__filter={"k__gte": 10, "k__lte": 20}).values("event_id")
 
 
-@query("SELECT event_id FROM events ORDER BY CAST(json_extract_string(props, '$.k') AS DOUBLE), event_id LIMIT 20")
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY CAST(json_extract_string(props, '$.k') AS DOUBLE), event_id)::INTEGER AS place FROM events")
 def json_order(db: Database) -> Any:
-    return db("Event").order_by(J.JsonSortKey("props", "$.k"), "event_id").values("event_id")[:20]
+    place = Window(WF.RowNumber(), partition_by=["user_id"], order_by=[J.JsonSortKey("props", "$.k"), "event_id"])
+    return db("Event").values("event_id", place=place)
 
 
 @query("SELECT p_partkey, sqrt((p_size - 3.0) ^ 2 + 16) AS d, sqrt((p_size - 3.0) ^ 2 + 16) <= 10 AS near, p_size <= 20 AS meet, 'POINT' AS kind, 1::BIGINT AS n FROM part")
@@ -1030,10 +1032,14 @@ def make_line(db: Database) -> Any:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from quern.plans import rows  # noqa: F401
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from quern.plans import rows  # noqa: F401
+
     return dict(ORACLES)
 
 

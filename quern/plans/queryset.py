@@ -23,6 +23,7 @@ from quern.operators.expressions import (
     Aggregate, Cube, Exists, Expression, F, Grouping, GroupingSets, Ordering, OuterReference, Q, QueryError, Rollup, UnsupportedError, Value, ordering,
 )
 from quern.operators.joins import ArrayJoin, AsofJoin, FilteredRelation, JsonTable, Lateral
+from quern.sources.lineage import checkpoint
 from quern.sources.models import Database, Model
 
 SEP = "__"
@@ -209,15 +210,18 @@ class Compiler:
         return lookups.LOOKUPS[name](column, value)
 
     def composite(self, name: str, value: Any) -> Column:
-        keys = [S.col(k) for k in self.model.key]
-        rows = [value] if name in ("exact", "not") else list(value)
-        out = S.lit(False)
-        for row in rows:
-            one = S.lit(True)
-            for k, v in zip(keys, row, strict=True):
-                one = one & (k == v)
-            out = out | one
-        return ~lookups.true_only(out) if name in ("not", "not_in") else out
+        """A list of keys is joined as one local relation: neither deep trees nor long plans."""
+        key = self.model.key
+        rows = [tuple(value)] if name in ("exact", "not") else [tuple(row) for row in value]
+        if not rows:
+            return S.lit(name == "not_in")
+        mark = f"__pk{next(_ids)}"
+        right = self.db.spark.createDataFrame(pd.DataFrame(rows, columns=[f"{mark}{i}" for i in range(len(key))])).distinct().withColumn(mark, S.lit(True))
+        kinds = [self.df.schema[k].dataType for k in key]
+        self.df = self.df.join(right, [S.col(k) == S.col(f"{mark}{i}").cast(t) for i, (k, t) in enumerate(zip(key, kinds, strict=True))], "left")
+        self.hidden |= {mark, *(f"{mark}{i}" for i in range(len(key)))}
+        found = S.col(mark).isNotNull()
+        return ~found if name in ("not", "not_in") else found
 
     def flag(self, column: Column, queryset: QuerySet) -> Column:
         """Whether a value is among a subquery's, nulls equal to nulls."""
@@ -248,8 +252,9 @@ class Compiler:
             names, cond = self._correlation(inner)
             right = inner.df.select(*[S.col(o[0]).alias(n) for o, n in zip(inner.outer, names, strict=True)]).distinct().withColumn(mark, S.lit(True))
             if any(op != "exact" for _, op, _ in inner.outer):
+                # The rows are read twice, so their numbers are written down first.
                 key = f"{mark}k"
-                self.df = self.df.withColumn(key, S.monotonically_increasing_id())
+                self.df = checkpoint(self.df.withColumn(key, S.monotonically_increasing_id()))
                 hit = self.df.join(right, cond).select(S.col(key).alias(f"{mark}r")).distinct().withColumn(mark, S.lit(True))
                 self.df = self.df.join(hit, S.col(key) == S.col(f"{mark}r"), "left")
                 self.hidden |= {key, f"{mark}r"}
@@ -464,10 +469,15 @@ class QuerySet:
         columns come as ``name__column``."""
         return self._then("join", other, name, on or {}, condition, how)
     def select_related(self, *paths: str) -> QuerySet: return self._then("select_related", *paths)
+    def defer_related(self, *paths: str) -> QuerySet: return self._then("defer_related", *paths)
     def prefetch_related(self, *paths: Any) -> QuerySet: return self._then("prefetch", *paths)
     def after_cursor(self, *values: Any) -> QuerySet: return self._then("cursor", values, True)
     def before_cursor(self, *values: Any) -> QuerySet: return self._then("cursor", values, False)
     def sample(self, percent: float, seed: int = 0) -> QuerySet: return self._option(sample=(percent, seed))
+    def sample_offset(self, offset: float) -> QuerySet:
+        if "sample_rows" not in self.options:
+            raise QueryError("an offset needs a sample")
+        return self._option(sample_rows=(self.options["sample_rows"][0], offset))
     def sample_rows(self, part: float, offset: float = 0.0) -> QuerySet: return self._option(sample_rows=(part, offset))
     def final(self) -> QuerySet: return self._option(final=True)
     def include_deleted(self) -> QuerySet: return self._option(deleted="show")
@@ -476,7 +486,7 @@ class QuerySet:
     def settings(self, **conf: str) -> QuerySet: return self._option(settings=conf)
     def with_cte(self, name: str, queryset: QuerySet) -> QuerySet:
         return self._option(ctes={**self.options.get("ctes", {}), name: queryset})
-    def with_recursive(self, relation: str, max_depth: int = 100) -> QuerySet: return self._then("recursive", relation, max_depth)
+    def with_recursive(self, relation: str, max_depth: int | None = None) -> QuerySet: return self._then("recursive", relation, max_depth)
     def using(self, root: str) -> QuerySet:
         return QuerySet(self.db.using(root), self.model, self.steps, self.source, self.options)
     def transform(self, fn: Any) -> QuerySet:
@@ -552,9 +562,12 @@ class QuerySet:
     @property
     def df(self) -> DataFrame:
         """The DataFrame of the query, with the selected columns."""
+        if conf := self.options.get("settings"):  # a session of the query's own, so they end with it
+            if self.model is None or self.source is not None:
+                raise UnsupportedError("settings hold for queries of a model's table")
+            options = {k: v for k, v in self.options.items() if k != "settings"}
+            return QuerySet(self.db.with_settings(conf), self.model, self.steps, None, options).df
         ctx = self.compiled()
-        for key, value in self.options.get("settings", {}).items():
-            self.db.spark.conf.set(key, value)
         missing = [v for v in ctx.shown() if v not in ctx.df.columns]
         for v in missing:
             column = ctx.resolve(v)
@@ -613,10 +626,14 @@ class QuerySet:
 
     def _semi_list(self, ctx: Compiler, path: str, values: Any) -> None:
         """A long list as one local relation: a plan of thousands of literals is slow to build."""
-        mark = f"__s{next(_ids)}"
-        column = ctx.resolve(path.rpartition(SEP)[0])
-        right = self.db.spark.createDataFrame(pd.DataFrame({mark: list(values)}))
-        ctx.df = ctx.df.join(S.broadcast(right), column == S.col(mark), "left_semi")  # what the driver holds anyway
+        path, mark = path.rpartition(SEP)[0], f"__s{next(_ids)}"
+        composite = path == "pk" and ctx.model and len(ctx.model.key) > 1
+        columns = [S.col(k) for k in ctx.model.key] if composite else [ctx.resolve(path)]
+        kinds = [ctx.df.select(c).schema[0].dataType for c in columns]
+        rows = list(values) if composite else [(v,) for v in values]
+        right = self.db.spark.createDataFrame(pd.DataFrame(rows, columns=[f"{mark}{i}" for i in range(len(columns))]))
+        cond = [c == S.col(f"{mark}{i}").cast(k) for i, (c, k) in enumerate(zip(columns, kinds, strict=True))]
+        ctx.df = ctx.df.join(right, cond, "left_semi")  # Spark knows its size
 
     def _semi_in(self, ctx: Compiler, path: str, queryset: QuerySet) -> None:
         path, _, name = path.rpartition(SEP)
@@ -747,6 +764,11 @@ class QuerySet:
             ctx.df = ctx.df.withColumn(path, S.when(met, S.struct(*[S.col(f"`{f}`").alias(f[len(prefix) :]) for f in fields])))
             ctx.names.add(path)
 
+    def _do_defer_related(self, ctx: Compiler, *paths: str) -> None:
+        """Related rows are no longer among the columns."""
+        ctx.names -= set(paths)
+        ctx.hidden |= set(paths)
+
     def _reached(self, ctx: Compiler, path: str) -> Model:
         model = ctx.model
         for part in path.split(SEP):
@@ -805,7 +827,7 @@ class QuerySet:
         if not after:
             ctx.order = order
 
-    def _do_recursive(self, ctx: Compiler, relation: str, max_depth: int) -> None:
+    def _do_recursive(self, ctx: Compiler, relation: str, max_depth: int | None) -> None:
         """The rows so far and all they reach over a self-relation, each once."""
         from quern.operators.recursion import closure
 
@@ -816,6 +838,10 @@ class QuerySet:
 
     # -- results ---------------------------------------------------------------
 
+    def raw(self, sql: str, **params: Any) -> QuerySet:
+        """A hand-written SELECT as a query that further steps build on."""
+        return QuerySet(self.db, None, (), self.db.raw(sql, **params))
+
     def aggregate(self, **kw: Expression) -> DataFrame:
         """One row that folds the query's rows."""
         sliced = any(s[0] in ("slice", "distinct", "group_by", "limit_by") for s in self.steps)
@@ -876,7 +902,9 @@ class QuerySet:
     def create_view(self, name: str) -> None: self.df.createOrReplaceTempView(name)
 
     def materialize(self, name: str) -> DataFrame:
-        """Store the rows as a table, replacing what was there; call again to refresh."""
+        """Store the rows as a table, replacing what was there; ``refresh_materialized_view``
+        of the database stores them anew."""
+        self.db.materialized[name] = self
         self.df.write.mode("overwrite").saveAsTable(name)
         return self.db.spark.table(name)
 

@@ -86,6 +86,7 @@ class Database:
         self.spark, self.registry, self.root = spark, registry, root.rstrip("/") if root else None
         self.frames = dict(frames or {})
         self.tenants: Any = ()
+        self.materialized: dict[str, Any] = {}
 
     def frame(self, table: str) -> DataFrame:
         """A scan of a table; Spark prunes its columns and pushes filters down."""
@@ -115,6 +116,21 @@ class Database:
         """The same models over another folder."""
         return Database(self.spark, self.registry, root)
 
+    def with_settings(self, conf: dict[str, str]) -> Database:
+        """The same tables read by a session of their own, with settings that no other query sees."""
+        if self.root is None:
+            raise ValueError("settings need a folder of tables")
+        session = self.spark.newSession()
+        for k, v in {**{k: v for k, v in self.spark.conf.getAll.items() if self.spark.conf.isModifiable(k)}, **conf}.items():
+            session.conf.set(k, v)
+        out = Database(session, self.registry, self.root)
+        out.tenants = self.tenants
+        return out
+
+    def refresh_materialized_view(self, name: str) -> DataFrame:
+        """Store a materialised query's rows anew."""
+        return self.materialized[name].materialize(name)
+
     def scoped(self, *tenants: Any) -> Database:
         """The same database seen by some tenants only."""
         out = Database(self.spark, self.registry, self.root, self.frames)
