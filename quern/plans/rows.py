@@ -206,16 +206,16 @@ def exists_by_inequality(db: Database) -> Any:
     return db("Customer").annotate(big=Exists(inner)).values("c_custkey", "big")
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey <= 12")
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey <= 6")
 def recursion_without_limit(db: Database) -> Any:
-    chain = db("Customer").filter(c_custkey__lte=12).df.select(S.col("c_custkey").alias("id"), (S.col("c_custkey") - 1).alias("parent"))
-    return closure(chain, chain.where("id = 12"), ["id"], ["parent"], ["id"]).select("id")
+    chain = db("Customer").filter(c_custkey__lte=6).df.select(S.col("c_custkey").alias("id"), (S.col("c_custkey") - 1).alias("parent"))
+    return closure(chain, chain.where("id = 6"), ["id"], ["parent"], ["id"]).select("id")
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey BETWEEN 9 AND 12")
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey BETWEEN 3 AND 6")
 def recursion_to_a_depth(db: Database) -> Any:
-    chain = db("Customer").filter(c_custkey__lte=12).df.select(S.col("c_custkey").alias("id"), (S.col("c_custkey") - 1).alias("parent"))
-    return closure(chain, chain.where("id = 12"), ["id"], ["parent"], ["id"], max_depth=3).select("id")
+    chain = db("Customer").filter(c_custkey__lte=6).df.select(S.col("c_custkey").alias("id"), (S.col("c_custkey") - 1).alias("parent"))
+    return closure(chain, chain.where("id = 6"), ["id"], ["parent"], ["id"], max_depth=3).select("id")
 
 
 # -- aggregates --------------------------------------------------------------------
