@@ -683,9 +683,9 @@ def search_web(db: Database) -> Any:
 
 @query("""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents)
 SELECT doc_id, round(len(list_filter(w, lambda x: x IN ('the', 'that'))) / greatest(len(w), 1), 9) AS r FROM t""")
-def search_rank(db: Database) -> Any:
+def search_density(db: Database) -> Any:
     q = search.SearchQuery("the that")
-    return db("Document").values("doc_id", r=M.Round(search.SearchRank(search.SearchVector("text"), q), 9))
+    return db("Document").values("doc_id", r=M.Round(search.SearchDensity(search.SearchVector("text"), q), 9))
 
 
 @query("""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents),

@@ -294,6 +294,61 @@ def case_without_default(db: Database) -> Any:
     return db("Part").values("p_partkey", band=Case(When(p_size__lt=10, then="small"), When(p_size__lt=30, then=F("p_brand"))))
 
 
+# -- weighted search ---------------------------------------------------------------
+
+
+_WORDS = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+@query(f"""WITH v AS (SELECT p_partkey, {_WORDS.format("p_name")} AS a, {_WORDS.format("p_type")} AS d FROM part),
+f AS (SELECT p_partkey, list_transform(['red', 'bolt', 'steel'], lambda w: struct_pack(a := len(list_filter(a, lambda x: x = w)), d := len(list_filter(d, lambda x: x = w)))) AS n FROM v)
+SELECT p_partkey, round(list_sum(list_transform(n, lambda c: CASE WHEN c.a + c.d = 0 THEN 0 ELSE
+  coalesce(list_sum(list_transform(range(1, c.a + c.d + 1), lambda j: CASE WHEN j <= c.a THEN 1.0 ELSE 0.1 END / (j * j))), 0) END)) / (pi() * pi() / 6) / 3, 9) AS r FROM f""")
+def search_rank(db: Database) -> Any:
+    """Words of the name weigh 1, those of the type 0.1; the name comes first."""
+    from quern.functions import math as M
+    from quern.functions import search
+
+    vector = search.SearchVector("p_name", weight="A") + search.SearchVector("p_type")
+    return db("Part").values("p_partkey", r=M.Round(search.SearchRank(vector, search.SearchQuery("red | bolt | steel", "raw")), 9))
+
+
+@query(f"""WITH v AS (SELECT p_partkey, {_WORDS.format("p_name")} AS a FROM part),
+p AS (SELECT p_partkey, list_filter(range(1, len(a) + 1), lambda i: a[i] = 'red') AS x, list_filter(range(1, len(a) + 1), lambda i: a[i] = 'bolt') AS y FROM v),
+d AS (SELECT p_partkey, unnest(x) AS i, y FROM p), e AS (SELECT p_partkey, i, unnest(y) AS j FROM d),
+r AS (SELECT p_partkey, 1 - exp(sum(ln(1 - 0.1 * sqrt(1 / (1.005 + 0.05 * exp(abs(i - j) / 1.5 - 2)))))) AS r FROM e GROUP BY 1)
+SELECT p_partkey, round(coalesce(r, 0), 9) AS r FROM part LEFT JOIN r USING (p_partkey)""")
+def search_rank_of_all(db: Database) -> Any:
+    """Two words that are both wanted rank by their nearness."""
+    from quern.functions import math as M
+    from quern.functions import search
+
+    rank = search.SearchRank(search.SearchVector("p_name"), search.SearchQuery("red bolt"))
+    return db("Part").values("p_partkey", r=M.Round(rank, 9))
+
+
+@query("SELECT p_partkey, lower(p_name) LIKE 'b%' AND NOT regexp_matches(lower(p_name), '\\bred\\b') OR regexp_matches(lower(p_type), '\\bsteel') AS hit FROM part WHERE regexp_matches(lower(p_name), '^[a-z]+ [a-z]+$') AND (NOT regexp_matches(lower(p_name), '\\bb') OR lower(p_name) LIKE 'b%')")
+def search_raw(db: Database) -> Any:
+    """A prefix of the name but not a word of it, or a prefix of the type."""
+    from quern.functions import search
+
+    vector = search.SearchVector("p_name", weight="A") + search.SearchVector("p_type", weight="B")
+    lexemes = (search.Lexeme("b", prefix=True, weight="A") & ~search.Lexeme("red")) | search.Lexeme("steel", prefix=True, weight="B")
+    rows = db("Part").filter(p_name__iposix_regex="^[a-z]+ [a-z]+$").filter(Q(p_name__istartswith="b") | ~Q(p_name__iposix_regex=r"\bb"))
+    one = rows.values("p_partkey", hit=search.SearchMatch(vector, lexemes))
+    two = rows.values("p_partkey", hit=search.SearchMatch(vector, search.SearchQuery("'b':*A & !red | steel:*B", "raw")))
+    return one.intersection(two)
+
+
+@query("SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+')) AS w FROM documents) WHERE w IN ('house', 'houses', 'city', 'cities', 'thing', 'things') GROUP BY 1")
+def search_english(db: Database) -> Any:
+    """Words in the plural are found by their singular."""
+    from quern.functions import search
+
+    found = db("Document").annotate(v=search.SearchVector("text", config="english")).df.select("doc_id", S.size(S.filter("v", lambda x: x["word"].isin([search.stem(w) for w in ("house", "cities", "things")]))).cast("long").alias("n"))
+    return found.where("n > 0")
+
+
 # -- writes ------------------------------------------------------------------------
 
 
