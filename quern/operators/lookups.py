@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as S
 
-from quern.functions import containers, network, ranges, search, text
+from quern.functions import containers, network, ranges, search, shapes, text
 from quern.functions.datetime import PARTS
 from quern.operators.expressions import QueryError
 
@@ -164,6 +164,7 @@ def of_kind(c: Column, wanted: tuple[str, str, Any]) -> Column:
     return true_only((S.schema_of_variant(c) == kind.upper()) & LOOKUPS[name](S.try_variant_get(c, "$", kind), value))
 
 
+LOOKUPS |= shapes.lookups()
 LOOKUPS["filter"] = json_filter
 LOOKUPS["of_kind"] = of_kind
 

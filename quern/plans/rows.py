@@ -349,6 +349,56 @@ def search_english(db: Database) -> Any:
     return found.where("n > 0")
 
 
+# -- geometry ----------------------------------------------------------------------
+
+
+def _boxes(db: Database) -> QuerySet:
+    """Suppliers as boxes from the origin, as wide as their nation's key and one more, two high."""
+    w = F("s_nationkey") + 1
+    return db("Supplier").annotate(g=T.Concat(Value("POLYGON((0 0, "), w, Value(" 0, "), w, Value(" 2, 0 2, 0 0))")))
+
+
+_BOX = "POLYGON((10 1, 20 1, 20 5, 10 5, 10 1))"
+
+
+@query("""WITH b AS (SELECT s_suppkey, s_nationkey + 1 AS w FROM supplier), i AS (SELECT *, greatest(least(w, 20) - 10, 0) AS i FROM b)
+SELECT s_suppkey, i::DOUBLE AS both, (2 * w + 40 - i)::DOUBLE AS any, (2 * w - i)::DOUBLE AS own, (2 * w + 40 - 2 * i)::DOUBLE AS one FROM i""")
+def geometry_overlays(db: Database) -> Any:
+    from quern.functions import shapes as G
+
+    other = Value(_BOX)
+    return _boxes(db).values(
+        "s_suppkey", both=G.AreaOf(G.Intersection("g", other)), any=G.AreaOf(G.Union("g", other)), own=G.AreaOf(G.Difference("g", other)), one=G.AreaOf(G.SymmetricDifference("g", other)))
+
+
+@query("""SELECT s_suppkey, w >= 10 AS meets, w = 10 AS touches, w > 10 AS overlaps, w < 10 AS apart, w > 4 AS holds, w > 4 AS properly, w = 5 AS same, w < 5 AS inside, w >= 10 AS boxes, w > 10 AS fits
+FROM (SELECT s_suppkey, s_nationkey + 1 AS w FROM supplier)""")
+def geometry_relations(db: Database) -> Any:
+    from quern.functions import shapes as G
+
+    other, point, five = Value(_BOX), Value("POINT(4 1)"), Value("POLYGON((5 2, 5 0, 0 0, 0 2, 5 2))")
+    return _boxes(db).values(
+        "s_suppkey", meets=G.Related("intersects", "g", other), touches=G.Related("touches", "g", other), overlaps=G.Related("overlaps", "g", other), apart=G.Related("disjoint", "g", other),
+        holds=G.Related("contains", "g", point), properly=G.Related("contains_properly", "g", point), same=G.Related("equals", "g", five),
+        inside=Q.from_expression(G.Related("within", "g", five)) & ~Q.from_expression(G.Related("equals", "g", five)), boxes=G.Related("bbox_overlaps", "g", other), fits=G.Related("2*2***2**", "g", other))
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_nationkey + 1 > 10 AND s_nationkey + 1 < 20 AND s_nationkey + 1 > 3")
+def geometry_lookups(db: Database) -> Any:
+    return _boxes(db).filter(g__overlaps=_BOX, g__geo_contains="POINT(3 1)", g__dwithin=("POINT(30 1)", 30), g__relate=(_BOX, "T*T***T**")).exclude(g__covers="POINT(20 2)").values("s_suppkey")
+
+
+@query("""SELECT s_suppkey, 'POLYGON ((0 0, ' || w || ' 0, ' || w || ' 2, 0 2, 0 0))' AS hull, 'POINT (' || CASE WHEN w % 2 = 0 THEN (w // 2)::VARCHAR ELSE (w / 2)::VARCHAR END || ' 1)' AS middle,
+'LINESTRING (0 0, ' || w || ' 0, ' || w || ' 2, 0 2, 0 0)' AS edge, 2.0 * w AS size, 2.0 * w + 4 AS around, 2.0 * w AS sized, 1::BIGINT AS n, true AS valid, greatest(30 - w, 0)::DOUBLE AS far
+FROM (SELECT s_suppkey, s_nationkey + 1 AS w FROM supplier)""")
+def geometry_constructions(db: Database) -> Any:
+    from quern.functions import shapes as G
+
+    return _boxes(db).values(
+        "s_suppkey", hull=G.ConvexHull("g"), middle=G.CenterOfMass("g"), edge=G.Boundary("g"), size=G.AreaOf(G.MakeValid("g")), around=G.PerimeterOf(G.Simplify("g", 0.1)), sized=G.AreaOf(G.Box("g")),
+        n=G.NumGeometries("g"), valid=G.Valid("g"), far=G.DistanceOf("g", Value("POINT(30 1)")))
+
+
 # -- writes ------------------------------------------------------------------------
 
 
