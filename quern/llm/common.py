@@ -7,12 +7,13 @@ Words everywhere in this subpackage are maximal runs of bytes other than
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
+from quern.sources.lineage import checkpoint
+
 #: The six white-space characters, as a trim set and as a regular expression.
 SPACES = " \t\n\x0b\x0c\r"
 SPACES_RE = "[ \\t\\n\\x0B\\f\\r]+"
@@ -62,19 +63,4 @@ def parts_for(size: float, each: float, least: int = 1) -> int:
     return max(least, math.ceil(size / each))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster names.
-
-    ``spark.checkpoint.dir`` is read from the session.  Where it is unset a temporary
-    folder is chosen on a local master only; on a cluster other machines would not
-    see it, so that is an error.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-            folder = tempfile.mkdtemp(prefix="quern-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+__all__ = ["SPACES", "SPACES_RE", "checkpoint", "parts_for", "row_keys", "shuffle_partitions", "table", "text_bytes", "total_bytes", "unused"]

@@ -122,7 +122,11 @@ def features(docs: DataFrame, text_col: str = "text", stop_words: Sequence[str]
 
 
 def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text") -> DataFrame:
-    """The documents with features, ``base_failed`` and ``kept``."""
+    """The documents with features, ``base_failed`` and ``kept``.
+
+    A null or empty text fails on length; an empty table gives no rows; equal rows are
+    judged alike; columns named like the new ones are replaced, all others pass.
+    """
     return (
         features(docs, text_col)
         .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
@@ -131,8 +135,9 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text"
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text") -> DataFrame:
-    """The rows, with their own columns, that every rule keeps.
+    """The rows, with their own columns of any name and type, that every rule keeps.
 
+    Null and empty texts go, equal rows stay or go together, an empty table gives none.
     Rows leave through a generator: a filter would be pushed below the features
     and evaluate each of them again for every rule that reads it.
     """
