@@ -1,10 +1,11 @@
 """Masked pseudo-likelihood scores from a bidirectional window network.
 
 The vocabulary comes from word counts over the whole corpus: frequent words have
-ids of their own, the others share hashed ids.  An id is three or four short codes,
-as many as the counted words need.  The network reads the two words on either side
-of a masked position and predicts the codes of the word between, each given those
-before it, so its softmaxes stay small.  It is written and trained
+ids of their own, the others share hashed ids.  An id is three to five codes of eight
+values, as many as the counted words need.  The network reads the two words on
+either side of a masked position and predicts the codes of the word between, each
+given those before it, so its softmaxes stay small.  Neighbours are shifts of one
+row of words, so each word is read once for all positions that see it.  It is written and trained
 in numpy: in each round every task trains on its share of the documents from the
 same weights, and the weights are averaged by the number of positions in a tree.
 A document's score is the sum of its words' conditional log-probabilities; a shared
@@ -14,7 +15,6 @@ joined in Spark.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from quern.llm import rolling
 from quern.llm.common import checkpoint, parts_for, text_bytes
 
-#: The codes of an id, for few and for many words: 1,024 or 32,768 ids.
-FEW, MANY = (4, 16, 16), (8, 16, 16, 16)
+#: Values of a code, and how many codes an id has.
+CODE, FEW, MANY = 8, 3, 5
 #: Counts from which a word gets an id of its own, while there are ids.
 LEAST_COUNT = 4
 #: Workers have at hand the counts of words that make up one token in so many, so of no more words than that; those of all others are joined.
@@ -41,14 +41,14 @@ OFFSETS = (-2, -1, 1, 2)
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """The hashes of words with ids of their own, by rank, and the codes of an id."""
+    """The hashes of words with ids of their own, by rank, and the number of codes of an id."""
 
     words: np.ndarray
-    codes: tuple[int, ...]
+    codes: int
 
     @property
     def ids(self) -> int:
-        return math.prod(self.codes)
+        return CODE**self.codes
 
     @property
     def own(self) -> int:
@@ -58,10 +58,10 @@ class Vocabulary:
 
 @dataclass(frozen=True)
 class Params:
-    width: int = 16
-    hidden: int = 32
-    rate: float = 0.05
-    batch: int = 8192
+    width: int = 8
+    hidden: int = 16
+    rate: float = 0.1
+    batch: int = 16384
     rounds: int = 2
     seed: int = 11
 
@@ -83,25 +83,25 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """Words by falling count, ties by hash: all of LEAST_COUNT or more, as far as there are ids."""
     often = counts.where(F.col("n") >= LEAST_COUNT)
-    few = math.prod(FEW) * 3 // 4
-    codes = FEW if often.limit(few + 1).count() <= few else MANY
-    rows = often.orderBy(F.desc("n"), "word").limit(math.prod(codes) * 3 // 4).collect()  # at most 24,576
+    names = often.limit(CODE**MANY * 3 // 4).count()
+    codes = next((k for k in range(FEW, MANY) if CODE**k * 3 // 4 >= names), MANY)
+    rows = often.orderBy(F.desc("n"), "word").limit(CODE**codes * 3 // 4).collect()  # at most 24,576
     return Vocabulary(np.array([r["word"] for r in rows], dtype=np.int64).view(np.uint64), codes)
 
 
-def initial(p: Params, codes: tuple[int, ...]) -> dict[str, np.ndarray]:
+def initial(p: Params, codes: int) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(p.seed)
 
     def normal(*shape: int) -> np.ndarray:
-        return (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
+        return (rng.standard_normal(shape) / np.sqrt(shape[-1])).astype(np.float32)
 
     out = {
-        "embed": (0.1 * rng.standard_normal((math.prod(codes) + 1, p.width))).astype(np.float32),
-        "w": normal(len(OFFSETS) * p.width, p.hidden), "b": np.zeros(p.hidden, np.float32),
-        "out": normal(p.hidden, sum(codes)), "bias": np.zeros(sum(codes), np.float32),
+        "embed": (0.1 * rng.standard_normal((p.width, CODE**codes))).astype(np.float32),
+        "w": normal(len(OFFSETS), p.hidden, p.width), "b": np.zeros(p.hidden, np.float32),
+        "out": normal(CODE * codes, p.hidden), "bias": np.zeros(CODE * codes, np.float32),
     }
     # What the codes before a code add to it.
-    return out | {f"given{k}": np.zeros((codes[k], math.prod(codes[:k])), np.float32) for k in range(1, len(codes))}
+    return out | {f"given{k}": np.zeros((CODE, CODE**k), np.float32) for k in range(1, codes)}
 
 
 def pack(weights: dict[str, np.ndarray]) -> np.ndarray:
@@ -123,122 +123,117 @@ class Encoder:
         self.v = vocabulary
         self.order = np.argsort(vocabulary.words)
         self.sorted = vocabulary.words[self.order]
+        # By the top bits of a hash the only word there, or -1 for none, -2 for several.
+        self.place = np.full(1 << 20, -1, dtype=np.int32)
+        top, at, n = np.unique(vocabulary.words >> np.uint64(44), return_index=True, return_counts=True)
+        self.place[top.astype(np.int64)] = np.where(n == 1, at, -2)
 
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The id of each word, the text it belongs to, and its hash."""
         data, starts = rolling.joined(texts)
         s, e = rolling.word_spans(data)
         words = rolling.word_hashes(data, s, e)
-        out = (self.v.own + words % np.uint64(self.v.ids - self.v.own)).astype(np.int32)
-        if len(self.sorted):
-            at = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
-            own = self.sorted[at] == words
-            out[own] = self.order[at[own]]
-        return out, np.searchsorted(starts, s, "right") - 1, words
-
-
-def contexts(ids: np.ndarray, of: np.ndarray, pad: int) -> np.ndarray:
-    """The neighbours of each position, ``pad`` outside its text, a row for each offset."""
-    out = np.full((len(OFFSETS), len(ids)), pad, dtype=np.int32)
-    for row, step in zip(out, OFFSETS, strict=True):
+        out = (self.v.own + words % np.uint64(self.v.ids - self.v.own)).astype(np.int64)
+        at = self.place.take((words >> np.uint64(44)).astype(np.int64))
+        alone = np.flatnonzero(at >= 0)
+        alone = alone[self.v.words.take(at[alone]) == words[alone]]
+        out[alone] = at[alone]
+        if len(some := np.flatnonzero(at == -2)):
+            near = np.minimum(np.searchsorted(self.sorted, words[some]), len(self.sorted) - 1)
+            own = self.sorted[near] == words[some]
+            out[some[own]] = self.order[near[own]]
+        return out, (np.searchsorted(starts, s, "right") - 1).astype(np.int32), words
+
+
+def neighbours(of: np.ndarray) -> list[tuple[slice, slice, np.ndarray, np.ndarray]]:
+    """For each offset the positions and their neighbours, as slices, and the pairs among
+    them that lie in different texts."""
+    out = []
+    for step in OFFSETS:
         here, there = (slice(-step, None), slice(None, step)) if step < 0 else (slice(None, -step), slice(step, None))
-        np.copyto(row[here], ids[there], where=of[here] == of[there])
+        apart = np.flatnonzero(of[here] != of[there])
+        out.append((here, there, apart + (here.start or 0), apart + (there.start or 0)))
     return out
 
 
-def codes_of(ids: np.ndarray, codes: tuple[int, ...]) -> list[tuple[slice, np.ndarray, np.ndarray]]:
-    """(rows of the output, code, the codes before it as one number) of each code."""
-    out, at = [], 0
-    for k, many in enumerate(codes):
-        rest = ids // math.prod(codes[k + 1 :])
-        out.append((slice(at, at + many), rest % many, rest // many))
-        at += many
+def forward(m: dict[str, np.ndarray], ids: np.ndarray, of: np.ndarray):
+    """Of every position: the embedding, the hidden layer, and for each code its exponents,
+    the largest 0, the codes before it as one number, and its value.  A neighbour that
+    is missing adds nothing."""
+    codes, near = len(m["bias"]) // CODE, neighbours(of)
+    g = m["embed"].take(ids, axis=1)
+    h = np.repeat(m["b"][:, None], len(ids), axis=1)
+    for w, (here, there, a, b) in zip(m["w"], near, strict=True):
+        part = w @ g
+        h[:, here] += part[:, there]
+        h[:, a] -= part[:, b]
+    np.tanh(h, out=h)
+    x = (m["out"] @ h).reshape(codes, CODE, -1)
+    x += m["bias"].reshape(codes, CODE, 1)
+    before = [ids // CODE ** (codes - k) for k in range(codes)]
+    for k in range(1, codes):
+        x[k] += m[f"given{k}"].take(before[k], axis=1)
+    x -= x.max(axis=1, keepdims=True)
+    return g, near, h, x, before, np.stack([ids // CODE ** (codes - 1 - k) % CODE for k in range(codes)])
+
+
+def log_probabilities(m: dict[str, np.ndarray], ids: np.ndarray, of: np.ndarray, step: int = 4096) -> np.ndarray:
+    """Of each word given its neighbours in its text."""
+    out = np.zeros(len(ids))
+    for first in range(0, len(ids), step):
+        a, b = max(0, first - 2), min(len(ids), first + step + 2)  # with the neighbours of the outermost
+        *_, x, _, code = forward(m, ids[a:b], of[a:b])
+        got = np.take_along_axis(x, code[:, None], axis=1).sum(axis=(0, 1))
+        got -= np.log(np.exp(x, out=x).sum(axis=1)).sum(axis=0)
+        out[first : first + step] = got[first - a : first - a + step]
     return out
 
 
-def outputs(m: dict[str, np.ndarray], h: np.ndarray, levels: list) -> np.ndarray:
-    """Exponents of all codes, a column for each position, the largest of a code 0."""
-    x = m["out"].T @ h.T + m["bias"][:, None]
-    for k, (rows, _, before) in enumerate(levels):
-        if k:
-            x[rows] += m[f"given{k}"].take(before, axis=1)
-        x[rows] -= x[rows].max(axis=0)
-    return x
-
-
-class Scorer:
-    """Log-probabilities under fixed weights: a neighbour's part of the hidden layer depends on its id alone."""
-
-    def __init__(self, m: dict[str, np.ndarray], codes: tuple[int, ...]):
-        width = m["embed"].shape[1]
-        self.m, self.codes = m, codes
-        self.parts = [np.ascontiguousarray(m["embed"] @ m["w"][k * width : (k + 1) * width]) for k in range(len(OFFSETS))]
-
-    def __call__(self, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        h = self.parts[0].take(around[0], axis=0)
-        for part, row in zip(self.parts[1:], around[1:], strict=True):
-            h += part.take(row, axis=0)
-        h += self.m["b"]
-        levels, at = codes_of(ids, self.codes), np.arange(len(ids))
-        x = outputs(self.m, np.tanh(h, out=h), levels)
-        total = sum(x[rows][code, at] for rows, code, _ in levels)
-        np.exp(x, out=x)
-        for rows, _, _ in levels:
-            total -= np.log(x[rows].sum(axis=0))
-        return total
-
-
-def gradients(m: dict[str, np.ndarray], around: np.ndarray, ids: np.ndarray, codes: tuple[int, ...]) -> dict[str, tuple]:
-    """(rows, gradient) of the mean negative log-probability for each weight; rows None: all."""
-    n, at, read = len(ids), np.arange(len(ids)), around.T.ravel()
-    x = m["embed"].take(read, axis=0).reshape(n, -1)
-    h = np.tanh(x @ m["w"] + m["b"])
-    levels = codes_of(ids, codes)
-    d = outputs(m, h, levels)
+def gradients(m: dict[str, np.ndarray], ids: np.ndarray, of: np.ndarray, first: int = 0, last: int | None = None) -> dict[str, np.ndarray]:
+    """Of the mean negative log-probability of the positions from ``first`` to ``last``."""
+    g, near, h, d, before, code = forward(m, ids, of)
+    last = len(ids) if last is None else last
     np.exp(d, out=d)
-    out: dict[str, tuple] = {}
-    for k, (rows, code, before) in enumerate(levels):
-        part = d[rows]
-        part /= part.sum(axis=0)
-        part[code, at] -= 1
-        part /= n
-        if k:
-            many = m[f"given{k}"].shape[1]
-            out[f"given{k}"] = (None, np.stack([np.bincount(before, row, many) for row in part]).astype(part.dtype))
-    out["out"], out["bias"] = (None, h.T @ d.T), (None, d.sum(axis=1))
-    dz = (d.T @ m["out"].T) * (1 - h * h)
-    out["w"], out["b"] = (None, x.T @ dz), (None, dz.sum(axis=0))
-    out["embed"] = summed(read, (dz @ m["w"].T).reshape(-1, m["embed"].shape[1]))
-    return out
-
-
-def summed(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows and the sums of their gradients."""
-    order = np.argsort(rows.astype(np.uint16), kind="stable")
-    r = rows[order]
-    first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-    sums = np.cumsum(grads.take(order, axis=0), axis=0, dtype=np.float64)[np.append(first[1:], len(r)) - 1]
-    sums[1:] -= sums[:-1].copy()
-    return r[first], sums.astype(grads.dtype)
+    d /= d.sum(axis=1, keepdims=True)
+    flat = d.reshape(-1, len(ids))
+    flat[code + CODE * np.arange(len(d))[:, None], np.arange(len(ids))] -= 1
+    flat[:, :first] = 0
+    flat[:, last:] = 0
+    out = {f"given{k}": np.stack([np.bincount(before[k], row, CODE**k) for row in d[k]]) for k in range(1, len(d))}
+    dz = m["out"].T @ flat
+    dz *= 1 - h * h
+    out |= {"out": flat @ h.T, "bias": flat.sum(axis=1), "b": dz.sum(axis=1), "w": np.empty_like(m["w"])}
+    dg = np.zeros_like(g)
+    for k, (here, there, a, b) in enumerate(near):
+        back = m["w"][k].T @ dz
+        dg[:, there] += back[:, here]
+        dg[:, b] -= back[:, a]
+        out["w"][k] = dz[:, here] @ g[:, there].T - dz[:, a] @ g[:, b].T
+    out["embed"] = np.stack([np.bincount(ids, row, m["embed"].shape[1]) for row in dg])
+    return {k: (v / (last - first)).astype(m[k].dtype) for k, v in out.items()}
 
 
 class Trainer:
-    """Adagrad on mini-batches of positions; only rows that a batch reads change."""
+    """Adagrad on batches of positions."""
+
+    def __init__(self, weights: dict[str, np.ndarray], p: Params):
+        self.m, self.p, self.seen = weights, p, 0
+        self.square = {k: np.full_like(v, 1e-8) for k, v in weights.items()}
 
-    def __init__(self, weights: dict[str, np.ndarray], codes: tuple[int, ...], p: Params):
-        self.m, self.codes, self.p, self.seen = weights, codes, p, 0
-        self.square = {k: np.full_like(v, 1e-2) for k, v in weights.items()}
+    def learn(self, ids: np.ndarray, of: np.ndarray) -> None:
+        """Every position once, a batch at a time, with the neighbours of its outermost."""
+        for first in range(0, len(ids), self.p.batch):
+            last = min(first + self.p.batch, len(ids))
+            a, b = max(0, first - 2), min(len(ids), last + 2)
+            self.step(ids[a:b], of[a:b], first - a, last - a)
 
-    def step(self, around: np.ndarray, ids: np.ndarray) -> None:
-        for k, (rows, g) in gradients(self.m, around, ids, self.codes).items():
-            if rows is None:
-                self.square[k] += g * g
-                self.m[k] -= self.p.rate * g / np.sqrt(self.square[k])
-            else:
-                square = self.square[k][rows, :1] + (g * g).mean(axis=1, keepdims=True)  # one for a row
-                self.square[k][rows, :1] = square
-                self.m[k][rows] -= self.p.rate / np.sqrt(square) * g
-        self.seen += len(ids)
+    def step(self, ids: np.ndarray, of: np.ndarray, first: int, last: int) -> None:
+        for k, g in gradients(self.m, ids, of, first, last).items():
+            self.square[k] += g * g
+            g /= np.sqrt(self.square[k])
+            g *= self.p.rate
+            self.m[k] -= g
+        self.seen += last - first
 
 
 def train(docs: DataFrame, words: Vocabulary, tokens: int, text_col: str = "text", p: Params = Params()) -> dict[str, np.ndarray]:
@@ -259,14 +254,11 @@ def train(docs: DataFrame, words: Vocabulary, tokens: int, text_col: str = "text
 
         def fit(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             flat, words = shared.value
-            trainer, encoder = Trainer(unpack(flat, like), words.codes, p), Encoder(words)
+            trainer, encoder = Trainer(unpack(flat, like), p), Encoder(words)
             for batch in batches:
                 texts = batch.column(0).to_pylist()
                 for first, last in rolling.chunks(texts):
-                    ids, of, _ = encoder.read(texts[first:last])
-                    around, steps = contexts(ids, of, words.ids), parts_for(len(ids), p.batch)
-                    for k in range(steps if len(ids) else 0):  # each batch from all over the texts
-                        trainer.step(around[:, k::steps], ids[k::steps])
+                    trainer.learn(*encoder.read(texts[first:last])[:2])
             if trainer.seen:
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array([TaskContext.get().partitionId() // FAN_IN], pa.int32()), "n": pa.array([trainer.seen], pa.int64()),
@@ -338,8 +330,8 @@ def score(
 
     With the ``counts`` of the corpus and its number of ``tokens`` each word of a
     shared id has a probability of its own; without them it has that of the id.
-    Null and empty texts have no tokens and score 0; equal rows score alike; an
-    empty table gives no rows; extra columns are not read.
+    Null and empty texts have no tokens and score 0; equal rows score alike, but for
+    the last bits of single precision; an empty table gives no rows; extra columns are not read.
     """
     like = {k: v for k, v in weights.items()}
     shared = docs.sparkSession.sparkContext.broadcast((pack(weights), words, None if counts is None else shares(counts, words, tokens)))
@@ -347,7 +339,7 @@ def score(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, own, share = shared.value
-        scorer, encoder = Scorer(unpack(flat, like), own.codes), Encoder(own)
+        m, encoder = unpack(flat, like), Encoder(own)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -359,10 +351,7 @@ def score(
                 ids, of, words = encoder.read(texts[first:last])
                 n = last - first
                 count[first:last] = np.bincount(of, minlength=n)
-                around = contexts(ids, of, own.ids)
-                for k in range(0, len(ids), 4096):
-                    got = scorer(around[:, k : k + 4096], ids[k : k + 4096])
-                    total[first:last] += np.bincount(of[k : k + 4096], weights=got, minlength=n)
+                total[first:last] += np.bincount(of, weights=log_probabilities(m, ids, of), minlength=n)
                 if share is not None:
                     logs, wanting = share(ids, words)
                     total[first:last] += np.bincount(of, weights=logs, minlength=n)
@@ -393,8 +382,8 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id, n_tokens, log_likelihood) under a network trained on the same documents.
 
     Null and empty texts have no tokens and log-likelihood 0; an empty table gives
-    no rows; repeated rows are scored one by one and alike; extra columns are not
-    read.
+    no rows; repeated rows are scored one by one and alike, but for the last bits of
+    single precision; extra columns are not read.
     """
     counts = checkpoint(word_counts(docs, text_col))
     tokens = int(counts.agg(F.sum("n")).first()[0] or 0)
