@@ -64,3 +64,8 @@ def MapValue(x: Any, key: Any, default: Any = None) -> Expression:
     """The value of a key, or a default where it is missing."""
     return Call("map_value", lambda c: S.coalesce(S.try_element_at(c, S.lit(key)), S.lit(default)), x)
 def Split(x: Any, pattern: str) -> Expression: return Call("split", lambda c: S.split(c, pattern), x)
+
+
+def AnyOf(value: Any, array: Any) -> Expression:
+    """Whether a value is among an array's, null where that is unknown."""
+    return Call("any_of", lambda v, a: S.array_contains(a, v), value, array)

@@ -119,7 +119,16 @@ def TrigramWordSimilarity(word: Any, x: Any) -> Expression: return Call("trigram
 def TrigramWordDistance(word: Any, x: Any) -> Expression: return Call("trigram_word_distance", lambda a, b: 1 - trigram_word_similarity(a, b), literal(word), wrap(x))
 
 
-TrigramStrictWordSimilarity, TrigramStrictWordDistance = TrigramWordSimilarity, TrigramWordDistance
+def trigram_strict_similarity(words: Column, c: Column) -> Column:
+    """The best similarity to a run of whole words of the text, at most as many as there are in ``words`` and one more."""
+    split = S.filter(S.split(S.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    most = S.size(S.filter(S.split(S.lower(words), r"[^\p{L}\p{N}]+"), lambda w: w != "")) + 1
+    runs = S.flatten(S.transform(split, lambda _, i: S.transform(S.sequence(S.lit(1), S.least(most, S.size(split) - i)), lambda n: S.array_join(S.slice(split, i + 1, n), " "))))
+    return S.coalesce(S.array_max(S.transform(runs, lambda r: trigram_similarity(words, r))), S.lit(0.0))
+
+
+def TrigramStrictWordSimilarity(words: Any, x: Any) -> Expression: return Call("trigram_strict_similarity", trigram_strict_similarity, literal(words), wrap(x))
+def TrigramStrictWordDistance(words: Any, x: Any) -> Expression: return Call("trigram_strict_distance", lambda a, b: 1 - trigram_strict_similarity(a, b), literal(words), wrap(x))
 
 
 def RandomUUID() -> Expression: return Call("uuid", S.uuid)

@@ -43,6 +43,10 @@ class Table:
     def create(self, **row: Any) -> None:
         self._append(self.frame([row]))
 
+    def save(self, row: dict[str, Any]) -> None:
+        """Insert one row, or set its other columns where its key is there."""
+        self.bulk_create([row], update=[c for c in row if c not in self.model.key])
+
     def bulk_create(self, rows: Sequence[dict[str, Any]] | DataFrame, ignore_conflicts: bool = False, update: Sequence[str] | None = None) -> None:
         """Insert rows; on a known key do nothing, or set the ``update`` columns."""
         df = rows if isinstance(rows, DataFrame) else self.frame(rows)

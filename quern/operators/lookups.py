@@ -113,7 +113,7 @@ LOOKUPS: dict[str, Lookup] = {
     "multirange_overlap": lambda c, v: S.exists(c, lambda r: ranges.compare("overlap", r, v)),
     "trigram_similar": lambda c, v: text.trigram_similarity(c, S.lit(v)) >= 0.3,
     "trigram_word_similar": lambda c, v: text.trigram_word_similarity(S.lit(v), c) >= 0.6,
-    "trigram_strict_word_similar": lambda c, v: text.trigram_word_similarity(S.lit(v), c) >= 0.5,
+    "trigram_strict_word_similar": lambda c, v: text.trigram_strict_similarity(S.lit(v), c) >= 0.5,
     "ancestor_of": lambda c, v: text.is_ancestor(c, S.lit(v)),
     "descendant_of": lambda c, v: text.is_ancestor(S.lit(v), c),
     "matches": lambda c, v: c.rlike(text.lquery(v)),

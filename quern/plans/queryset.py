@@ -749,8 +749,16 @@ class QuerySet:
             cond = cond & (columns[path] == S.col(f"`{name}{SEP}{there}`"))
         ctx.df = ctx.df.join(right, cond, how) if on or condition else ctx.df.crossJoin(right)
 
-    def _do_select_related(self, ctx: Compiler, *paths: str) -> None:
+    def _do_select_related(self, ctx: Compiler, *paths: Any) -> None:
         for path in paths:
+            if isinstance(path, Select):
+                if path.extra_condition is not None and path.path not in ctx.paths:
+                    parent, _, name = path.path.rpartition(SEP)
+                    if parent:
+                        ctx.resolve(f"{parent}{SEP}{self._reached(ctx, parent).key[0]}")
+                    model = self._reached(ctx, parent) if parent else ctx.model
+                    ctx.join(path.path, model, name, parent, FilteredRelation(name, path.extra_condition))
+                path = path.path
             ctx.resolve(f"{path}{SEP}{self._reached(ctx, path).key[0]}")
             if path not in ctx.paths:
                 parent, model = "", ctx.model
@@ -918,9 +926,23 @@ def register_extension(name: str, step: Any) -> None:
     setattr(QuerySet, name, method)
 
 
+class Select:
+    """A relation for ``select_related`` whose rows must meet a condition too."""
+
+    def __init__(self, path: str, extra_condition: Q | None = None):
+        self.path, self.extra_condition = path, extra_condition
+
+
+def prefetch_related_objects(db: Database, model: str, rows: Sequence[Any], *paths: Any) -> list[Any]:
+    """The same rows with related ones as arrays, read for their keys in one query a path."""
+    key = db.registry.models[model].key
+    found = {tuple(r[k] for k in key): r for r in db(model).filter(pk__in=[tuple(r[k] for k in key) if len(key) > 1 else r[key[0]] for r in rows]).prefetch_related(*paths).df.collect()}
+    return [found[tuple(r[k] for k in key)] for r in rows]
+
+
 class Prefetch:
     def __init__(self, path: str, queryset: QuerySet | None = None, to: str | None = None):
         self.path, self.queryset, self.to = path, queryset, to
 
 
-__all__ = ["Compiler", "FanOutError", "Prefetch", "QuerySet", "register_extension"]
+__all__ = ["Compiler", "FanOutError", "Prefetch", "QuerySet", "Select", "prefetch_related_objects", "register_extension"]

@@ -14,7 +14,7 @@ from quern.operators import lookups, writes
 from quern.operators.expressions import Case, Exists, F, OuterReference, Q, Value, When
 from quern.operators.recursion import closure
 from quern.plans.catalogue import query
-from quern.plans.queryset import QuerySet, register_extension
+from quern.plans.queryset import QuerySet, Select, prefetch_related_objects, register_extension
 from quern.sources.models import Database, Model, Registry
 from quern.streaming import capture
 
@@ -491,6 +491,50 @@ def links_cleared(db: Database) -> Any:
     return writes.link_changes(_links(db), "l_partkey", "l_suppkey", 7, [], "clear")
 
 
+@query("SELECT n_nationkey, CASE WHEN r_name LIKE 'A%' THEN r_name END AS region_name FROM nation LEFT JOIN region ON r_regionkey = n_regionkey")
+def select_with_condition(db: Database) -> Any:
+    rows = db("Nation").select_related(Select("region", extra_condition=Q(r_name__startswith="A"))).df
+    return rows.select("n_nationkey", S.col("region.r_name").alias("region_name"))
+
+
+@query("SELECT r_regionkey, array_agg(n_nationkey ORDER BY n_nationkey) AS nations FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_regionkey IN (1, 3) GROUP BY 1")
+def prefetched_objects(db: Database) -> Any:
+    rows = db("Region").filter(r_regionkey__in=[3, 1]).df.collect()
+    found = prefetch_related_objects(db, "Region", rows, "nations")
+    return told(db, "r_regionkey int, nations array<int>", *[(r["r_regionkey"], [n["n_nationkey"] for n in r["nations"]]) for r in found])
+
+
+@query("SELECT n_regionkey::BIGINT AS n_regionkey, count(*)::DOUBLE AS n FROM nation GROUP BY 1")
+def typed_sql(db: Database) -> Any:
+    names, _ = db.described("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
+    if [n for n, _ in names] != ["n_regionkey", "n"]:
+        raise AssertionError("a described query names its columns")
+    return db.execute_sql("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1", schema="n_regionkey bigint, n double")
+
+
+@query("SELECT n_nationkey, r_name AS rn FROM nation JOIN region ON n_regionkey = r_regionkey")
+def reloaded_dictionary(db: Database) -> Any:
+    db.add_dictionary("regions", lambda: db.frame("region"), "r_regionkey")
+    return db.reload_dictionary("regions").get(db("Nation").df, "n_regionkey", rn="r_name").select("n_nationkey", "rn")
+
+
+@query("SELECT p_partkey, contains(p_name, ' ') AND string_split(p_name, ' ')[1] = 'red' OR list_contains(string_split(p_name, ' ')[2:], 'red') AS red FROM part")
+def any_of_words(db: Database) -> Any:
+    from quern.functions import containers as K
+
+    return db("Part").values("p_partkey", red=K.AnyOf(Value("red"), K.Split("p_name", " ")))
+
+
+@query("SELECT n_nationkey, n_name, x FROM nation JOIN (VALUES (1, 'a'), (2, 'b')) v(k, x) ON n_nationkey = k")
+def given_rows(db: Database) -> Any:
+    from quern.sources.tables import json_row_values, row_values
+
+    one = row_values(db.spark, "k int, x string", [(1, "a")])
+    two = json_row_values(row_values(db.spark, "j string", [('[{"k": 2, "x": "b"}]',)]), "j", "k int, x string")
+    both = one.union(two)
+    return db("Nation").df.join(both, S.col("n_nationkey") == S.col("k")).select("n_nationkey", "n_name", "x")
+
+
 # -- change capture ----------------------------------------------------------------
 
 

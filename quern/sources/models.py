@@ -87,6 +87,8 @@ class Database:
         self.frames = dict(frames or {})
         self.tenants: Any = ()
         self.materialized: dict[str, Any] = {}
+        self.dictionaries: dict[str, Any] = {}
+        self.loaders: dict[str, Any] = {}
 
     def frame(self, table: str) -> DataFrame:
         """A scan of a table; Spark prunes its columns and pushes filters down."""
@@ -131,6 +133,17 @@ class Database:
         """Store a materialised query's rows anew."""
         return self.materialized[name].materialize(name)
 
+    def add_dictionary(self, name: str, load: Callable[[], DataFrame], key: str) -> Any:
+        """A key to attributes table under a name; ``reload_dictionary`` reads it anew."""
+        from quern.sources.tables import Dictionary
+
+        self.loaders[name] = (load, key)
+        self.dictionaries[name] = Dictionary(load(), key)
+        return self.dictionaries[name]
+
+    def reload_dictionary(self, name: str) -> Any:
+        return self.add_dictionary(name, *self.loaders[name])
+
     def scoped(self, *tenants: Any) -> Database:
         """The same database seen by some tenants only."""
         out = Database(self.spark, self.registry, self.root, self.frames)
@@ -152,6 +165,16 @@ class Database:
         """A SQL function of the session, from declared text."""
         self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {returns} RETURN {body}")
 
+    def described(self, sql: str, **params: Any) -> tuple[list[tuple[str, str]], DataFrame]:
+        """The names and types of a hand-written SELECT's columns, and its rows."""
+        df = self.raw(sql, **params)
+        return [(f.name, f.dataType.simpleString()) for f in df.schema], df
+
+    def execute_sql(self, sql: str, schema: str | None = None, **params: Any) -> DataFrame:
+        """A hand-written SELECT, its columns read as the types of a DDL ``schema``, by name."""
+        df = self.raw(sql, **params)
+        return df if schema is None else df.select(*[S.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema)])
+
     def raw(self, sql: str, **params: Any) -> DataFrame:
         """A hand-written SELECT over the models' tables, with named parameters bound by Spark."""
         for model in self.registry.models.values():

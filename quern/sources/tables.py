@@ -101,3 +101,13 @@ class Encrypted:
         """Equal texts have equal hashes; without the key they tell nothing."""
         inner = S.sha2(S.concat(self.key, c.cast("binary")), 256)
         return S.sha2(S.concat(self.key, inner.cast("binary")), 256)
+
+
+def row_values(spark: SparkSession, schema: str, rows: Any) -> DataFrame:
+    """Rows given by hand as a table."""
+    return spark.createDataFrame([tuple(r) for r in rows], schema)
+
+
+def json_row_values(df: DataFrame, column: str, schema: str) -> DataFrame:
+    """A row for each object of a column's JSON arrays, typed by name; what doesn't fit is null."""
+    return df.select(S.explode(S.from_json(S.col(column), f"array<struct<{', '.join(x.strip().replace(' ', ': ', 1) for x in schema.split(','))}>>")).alias("__r")).select("__r.*")

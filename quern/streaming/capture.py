@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as S
 from pyspark.sql.streaming.query import StreamingQuery
 
+from quern.sources.tables import replace_table
+
 
 def changes(before: DataFrame, after: DataFrame, key: Sequence[str]) -> DataFrame:
     """(key..., op, old, new): rows that differ between two states of a table."""
@@ -58,7 +60,18 @@ def to_kafka(servers: str) -> Callable[[DataFrame, int], None]:
     return deliver
 
 
-def maintained(stream: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], name: str, checkpoint: str | None = None, mode: str = "complete") -> StreamingQuery:
-    """A materialised aggregate kept up to date as rows arrive, as an in-memory table."""
-    writer = stream.groupBy(*keys).agg(*aggregates).writeStream.outputMode(mode).format("memory").queryName(name)
+def maintained(
+    stream: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], name: str, checkpoint: str | None = None, mode: str = "complete", path: str | None = None,
+) -> StreamingQuery:
+    """A materialised aggregate kept up to date as rows arrive.
+
+    With ``path`` each batch's whole result takes the place of the stored table there;
+    without it the result is a table in the driver's memory, for small results only."""
+    writer = stream.groupBy(*keys).agg(*aggregates).writeStream.outputMode(mode)
+    if path is None:
+        writer = writer.format("memory").queryName(name)
+    else:
+        if mode != "complete":
+            raise ValueError("a stored aggregate is replaced whole, so its mode is complete")
+        writer = writer.queryName(name).foreachBatch(lambda batch, _: replace_table(batch, path))
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).trigger(availableNow=True).start()

@@ -116,3 +116,34 @@ def test_tenants(spark):
     d = Database(spark, r, frames={"t": spark.createDataFrame([(1, "x"), (2, "y")], "id int, owner string")})
     assert [x["id"] for x in d.scoped("x")("t").df.collect()] == [1]
     assert d("t").df.count() == 0 and d("t").all_tenants().df.count() == 2
+
+
+def test_sqlite_tables_are_read_in_parts_and_written(spark, tmp_path):
+    import sqlite3
+
+    from quern.sources.sqlite import read_sqlite, write_sqlite
+
+    path = str(tmp_path / "shop.db")
+    with sqlite3.connect(path) as db:
+        db.execute('CREATE TABLE "the items" (id INTEGER, name VARCHAR(20), price REAL, sold BOOLEAN, raw BLOB)')
+        db.execute("CREATE TABLE none (id INTEGER)")
+        db.executemany('INSERT INTO "the items" VALUES (?, ?, ?, ?, ?)', [(i, f"n{i}", i / 2, i % 2, bytes([i])) for i in range(100)] + [(None,) * 5])
+    df = read_sqlite(spark, path, "the items", parts=4)
+    assert df.dtypes == [("id", "bigint"), ("name", "string"), ("price", "double"), ("sold", "boolean"), ("raw", "binary")]
+    assert df.rdd.getNumPartitions() == 4 and df.count() == 101 and df.where("sold").count() == 50 and df.where("id IS NULL").count() == 1
+    assert read_sqlite(spark, path, "none").count() == 0
+    write_sqlite(df.where("id < 10").withColumn("id", df.id + 1000), path, "the items")
+    assert read_sqlite(spark, path, "the items").where("id >= 1000").count() == 10
+
+
+def test_save_inserts_or_sets(spark, tmp_path):
+    from quern.operators.dml import Table
+    from quern.sources.models import Database, Model, Registry
+
+    r = Registry()
+    r.add(Model("Thing", "thing", ("id",)))
+    spark.createDataFrame([(1, "a")], "id int, name string").write.parquet(f"file://{tmp_path}/thing.parquet")
+    table = Table(Database(spark, r, f"file://{tmp_path}"), "Thing")
+    table.save({"id": 1, "name": "b"})
+    table.save({"id": 2, "name": "c"})
+    assert sorted(map(tuple, table.read().collect())) == [(1, "b"), (2, "c")]

@@ -112,6 +112,13 @@ def test_maintained_aggregate(spark, t, tmp_path):
     q = capture.maintained(stream, [], [S.sum("v").alias("total")], "total_now")
     q.awaitTermination(120)
     assert spark.table("total_now").first()["total"] == 40
+    stored = f"file://{tmp_path}/stored"
+    for _ in range(2):  # what arrives later is added to what is stored
+        capture.maintained(stream, [], [S.sum("v").alias("total")], "total_stored", f"file://{tmp_path}/at", path=stored).awaitTermination(120)
+        t.write.mode("append").parquet(path)
+    assert spark.read.parquet(stored).first()["total"] == 80
+    with pytest.raises(ValueError):
+        capture.maintained(stream, [], [S.sum("v")], "x", mode="update", path=stored)
 
 
 def test_soft_delete_reaches_joined_models(spark):
