@@ -9,7 +9,7 @@ the eight starting segments, therefore find every link; the rest of the chain is
 checked before the full Hamming distance.
 
 For a lower similarity than three bits stand for, ``similar`` takes wide
-fingerprints of 128 bits on a ring of sixteen segments.  So many bits may differ
+fingerprints of 256 bits on a ring of 32 segments.  So many bits may differ
 then that no key of bits is sure to agree, so its candidates come from KEYS keys of
 DEPTH least shingle hashes each, the same number however large the corpus is; the
 pigeonring chains and the full Hamming check follow.
@@ -216,7 +216,9 @@ def _with_least(named: DataFrame, node: str) -> DataFrame:
     return named.join(least, "root").select(node, "component")
 
 
-WIDE_SEGMENTS = 16
+#: Words of a wide fingerprint, and the columns that hold them.
+WIDE = ("w0", "w1", "w2", "w3")
+WIDE_SEGMENTS = 8 * len(WIDE)
 #: Buckets up to this size are compared whole; larger ones by search.
 SMALL = 64
 #: Keys of a wide fingerprint, and the least hashes that make up a key: sets of
@@ -239,10 +241,10 @@ def wide_keys(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def wide_fingerprint(text: bytes, shingle: int) -> tuple[int, int, np.ndarray]:
-    """128 bits from each distinct shingle's hash and a mix of it, and the keys."""
+def wide_fingerprint(text: bytes, shingle: int) -> tuple[tuple[int, ...], np.ndarray]:
+    """256 bits, as words, from as many mixes of each distinct shingle's hash, and the keys."""
     hashes = np.unique(shingle_hashes(text, shingle))
-    return majority(hashes), majority(mix(hashes + U64(0x9E3779B97F4A7C15))), wide_keys(hashes)
+    return tuple(majority(mix(hashes + U64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) if k else hashes) for k in range(len(WIDE))), wide_keys(hashes)
 
 
 def differing_share(similarity: float) -> float:
@@ -251,13 +253,13 @@ def differing_share(similarity: float) -> float:
 
 
 def wide_tau(similarity: float) -> int:
-    """Two standard errors above the mean of differing bits at this resemblance."""
-    share = differing_share(similarity)
-    return int(2 * BITS * share + 2 * math.sqrt(2 * BITS * share * (1 - share)))
+    """Seven quarters of a standard error above the mean of differing bits at this resemblance."""
+    share, bits = differing_share(similarity), BITS * len(WIDE)
+    return int(bits * share + 1.75 * math.sqrt(bits * share * (1 - share)))
 
 
 def wide_near(diff: np.ndarray, tau: int) -> np.ndarray:
-    """Rows (two words) within ``tau`` bits: first some chain of three segments must
+    """Rows of words within ``tau`` bits: first some chain of three segments must
     keep to its proportional budgets, then the whole distance counts."""
     parts = popcount(diff.view(np.uint8).reshape(-1, WIDE_SEGMENTS)).astype(np.int16)
     total = np.zeros_like(parts)
@@ -271,7 +273,7 @@ def wide_near(diff: np.ndarray, tau: int) -> np.ndarray:
 
 
 def wide_forest(words: np.ndarray, tau: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """As ``forest``, for rows of two words; with ``side`` only links across it."""
+    """As ``forest``, for rows of words; with ``side`` only links across it."""
     edges: list[tuple[int, int]] = []
     left = np.ones(len(words), dtype=bool)
     for first in range(len(words)):
@@ -290,19 +292,19 @@ def wide_forest(words: np.ndarray, tau: int, side: np.ndarray | None = None) ->
 
 
 def wide_links(fps: DataFrame, tau: int, block: int = 4096) -> DataFrame:
-    """(a, b) over distinct (node, lo, hi, keys): edges that span the links met under a
+    """(a, b) over distinct (node, w0 to w3, keys): edges that span the links met under a
     common key.  A key that more than ``block`` fingerprints share is cut into blocks,
     all pairs of which are compared, so nothing is capped.  Each task contracts its
     links to stars, so a dense family's pairs stay inside it."""
     n = shuffle_partitions(fps.sparkSession)
-    keyed = fps.select(F.explode("keys").alias("key"), "node", "lo", "hi")
+    keyed = fps.select(F.explode("keys").alias("key"), "node", *WIDE)
     hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
     cut = F.ceil(F.coalesce("n", F.lit(1)) / block).cast("int")
     units = (
         keyed.join(hot, "key", "left").withColumn("blocks", cut)
         .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "lo", "hi")
+        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", *WIDE)
         .withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(4 * n)))
     )
 
@@ -310,7 +312,7 @@ def wide_links(fps: DataFrame, tau: int, block: int = 4096) -> DataFrame:
         key, i, j, mine, node = (group.column(c).to_numpy() for c in ("key", "i", "j", "mine", "node"))
         order = np.lexsort((mine, j, i, key))
         key, i, j, mine, node = key[order], i[order], j[order], mine[order], node[order]
-        words = np.stack([group.column(c).to_numpy().view(U64)[order] for c in ("lo", "hi")], axis=1)
+        words = np.stack([group.column(c).to_numpy().view(U64)[order] for c in WIDE], axis=1)
         cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
         bounds = np.concatenate(([0], cut, [len(key)]))
         size = np.diff(bounds)
@@ -342,8 +344,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     """(id, component): documents whose shingle sets resemble each other by ``similarity``
     or more, as wide fingerprints estimate it, directly or through others.
 
-    The bound on differing bits lies two standard errors above the mean at the
-    threshold, so nearly all pairs at it are linked.  The component is its least id.
+    The bound on differing bits lies 1.75 standard errors above the mean at the
+    threshold, so most pairs at it are linked and nearly all above it.  The component is its least id.
     Null, empty and short texts, ties, repeated rows
     and empty tables are treated as in ``near_duplicates``.
     """
@@ -353,16 +355,17 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [wide_fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
-            bits = np.array([f[:2] for f in found], dtype=U64).reshape(-1, 2).view(np.int64)
-            keys = np.concatenate([np.zeros(0, dtype=U64), *(f[2] for f in found)]).view(np.int64)
+            bits = np.array([f[0] for f in found], dtype=U64).reshape(-1, len(WIDE)).view(np.int64)
+            keys = np.concatenate([np.zeros(0, dtype=U64), *(f[1] for f in found)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()),
+                batch.column(0), *(pa.array(w.copy()) for w in bits.T),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * KEYS), pa.array(keys)),
-            ], names=["id", "lo", "hi", "keys"])
+            ], names=["id", *WIDE, "keys"])
 
-    rows = checkpoint(source.mapInArrow(run, f"id {kind}, lo long, hi long, keys array<long>").withColumn("node", F.xxhash64("lo", "hi")))
+    made = source.mapInArrow(run, f"id {kind}, {', '.join(f'{w} long' for w in WIDE)}, keys array<long>")
+    rows = checkpoint(made.withColumn("node", F.xxhash64(*WIDE)))
     # Texts of one fingerprint are all but equal, so the keys of one of them serve.
-    distinct = checkpoint(rows.groupBy("node", "lo", "hi").agg(F.min("id").alias("least"), F.min("keys").alias("keys")))
+    distinct = checkpoint(rows.groupBy("node", *WIDE).agg(F.min("id").alias("least"), F.min("keys").alias("keys")))
     nodes = connected(wide_links(distinct, wide_tau(similarity)))
     named = distinct.join(nodes.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     return rows.join(_with_least(named, "node"), "node").select("id", "component")

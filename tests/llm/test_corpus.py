@@ -324,7 +324,7 @@ def near_groups(texts):
     for k, i in enumerate(order):
         for j in order[:k]:
             x, y = made[i], made[j]
-            if (x[0] ^ y[0]).bit_count() + (x[1] ^ y[1]).bit_count() <= tau and set(x[2].tolist()) & set(y[2].tolist()):
+            if sum((a ^ b).bit_count() for a, b in zip(x[0], y[0], strict=True)) <= tau and set(x[1].tolist()) & set(y[1].tolist()):
                 a, b = top(i), top(j)
                 root[max(a, b)] = min(a, b)
     return {i: top(i) for i in made}
