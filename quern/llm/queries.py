@@ -45,6 +45,11 @@ def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of ``op4_pivotal_mixing`` is not drawn, so that SQL can tell it."""
+    return op4_pivotal_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
 def op5_run_length_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.find_repeats(table(spark, sf_dir, "documents"))
     return found.select(
@@ -165,6 +170,19 @@ FROM base LEFT JOIN parts USING (doc_id)
 """
 
 
+_TARGETS_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source),
+r AS (SELECT *, 3.0 * n / w AS ratio, sum(n) OVER () AS total FROM s),
+q AS (
+  SELECT *, coalesce(sum(3.0 * n) OVER (ORDER BY ratio, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+         sum(w) OVER (ORDER BY ratio, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM r),
+l AS (SELECT arg_min((total - below) / rest, ratio) AS unit FROM q WHERE (total - below) / rest <= ratio)
+SELECT doc_id, size, n AS source_size, round(least(3.0 * n, unit * w), 4) AS target
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source CROSS JOIN l
+"""
+
 _PII_SQL = r"""
 WITH base AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 patterns(kind, place, p, lead) AS (VALUES
@@ -221,6 +239,7 @@ def queries() -> dict[str, Query]:
         "op2_anchor_substring_dedup": op2_anchor_substring_dedup,
         "op3_masked_pseudo_likelihood": op3_masked_pseudo_likelihood,
         "op4_pivotal_mixing": op4_pivotal_mixing,
+        "mixing_targets": mixing_targets,
         "op5_run_length_suffix_dedup": op5_run_length_suffix_dedup,
         "op6_anchor_pii": op6_anchor_pii,
         "op7_pretoken_counts": op7_pretoken_counts,
@@ -233,6 +252,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_anchor_substring_dedup": _SUBSTRING_SQL,
+        "mixing_targets": _TARGETS_SQL,
         "op5_run_length_suffix_dedup": _SUFFIX_SQL,
         "op6_anchor_pii": _pii_sql(),
         "op8_quality_rules": _quality_sql(),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quern.llm import decontaminate, mixing, queries, sharding, simhash
 from quern.llm.common import table
 from tests.llm.cases import SCHEMA, awkward, empty
+from tests.oracle import same
 
 
 def test_shards(spark, sf_dir):
@@ -136,6 +137,10 @@ def test_mix_meets_targets_and_repeats(spark, sf_dir, chunk):
     assert mixing.repeated(docs, got).count() == sum(r["copies"] for r in got.collect())
 
 
+def test_targets_equal_sql(spark, sf_dir):
+    same(queries.mixing_targets(spark, sf_dir), queries.oracle_sql()["mixing_targets"], sf_dir)
+
+
 def test_mix_awkward(spark):
     docs = awkward(spark, ["size", "key", "key2", "n", "target"]).withColumn("tags", F.create_map(F.lit("a"), F.col("doc_id")))
     got = mixing.mix(docs)
