@@ -31,8 +31,10 @@ from quern.llm.common import checkpoint, parts_for, text_bytes
 CODE, FEW, MANY = 8, 3, 5
 #: Counts from which a word gets an id of its own, while there are ids.
 LEAST_COUNT = 4
-#: Workers have at hand the counts of words that make up one token in so many, so of no more words than that; those of all others are joined.
+#: Words whose counts workers have at hand, the most frequent ones; those of all others are joined.
 AT_HAND = 262_144
+#: Positions whose arrays are made at once.
+BLOCK = 16_384
 #: Positions that one task trains on in all: the weights it sends are small beside their text.
 TASK_POSITIONS = 4 << 20
 FAN_IN = 32
@@ -116,32 +118,42 @@ def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
     return out
 
 
+class Finder:
+    """Places of 64-bit hashes in an array of distinct ones."""
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.shift = words, np.uint64(64 - bits)
+        self.order = np.argsort(words)
+        self.sorted = words[self.order]
+        # By the top bits of a hash the only word there, or -1 for none, -2 for several.
+        self.place = np.full(1 << bits, -1, dtype=np.int32)
+        top, at, n = np.unique(words >> self.shift, return_index=True, return_counts=True)
+        self.place[top.astype(np.int64)] = np.where(n == 1, at, -2)
+
+    def __call__(self, words: np.ndarray) -> np.ndarray:
+        """The place of each word, -1 if it isn't there."""
+        out = self.place.take((words >> self.shift).astype(np.int64)).astype(np.int64)
+        alone = np.flatnonzero(out >= 0)
+        out[alone[self.words.take(out[alone]) != words[alone]]] = -1
+        if len(some := np.flatnonzero(out == -2)):
+            near = np.minimum(np.searchsorted(self.sorted, words[some]), len(self.sorted) - 1)
+            out[some] = np.where(self.sorted[near] == words[some], self.order[near], -1)
+        return out
+
+
 class Encoder:
     """Word ids of texts."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
-        self.order = np.argsort(vocabulary.words)
-        self.sorted = vocabulary.words[self.order]
-        # By the top bits of a hash the only word there, or -1 for none, -2 for several.
-        self.place = np.full(1 << 20, -1, dtype=np.int32)
-        top, at, n = np.unique(vocabulary.words >> np.uint64(44), return_index=True, return_counts=True)
-        self.place[top.astype(np.int64)] = np.where(n == 1, at, -2)
+        self.v, self.find = vocabulary, Finder(vocabulary.words, 20)
 
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The id of each word, the text it belongs to, and its hash."""
         data, starts = rolling.joined(texts)
         s, e = rolling.word_spans(data)
         words = rolling.word_hashes(data, s, e)
-        out = (self.v.own + words % np.uint64(self.v.ids - self.v.own)).astype(np.int64)
-        at = self.place.take((words >> np.uint64(44)).astype(np.int64))
-        alone = np.flatnonzero(at >= 0)
-        alone = alone[self.v.words.take(at[alone]) == words[alone]]
-        out[alone] = at[alone]
-        if len(some := np.flatnonzero(at == -2)):
-            near = np.minimum(np.searchsorted(self.sorted, words[some]), len(self.sorted) - 1)
-            own = self.sorted[near] == words[some]
-            out[some[own]] = self.order[near[own]]
+        at = self.find(words)
+        out = np.where(at >= 0, at, (self.v.own + words % np.uint64(self.v.ids - self.v.own)).astype(np.int64))
         return out, (np.searchsorted(starts, s, "right") - 1).astype(np.int32), words
 
 
@@ -177,7 +189,7 @@ def forward(m: dict[str, np.ndarray], ids: np.ndarray, of: np.ndarray):
     return g, near, h, x, before, np.stack([ids // CODE ** (codes - 1 - k) % CODE for k in range(codes)])
 
 
-def log_probabilities(m: dict[str, np.ndarray], ids: np.ndarray, of: np.ndarray, step: int = 4096) -> np.ndarray:
+def log_probabilities(m: dict[str, np.ndarray], ids: np.ndarray, of: np.ndarray, step: int = BLOCK) -> np.ndarray:
     """Of each word given its neighbours in its text."""
     out = np.zeros(len(ids))
     for first in range(0, len(ids), step):
@@ -189,27 +201,39 @@ def log_probabilities(m: dict[str, np.ndarray], ids: np.ndarray, of: np.ndarray,
     return out
 
 
-def gradients(m: dict[str, np.ndarray], ids: np.ndarray, of: np.ndarray, first: int = 0, last: int | None = None) -> dict[str, np.ndarray]:
+def gradients(m: dict[str, np.ndarray], ids: np.ndarray, of: np.ndarray, first: int = 0, last: int | None = None, block: int = BLOCK) -> dict[str, np.ndarray]:
     """Of the mean negative log-probability of the positions from ``first`` to ``last``."""
-    g, near, h, d, before, code = forward(m, ids, of)
     last = len(ids) if last is None else last
-    np.exp(d, out=d)
-    d /= d.sum(axis=1, keepdims=True)
-    flat = d.reshape(-1, len(ids))
-    flat[code + CODE * np.arange(len(d))[:, None], np.arange(len(ids))] -= 1
-    flat[:, :first] = 0
-    flat[:, last:] = 0
-    out = {f"given{k}": np.stack([np.bincount(before[k], row, CODE**k) for row in d[k]]) for k in range(1, len(d))}
-    dz = m["out"].T @ flat
-    dz *= 1 - h * h
-    out |= {"out": flat @ h.T, "bias": flat.sum(axis=1), "b": dz.sum(axis=1), "w": np.empty_like(m["w"])}
-    dg = np.zeros_like(g)
-    for k, (here, there, a, b) in enumerate(near):
-        back = m["w"][k].T @ dz
-        dg[:, there] += back[:, here]
-        dg[:, b] -= back[:, a]
-        out["w"][k] = dz[:, here] @ g[:, there].T - dz[:, a] @ g[:, b].T
-    out["embed"] = np.stack([np.bincount(ids, row, m["embed"].shape[1]) for row in dg])
+    codes = len(m["bias"]) // CODE
+    errors = np.empty((codes, CODE, last - first), dtype=m["bias"].dtype)
+    back = np.zeros((len(m["embed"]), len(ids)), dtype=m["bias"].dtype)
+    out = {k: np.zeros_like(m[k]) for k in ("out", "bias", "b", "w")}
+    for start in range(first, last, block):
+        stop = min(start + block, last)
+        low, high = max(0, start - 2), min(len(ids), stop + 2)  # with the neighbours of the outermost
+        g, near, h, d, _, code = forward(m, ids[low:high], of[low:high])
+        np.exp(d, out=d)
+        d /= d.sum(axis=1, keepdims=True)
+        flat = d.reshape(-1, high - low)
+        flat[code + CODE * np.arange(codes)[:, None], np.arange(high - low)] -= 1
+        flat[:, : start - low] = 0
+        flat[:, stop - low :] = 0
+        errors[:, :, start - first : stop - first] = d[:, :, start - low : stop - low]
+        dz = m["out"].T @ flat
+        dz *= 1 - h * h
+        out["out"] += flat @ h.T
+        out["bias"] += flat.sum(axis=1)
+        out["b"] += dz.sum(axis=1)
+        dg = back[:, low:high]
+        for k, (here, there, a, b) in enumerate(near):
+            part = m["w"][k].T @ dz
+            dg[:, there] += part[:, here]
+            dg[:, b] -= part[:, a]
+            out["w"][k] += dz[:, here] @ g[:, there].T - dz[:, a] @ g[:, b].T
+    for k in range(1, codes):
+        before = ids[first:last] // CODE ** (codes - k)
+        out[f"given{k}"] = np.stack([np.bincount(before, row, CODE**k) for row in errors[k]])
+    out["embed"] = np.stack([np.bincount(ids, row, m["embed"].shape[1]) for row in back])
     return {k: (v / (last - first)).astype(m[k].dtype) for k, v in out.items()}
 
 
@@ -289,52 +313,60 @@ class Shares:
     """What the counts say of a word's share of its id."""
 
     def __init__(self, own: int, words: np.ndarray, n: np.ndarray, totals: np.ndarray):
-        order = np.argsort(words)
-        self.own, self.words, self.log_n = own, words[order], np.log(n[order])
+        self.own, self.find, self.log_n = own, Finder(words, 22), np.log(np.append(n, 1))
         self.log_total = np.log(np.maximum(totals, 1))  # of each shared id
 
     def __call__(self, ids: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The log of each word's share, and whether the log of its count is still to be added."""
         out, wanting = np.zeros(len(ids)), np.zeros(len(ids), dtype=bool)
         shared = np.flatnonzero(ids >= self.own)
-        out[shared] = -self.log_total[ids[shared] - self.own]
-        if not len(self.words):
-            wanting[shared] = True
-            return out, wanting
-        at = np.minimum(np.searchsorted(self.words, words[shared]), len(self.words) - 1)
-        have = self.words[at] == words[shared]
-        out[shared[have]] += self.log_n[at[have]]
-        wanting[shared[~have]] = True
+        at = self.find(words[shared])
+        out[shared] = self.log_n[at] - self.log_total[ids[shared] - self.own]  # place -1 adds log 1
+        wanting[shared] = at < 0
         return out, wanting
 
 
-def shares(counts: DataFrame, vocabulary: Vocabulary, tokens: int) -> Shares:
-    frequent = set(vocabulary.words.view(np.int64).tolist())
-    top = [r for r in counts.where(F.col("n") * AT_HAND >= tokens).collect() if r["word"] not in frequent]  # at most AT_HAND
-    words, n = np.array([r["word"] for r in top], dtype=np.int64), np.array([r["n"] for r in top], dtype=np.int64)
+def least_at_hand(counts: DataFrame) -> int:
+    """A count that at most AT_HAND words reach, from the words in each sixteenth of a power of two."""
+    step = F.floor(F.log2("n") * 16)
+    rows = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.max("n").alias("most")).collect()  # at most 1,024
+    met, least = 0, 1
+    for r in sorted(rows, key=lambda r: -r["step"]):
+        met += r["words"]
+        if met > AT_HAND:
+            least = r["most"] + 1
+            break
+    return least
+
+
+def shares(counts: DataFrame, vocabulary: Vocabulary) -> Shares:
+    top = counts.where(F.col("n") >= least_at_hand(counts)).toPandas()  # at most AT_HAND
+    words, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    own = np.isin(words, vocabulary.words)
     totals = np.zeros(vocabulary.ids - vocabulary.own, dtype=np.int64)
     # The number of shared ids divides 2**64, so the sign of a hash doesn't matter.
     for r in counts.groupBy(F.pmod("word", F.lit(len(totals))).alias("id")).agg(F.sum("n").alias("n")).collect():
         totals[r["id"]] = r["n"]
-    known = counts.join(F.broadcast(counts.sparkSession.createDataFrame(pa.table({"word": pa.array(sorted(frequent), pa.int64())}))), "word", "left_semi")
+    frequent = pa.table({"word": pa.array(vocabulary.words.view(np.int64), pa.int64())})
+    known = counts.join(F.broadcast(counts.sparkSession.createDataFrame(frequent)), "word", "left_semi")  # at most 24,576
     for r in known.groupBy(F.pmod("word", F.lit(len(totals))).alias("id")).agg(F.sum("n").alias("n")).collect():
         totals[r["id"]] -= r["n"]
-    return Shares(vocabulary.own, words.view(np.uint64), n, totals)
+    return Shares(vocabulary.own, words[~own], n[~own], totals)
 
 
 def score(
     docs: DataFrame, weights: dict[str, np.ndarray], words: Vocabulary, id_col: str = "doc_id", text_col: str = "text",
-    counts: DataFrame | None = None, tokens: int = 0,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """(id, n_tokens, log_likelihood) of every document under a trained network.
 
-    With the ``counts`` of the corpus and its number of ``tokens`` each word of a
-    shared id has a probability of its own; without them it has that of the id.
+    With the ``counts`` of the corpus each word of a shared id has a probability of its
+    own; without them it has that of the id.
     Null and empty texts have no tokens and score 0; equal rows score alike, but for
     the last bits of single precision; an empty table gives no rows; extra columns are not read.
     """
     like = {k: v for k, v in weights.items()}
-    shared = docs.sparkSession.sparkContext.broadcast((pack(weights), words, None if counts is None else shares(counts, words, tokens)))
+    shared = docs.sparkSession.sparkContext.broadcast((pack(weights), words, None if counts is None else shares(counts, words)))
     source = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,4 +420,4 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     counts = checkpoint(word_counts(docs, text_col))
     tokens = int(counts.agg(F.sum("n")).first()[0] or 0)
     words = vocabulary(counts)
-    return score(docs, train(docs, words, tokens, text_col, p), words, id_col, text_col, counts, tokens)
+    return score(docs, train(docs, words, tokens, text_col, p), words, id_col, text_col, counts)
