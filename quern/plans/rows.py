@@ -177,6 +177,37 @@ def restored_rows(db: Database) -> Any:
     return after.select("o_orderkey", S.col("deleted_at").isNotNull().alias("deleted"))
 
 
+# -- laws of what is approximate or random -----------------------------------------
+
+
+@query("SELECT event_type, true AS near FROM events GROUP BY 1")
+def approximate_distinct_is_near(db: Database) -> Any:
+    """Approximate counts lie within a tenth of the exact ones."""
+    both = db("Event").values("event_type").annotate(near=A.Uniq("user_id"), exact=A.UniqExact("user_id")).df
+    return both.select("event_type", (S.abs(S.col("near") / S.col("exact") - 1) < 0.1).alias("near"))
+
+
+@query("SELECT true AS known, true AS again, true AS part")
+def samples_keep_their_laws(db: Database) -> Any:
+    """Samples hold rows of the table, the same for the same seed, and about as many as asked for."""
+    keys = db("Order").values("o_orderkey")
+    one, two, three = keys.sample(10, seed=7).df, keys.sample(10, seed=7).df, keys.sample_rows(0.1, 0.5).df
+    all_ = keys.df
+    counts = all_.agg(S.count("*").alias("n")).crossJoin(one.agg(S.count("*").alias("a"))).crossJoin(three.agg(S.count("*").alias("b")))
+    strange = one.join(all_, "o_orderkey", "left_anti").agg(S.count("*").alias("s")).crossJoin(one.exceptAll(two).agg(S.count("*").alias("d")))
+    off = S.greatest(S.abs(S.col("a") - S.col("n") / 10), S.abs(S.col("b") - S.col("n") / 10))
+    return counts.crossJoin(strange).select((S.col("s") == 0).alias("known"), (S.col("d") == 0).alias("again"), (off < 6 * S.sqrt(S.col("n") * 0.09)).alias("part"))
+
+
+@query("SELECT count(*) AS n, true AS apart, true AS formed FROM customer")
+def random_keys_keep_their_laws(db: Database) -> Any:
+    """Random keys differ from row to row and have their form."""
+    keys = db("Customer").values("c_custkey", u=T.RandomUUID(), v=T.UuidV7(), h=T.RandomHex(16)).df
+    formed = S.col("u").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$") & S.col("v").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$") & S.col("h").rlike("^[0-9a-f]{32}$")
+    counts = keys.agg(S.count("*").alias("n"), S.least(S.count_distinct("u"), S.count_distinct("v"), S.count_distinct("h")).alias("d"), S.bool_and(formed).alias("formed"))
+    return counts.select("n", (S.col("d") == S.col("n")).alias("apart"), "formed")
+
+
 # -- keys, correlation, recursion --------------------------------------------------
 
 
