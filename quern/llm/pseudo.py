@@ -82,13 +82,27 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_bytes(text_col).alias("t")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def least_count(counts: DataFrame, most: int) -> int:
+    """A count that at most so many words reach, from the words in each sixteenth of a power of two."""
+    step = F.floor(F.log2("n") * 16)
+    rows = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.max("n").alias("most")).collect()  # at most 1,024
+    met, least = 0, 1
+    for r in sorted(rows, key=lambda r: -r["step"]):
+        met += r["words"]
+        if met > most:
+            least = r["most"] + 1
+            break
+    return least
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """Words by falling count, ties by hash: all of LEAST_COUNT or more, as far as there are ids."""
-    often = counts.where(F.col("n") >= LEAST_COUNT)
-    names = often.limit(CODE**MANY * 3 // 4).count()
-    codes = next((k for k in range(FEW, MANY) if CODE**k * 3 // 4 >= names), MANY)
-    rows = often.orderBy(F.desc("n"), "word").limit(CODE**codes * 3 // 4).collect()  # at most 24,576
-    return Vocabulary(np.array([r["word"] for r in rows], dtype=np.int64).view(np.uint64), codes)
+    """Words by falling count, ties by hash: all of LEAST_COUNT or more, as far as there are ids
+    for all words of a count."""
+    least = max(LEAST_COUNT, least_count(counts, CODE**MANY * 3 // 4))
+    rows = counts.where(F.col("n") >= least).collect()  # at most 24,576, with nothing sorted in one place
+    codes = next((k for k in range(FEW, MANY) if CODE**k * 3 // 4 >= len(rows)), MANY)
+    words = [r["word"] for r in sorted(rows, key=lambda r: (-r["n"], r["word"]))]
+    return Vocabulary(np.array(words, dtype=np.int64).view(np.uint64), codes)
 
 
 def initial(p: Params, codes: int) -> dict[str, np.ndarray]:
@@ -326,21 +340,8 @@ class Shares:
         return out, wanting
 
 
-def least_at_hand(counts: DataFrame) -> int:
-    """A count that at most AT_HAND words reach, from the words in each sixteenth of a power of two."""
-    step = F.floor(F.log2("n") * 16)
-    rows = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.max("n").alias("most")).collect()  # at most 1,024
-    met, least = 0, 1
-    for r in sorted(rows, key=lambda r: -r["step"]):
-        met += r["words"]
-        if met > AT_HAND:
-            least = r["most"] + 1
-            break
-    return least
-
-
 def shares(counts: DataFrame, vocabulary: Vocabulary) -> Shares:
-    top = counts.where(F.col("n") >= least_at_hand(counts)).toPandas()  # at most AT_HAND
+    top = counts.where(F.col("n") >= least_count(counts, AT_HAND)).toPandas()  # at most AT_HAND
     words, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     own = np.isin(words, vocabulary.words)
     totals = np.zeros(vocabulary.ids - vocabulary.own, dtype=np.int64)
