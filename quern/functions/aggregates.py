@@ -138,10 +138,11 @@ def sum_map(df: Any, keys: list[str], column: str, name: str) -> Any:
 
 
 def range_agg(df: Any, keys: list[str], low: str, high: str) -> Any:
-    """The union of half-open ranges of each group, as disjoint rows."""
+    """The union of half-open ranges of each group, as disjoint rows; a range of nulls comes last and starts a row only where none came before."""
     from pyspark.sql.window import Window as W
 
-    w = W.partitionBy(*keys).orderBy(low, high)
+    w = W.partitionBy(*keys).orderBy(S.col(low).asc_nulls_last(), S.col(high).asc_nulls_last())
     met = df.withColumn("__m", S.max(high).over(w.rowsBetween(W.unboundedPreceding, -1)))
-    island = met.withColumn("__i", S.sum(S.coalesce((S.col(low) > S.col("__m")).cast("int"), S.lit(1))).over(w))
+    starts = S.col("__m").isNull() | S.coalesce(S.col(low) > S.col("__m"), S.lit(False))
+    island = met.withColumn("__i", S.sum(starts.cast("int")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
     return island.groupBy(*keys, "__i").agg(S.min(low).alias(low), S.max(high).alias(high)).drop("__i")

@@ -451,7 +451,8 @@ def sum_map(db: Database) -> Any:
 @query("""SELECT user_id, count(*) AS n FROM (SELECT user_id, lo, max(hi) OVER w AS m FROM (SELECT user_id, epoch(ts)::BIGINT AS lo, epoch(ts)::BIGINT + 3600 AS hi, event_id FROM events)
 WINDOW w AS (PARTITION BY user_id ORDER BY lo, hi, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE m IS NULL OR lo > m GROUP BY 1""")
 def range_agg(db: Database) -> Any:
-    spans = db("Event").df.select("user_id", S.unix_seconds(S.col("ts").cast("timestamp")).alias("lo"), (S.unix_seconds(S.col("ts").cast("timestamp")) + 3600).alias("hi"))
+    lo = S.rint(S.unix_micros(S.col("ts").cast("timestamp")) / 1_000_000).cast("long")  # the nearest second, the even one of two, as SQL casts
+    spans = db("Event").df.select("user_id", lo.alias("lo"), (lo + 3600).alias("hi"))
     return A.range_agg(spans, ["user_id"], "lo", "hi").groupBy("user_id").agg(S.count("*").alias("n"))
 
 
