@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 
@@ -125,3 +126,29 @@ def test_functions_of_columns(spark):
     found = {x["id"]: tuple(x)[1:] for x in got.df.collect()}
     assert found[1] == ("POLYGON ((2 2, 4 2, 4 4, 2 4, 2 2))", True, True, 1, 16.0)
     assert found[2][0] == "LINESTRING (2 2, 6 6)" and found[3] == (None,) * 5
+
+
+def boxes(spark, n):
+    """A queryset of ``n`` boxes two high from the origin, 1 to 25 wide."""
+    from quern.plans.queryset import QuerySet
+    from quern.sources.models import Database, Model, Registry
+
+    r = Registry()
+    r.add(Model("Box", "boxes", ("id",)))
+    rows = spark.range(n, numPartitions=4).selectExpr("id", "id % 25 + 1 AS w").selectExpr("id", "w", "concat('POLYGON((0 0, ', w, ' 0, ', w, ' 2, 0 2, 0 0))') AS g")
+    return QuerySet(Database(spark, r, frames={"boxes": rows}), r.models["Box"])
+
+
+def test_lookups_of_many_rows_take_seconds(spark):
+    other, began = "POLYGON((10 1, 20 1, 20 5, 10 5, 10 1))", time.perf_counter()
+    found = boxes(spark, 40_000).filter(g__overlaps=other, g__geo_contains="POINT(3 1)", g__dwithin=("POINT(30 1)", 30), g__relate=(other, "T*T***T**")).exclude(g__covers="POINT(20 2)")
+    assert found.df.selectExpr("min(w)", "max(w)", "count(*)").collect() == [(11, 19, 9 * 1600)]
+    assert time.perf_counter() - began < 30
+
+
+def test_matrices_of_stars_of_many_corners_take_little():
+    rng, began = random.Random(5), time.perf_counter()
+    for _ in range(4):
+        a, b = star(rng, 0, 0, 48), star(rng, 1, 1, 48)
+        assert G.matrix(a, b) == "212101212" and G.matrix(a, a) == "2FFF1FFF2"
+    assert time.perf_counter() - began < 6
