@@ -152,3 +152,25 @@ def test_matrices_of_stars_of_many_corners_take_little():
         a, b = star(rng, 0, 0, 48), star(rng, 1, 1, 48)
         assert G.matrix(a, b) == "212101212" and G.matrix(a, a) == "2FFF1FFF2"
     assert time.perf_counter() - began < 6
+
+
+def test_overlays_of_many_rows_and_corners_take_seconds(spark):
+    other, began = Value("POLYGON((10 1, 20 1, 20 5, 10 5, 10 1))"), time.perf_counter()
+    got = boxes(spark, 20_000).values("w", both=G.AreaOf(G.Intersection("g", other)), any=G.AreaOf(G.Union("g", other)), own=G.AreaOf(G.Difference("g", other)), one=G.AreaOf(G.SymmetricDifference("g", other)))
+    for w, both, any_, own, one, n in got.df.groupBy("w", "both", "any", "own", "one").count().collect():
+        shared = max(min(w, 20) - 10, 0)
+        assert (both, any_, own, one, n) == (shared, 2 * w + 40 - shared, 2 * w - shared, 2 * w + 40 - 2 * shared, 800)
+    rng = random.Random(7)
+    for _ in range(2):
+        a, b = star(rng, 0, 0, 48), star(rng, 1, 1, 48)
+        size = {o: G.area(G.overlaid(a, b, o)) for o in G.OPERATIONS}
+        assert size["union"] == pytest.approx(G.area(a) + G.area(b) - size["intersection"]) and size["symmetric_difference"] == pytest.approx(size["union"] - size["intersection"])
+    assert time.perf_counter() - began < 30
+
+
+def test_overlays_of_numbers_far_apart_are_exact():
+    tiny = G.read("POLYGON((0 0, 1e-300 0, 1e-300 1e-300, 0 1e-300, 0 0))")
+    vast = G.read("POLYGON((0 0, 1e300 0, 1e300 1e300, 0 1e300, 0 0))")
+    assert G.write(G.overlaid(tiny, vast, "intersection")) == G.write(G.make_valid(tiny)) and G.write(G.overlaid(tiny, vast, "union")) == G.write(G.make_valid(vast))
+    thirds = G.Shape(areas=[[[(G.Fraction(x, 3 ** k), G.Fraction(y, 7 ** k)) for k, (x, y) in enumerate([(0, 0), (9, 0), (9, 90), (0, 90), (0, 0)], 900)]]])
+    assert G.area(G.overlaid(thirds, thirds, "symmetric_difference")) == 0
