@@ -174,3 +174,21 @@ def test_overlays_of_numbers_far_apart_are_exact():
     assert G.write(G.overlaid(tiny, vast, "intersection")) == G.write(G.make_valid(tiny)) and G.write(G.overlaid(tiny, vast, "union")) == G.write(G.make_valid(vast))
     thirds = G.Shape(areas=[[[(G.Fraction(x, 3 ** k), G.Fraction(y, 7 ** k)) for k, (x, y) in enumerate([(0, 0), (9, 0), (9, 90), (0, 90), (0, 0)], 900)]]])
     assert G.area(G.overlaid(thirds, thirds, "symmetric_difference")) == 0
+
+
+def test_relations_of_many_rows_take_seconds(spark):
+    other, point, five, began = Value("POLYGON((10 1, 20 1, 20 5, 10 5, 10 1))"), Value("POINT(4 1)"), Value("POLYGON((5 2, 5 0, 0 0, 0 2, 5 2))"), time.perf_counter()
+    got = boxes(spark, 20_000).values(
+        "w", meets=G.Related("intersects", "g", other), touches=G.Related("touches", "g", other), overlaps=G.Related("overlaps", "g", other), apart=G.Related("disjoint", "g", other), holds=G.Related("contains", "g", point),
+        same=G.Related("equals", "g", five), inside=G.Related("within", "g", five), boxes=G.Related("bbox_overlaps", "g", other), fits=G.Related("2*2***2**", "g", other))
+    rows = got.df.groupBy(*got.df.columns).count().collect()
+    assert {tuple(r) for r in rows} == {(w, w >= 10, w == 10, w > 10, w < 10, w > 4, w == 5, w <= 5, w >= 10, w > 10, 800) for w in range(1, 26)}
+    assert time.perf_counter() - began < 30
+
+
+@pytest.mark.parametrize("one, two, found", [
+    ("POLYGON((2 2, 4 2, 4 4, 2 4, 2 2))", "POINT(3 1)", "FF2FF10F2"),
+    ("MULTIPOINT(1 0, 0 0, 1 4)", "MULTIPOLYGON(((0 2, 4 4, 2 0, 0 2)), ((0 2, 3 2, 3 4, 0 4, 0 2)))", "F00FFF212"),
+])
+def test_loose_points_have_no_area(one, two, found):
+    assert G.matrix(G.read(one), G.read(two)) == found
